@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROW = "__row"
@@ -29,14 +29,17 @@ def pinned(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, *columns: str) -> DataFrame:
+def numbered(df: DataFrame, *columns: str | Column) -> DataFrame:
     """columns of df behind a row number ``__row``.
 
     doc_id may be null or repeated, so operators join on this number instead. It
-    depends on the scan's splits alone; df must be a plain read, as the pipeline's
-    and the queries' inputs are.
+    depends on the scan's splits alone. A df whose rows pass a shuffle could come in
+    another order when a lost part is computed again, so it is written first.
     """
-    return df.select(F.monotonically_increasing_id().alias(ROW), *columns)
+    rows = df.select(*columns)
+    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        rows = pinned(rows, "rows")
+    return rows.select(F.monotonically_increasing_id().alias(ROW), "*")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
