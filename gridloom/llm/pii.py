@@ -33,7 +33,8 @@ _NUMBER = re.compile(r"[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _CREDENTIALS = re.compile(r"://[^\s/@:]{1,256}:[^\s/@]{1,256}@[A-Za-z0-9.-]+(?::[0-9]{1,5})?[^\s\"<>]{0,2048}")
-_VALUE = re.compile(r"(?i)(?:[ _-]?(?:number|no|nr|id|code|key))?[.:#]?[ ]?[=:]?[ ]?[\"']?([A-Z0-9][A-Z0-9-]{5,})")
+_LEAD = re.compile(r"(?i:(?:[ _-]?(?:number|no|nr|id|code|key))?[.:#]?[ ]?[=:]?[ ]?[\"']?)")
+_VALUE = re.compile(r"[A-Za-z0-9][A-Za-z0-9-]{5,}")
 _IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ ]?[A-Za-z0-9]{2,4}){3,8}")
 
 
@@ -123,27 +124,32 @@ def _urls(text: str, anchors: list[int]) -> Iterator[tuple[int, int]]:
             yield start, done
 
 
-def _iban(value: str) -> bool:
-    packed = value.replace(" ", "").upper()
-    return 15 <= len(packed) <= 34 and int("".join(str(int(c, 36)) for c in packed[4:] + packed[:4])) % 97 == 1
+def _iban(text: str, at: int) -> int:
+    """End of a valid IBAN that starts here, or 0: the longest run of its groups that passes the check digits."""
+    found = _IBAN.match(text, at)
+    end = found.end() if found else 0
+    while end - at >= 15:
+        packed = text[at:end].replace(" ", "").upper()
+        if 15 <= len(packed) <= 34 and int("".join(str(int(c, 36)) for c in packed[4:] + packed[:4])) % 97 == 1:
+            return end
+        cut = text.rfind(" ", at, end)
+        end = cut if cut > at else 0
+    return 0
 
 
 def _accounts(text: str, anchors: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """Values behind a cue: a valid IBAN, or an identifier with six digits at least. Anchors are the cues' bounds."""
     done = 0
     for start, end in anchors:
-        if start < done or (start and (text[start - 1].isalnum())):
+        if start < done or (start and text[start - 1].isalnum()):
             continue
-        found = _VALUE.match(text, end)
-        if not found:
-            continue
-        at = found.start(1)
-        wide = _IBAN.match(text, at)
-        if wide and _iban(wide[0]):
-            done = wide.end()
+        at = _LEAD.match(text, end).end()
+        wide, value = _iban(text, at), _VALUE.match(text, at)
+        if wide:
+            done = wide
             yield at, done
-        elif sum(c in _DIGITS for c in found[1]) >= 6:
-            done = found.end(1)
+        elif value and sum(c in _DIGITS for c in value[0]) >= 6:
+            done = value.end()
             yield at, done
 
 

@@ -46,7 +46,9 @@ def word_features(docs: DataFrame) -> DataFrame:
     bare = F.btrim(text, F.lit(SPACES))
     none = F.array().cast("array<string>")
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    wide = docs.withColumns({"__words": F.when(bare == "", none).otherwise(F.split(bare, _SPLIT)), "__lines": lines})
+    # a generator holds its array for the expressions above: filters on a feature, pushed down, would else split the text again for every word
+    wide = docs.select("*", F.explode_outer(F.array(F.struct(F.when(bare == "", none).otherwise(F.split(bare, _SPLIT)).alias("words"), lines.alias("lines")))).alias("__held"))
+    wide = wide.withColumns({"__words": F.col("__held.words"), "__lines": F.col("__held.lines")}).drop("__held")
     n = F.size("__words").cast("long")
     counted = wide.withColumns({
         "n_words": n,
@@ -58,9 +60,9 @@ def word_features(docs: DataFrame) -> DataFrame:
         "__digits": F.length(text) - _without(text, "0123456789"),
         "__marks": F.length(text) - _without(text, "!?"),
         # low bits of a window's key are its place, so one sort of longs brings equal windows together
-        "__low": F.shiftleft(F.lit(1).cast("long"), 1 + F.ceil(F.log2(n + 1)).cast("int")) - 1,
+        "__low": F.expr("shiftleft(1L, 1 + CAST(ceil(log2(size(__words) + 1)) AS int)) - 1"),
     })
-    sorted_keys = counted.withColumn("__keys", F.expr("CASE WHEN n_words < 3 THEN CAST(array() AS array<bigint>) ELSE sort_array(transform(sequence(0L, n_words - 3), i -> (xxhash64(get(__words, CAST(i AS int)), get(__words, CAST(i AS int) + 1), get(__words, CAST(i AS int) + 2)) & ~__low) | i)) END"))
+    sorted_keys = counted.withColumn("__keys", F.expr("explode_outer(array(CASE WHEN n_words < 3 THEN CAST(array() AS array<bigint>) ELSE sort_array(transform(sequence(0L, n_words - 3), i -> (xxhash64(get(__words, CAST(i AS int)), get(__words, CAST(i AS int) + 1), get(__words, CAST(i AS int) + 2)) & ~__low) | i)) END))"))
     twins = sorted_keys.withColumn("__twins", F.expr("sort_array(transform(filter(__keys, (x, i) -> coalesce((x ^ get(__keys, i - 1)) BETWEEN 0 AND __low, false) OR coalesce((x ^ get(__keys, i + 1)) BETWEEN 0 AND __low, false)), x -> x & __low))"))
     repeats = twins.withColumn("n_repeat_words", F.expr("aggregate(__twins, named_struct('last', -3L, 'n', 0L), (a, p) -> named_struct('last', p, 'n', a.n + least(3L, p - a.last)), a -> a.n)"))
     words, kept = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
