@@ -160,12 +160,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     rows = word_features(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
     rows = rows.where("n_words >= 50 AND 2 * n_repeat_words <= n_words").select("doc_id", "quality", *FEATURES).persist()
     try:
-        share = [k / (CUTS + 1) for k in range(1, CUTS + 1)] + [0.97, 0.99, 0.995]
-        found = rows.agg(*(F.percentile_approx(f, share, 2000).alias(f) for f in FEATURES)).first()
+        # quantiles of the values above zero: a rare feature is zero on most rows, and its least value counts most
+        share = [k / CUTS for k in range(CUTS + 1)]
+        found = rows.agg(*(F.percentile_approx(F.when(F.col(f) > 0, F.col(f)), share, 2000).alias(f) for f in FEATURES)).first()
         # a cut halfway to the next quantile keeps thresholds off the values themselves
         cuts = []
         for f in FEATURES:
-            values = sorted(set(found[f] or []))
+            values = sorted({0.0, *(found[f] or [])})
             cuts.append([(a + b) / 2 for a, b in zip(values, values[1:])])
         bins = [sum(((F.col(f) >= c).cast("int") for c in own), F.lit(0)).alias(f) for f, own in zip(FEATURES, cuts)]
         grow = (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) > 0).alias("grow")
