@@ -94,7 +94,7 @@ units AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS unit, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents
   UNION ALL SELECT doc_id, text, -1 FROM documents WHERE contains(text, chr(10))),
 worded AS (SELECT doc_id, line, string_split(trim(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM units),
-grams AS (SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) AS g FROM worded WHERE len(w) BETWEEN {least + 1} AND {most + 1}),
+grams AS (SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM worded WHERE len(w) BETWEEN {least + 1} AND {most + 1}),
 scored AS (
   SELECT doc_id, line, license, 2.0 * len(list_intersect(g, own)) / (len(g) + len(own)) AS score FROM grams, templates
   WHERE len(g) <= len(own) * {(2 - threshold) / threshold} AND len(g) >= len(own) * {threshold / (2 - threshold)}),
