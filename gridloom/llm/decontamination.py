@@ -163,26 +163,31 @@ def _hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": batch["doc_id"], "n_words": batch["n_words"], "n_items": batch["n_items"], "items": batch["items"], "hits": out})
 
 
+def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """The stated query set in blocks of at most ``most`` words, one block on the driver at a time; an empty one if there are no items."""
+    block, size, any_yet = [], 0, False
+    for x in item_words(benchmark).toLocalIterator():
+        if size and size + len(x["words"]) > most:
+            yield block
+            block, size, any_yet = [], 0, True
+        block.append((x["item_id"], [bytes(w) for w in x["words"]]))
+        size += len(x["words"])
+    if block or not any_yet:
+        yield block
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_items (items with occurring windows), items (their ids as sorted strings) and hits (array of start, end in words) of every row of docs."""
     rows = numbered(docs, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    blocks: list[list[tuple[str | None, list[bytes]]]] = [[]]
-    size = 0
-    for x in item_words(benchmark).toLocalIterator():  # the stated query set, block by block
-        if size and size + len(x["words"]) > block_words:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((x["item_id"], [bytes(w) for w in x["words"]]))
-        size += len(x["words"])
     base, spans = None, None
-    for block in blocks:
+    for number, block in enumerate(_blocks(benchmark, block_words)):
         index, found = _block_matches(rows, [w for _, w in block], width)
         names = docs.sparkSession.createDataFrame([(k, n) for k, (n, _) in enumerate(block)], "item long, item_id string")
-        found = found.join(F.broadcast(names), "item")
+        found = found.join(F.broadcast(names), "item").withColumn("item", F.col("item") + F.lit(number << 32))
         base = base if base is not None else index
         spans = found if spans is None else spans.unionByName(found)
-    per_doc = spans.groupBy(ROW).agg(F.collect_set(F.struct("start", F.col("end"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"), F.countDistinct("item").alias("n_items") if len(blocks) == 1 else F.size(F.collect_set("item_id")).cast("long").alias("n_items"))
+    per_doc = spans.groupBy(ROW).agg(F.collect_set(F.struct("start", F.col("end"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"), F.countDistinct("item").alias("n_items"))
     joined = base.join(per_doc, ROW, "left").select("doc_id", "n_words", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
     return joined.mapInPandas(_hits, f"doc_id {kind}, n_words long, n_items long, items array<string>, hits array<struct<start:long,end:long>>")
 
