@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.options import SETTINGS, Generator
+
 # Frame ratios, preset sides, greatest zoom, side, border and saved edge.
 ASPECTS = ((1, 1), (2, 3), (3, 4), (4, 5), (9, 16))
 PRESET_SIDES = (50, 80, 100)
@@ -135,9 +137,11 @@ def clamp_border(k: Column) -> Column:
     return _clamp(k, 0, MOST_BORDER)
 
 
-def settings(stored: DataFrame, defaults: dict[str, str]) -> DataFrame:
-    """name and value of every preference: stored(name, value) over the defaults."""
+def settings(stored: DataFrame, defaults: dict[str, str] = SETTINGS) -> DataFrame:
+    """name and value of every preference: stored(name, value) over the defaults; unknown generators fall back, borders are clamped."""
     base = stored.sparkSession.createDataFrame(sorted(defaults.items()), "name string, fallback string")
     own = base.join(stored, "name", "left")
-    known = ~((F.col("name") == "generator") & ~F.col("value").isin("staged", "gerstner"))
-    return own.select("name", F.coalesce(F.when(known, F.col("value")), "fallback").alias("value"))
+    known = ~((F.col("name") == "generator") & ~F.col("value").isin(*(g.value for g in Generator)))
+    value = F.coalesce(F.when(known, F.col("value")), "fallback")
+    rings = clamp_border(value.try_cast("int")).cast("string")
+    return own.select("name", F.when(F.col("name") == "border_rings", F.coalesce(F.when(value.try_cast("int").isNotNull(), rings), "fallback")).otherwise(value).alias("value"))

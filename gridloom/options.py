@@ -40,4 +40,4 @@ class GenerateOptions:
 
 
 #: Preferences of an interactive front end and their defaults.
-SETTINGS = {"palette": "mard", "generator": "staged", "max_colors": "0", "despeckle": "0", "border": "2", "width": "100", "gerstner": "off", "cell": "24"}
+SETTINGS = {"palette_id": "mard", "generator": "staged", "limit_colors": "false", "max_colors": "24", "despeckle_on": "false", "despeckle": "2", "width": "100", "border_rings": "0"}

@@ -264,8 +264,8 @@ def test_layout(spark):
     assert saved[0].cell == 10.0 and saved[1].cell <= 4.0
     numbers = spark.createDataFrame([(" 12 ",), ("",), ("x",), ("-3",), ("99999999999",)], "t string").select(layout.read_u32(F.col("t")).alias("v")).collect()
     assert [x.v for x in numbers] == [12, None, None, 0, 4294967295]
-    kept = layout.settings(spark.createDataFrame([("generator", "odd"), ("width", "64")], "name string, value string"), {"generator": "staged", "width": "100", "border": "2"}).orderBy("name").collect()
-    assert [tuple(x) for x in kept] == [("border", "2"), ("generator", "staged"), ("width", "64")]
+    kept = layout.settings(spark.createDataFrame([("generator", "odd"), ("width", "64"), ("border_rings", "11")], "name string, value string")).collect()
+    assert {x.name: x.value for x in kept} == {"palette_id": "mard", "generator": "staged", "limit_colors": "false", "max_colors": "24", "despeckle_on": "false", "despeckle": "2", "width": "64", "border_rings": "8"}
     spun = layout.turned(demo(spark, 3, 2), 3, 2, 1, flip=True).where("x = 0 AND y = 0").first()
     assert (spun.r, spun.g) == (0, 0)
     assert layout.presets(spark.createDataFrame([(0.5,)], "aspect double")).count() == 3
