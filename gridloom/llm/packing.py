@@ -38,7 +38,7 @@ GROUPS = 700
 #: Lengths above this share of a sequence are large.
 LARGE = 1 / 3
 #: Words whose ids a Python worker keeps.
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 1_000_000
 
 _CACHE: dict[str, "_Words"] = {}
 _UNSAFE = re.compile(r" \s")
