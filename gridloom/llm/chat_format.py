@@ -80,7 +80,9 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: float = HISTORY) ->
         'text', concat(array_join(transform(slice(turns, 1, held), t -> t.block), ''), array_join(transform(slice(turns, w.back + 1, w.last - w.back), t -> t.block), '')),
         'loss', transform(filter(sequence(0, n - 1), i -> i >= w.first AND i < w.last AND turns[i].target AND turns[i].chars > 0),
             i -> named_struct('start', ends[held] + ends[i] - ends[w.back] + turns[i].lead, 'end', ends[held] + ends[i] - ends[w.back] + turns[i].lead + turns[i].chars))))"""))
-    return made.select("conv_id", F.explode("made").alias("w")).select("conv_id", "w.window", "w.text", "w.n_context", "w.n_turns", "w.loss")
+    # Every conversation has a window. A plain explode would infer a filter on the size of made, which, pushed below
+    # these projections, repeats the prefix sums for each turn of each span.
+    return made.select("conv_id", F.explode_outer("made").alias("w")).select("conv_id", "w.window", "w.text", "w.n_context", "w.n_turns", "w.loss")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -299,6 +299,7 @@ def test_chat_format(spark):
         for turn in range(r.randint(1, 40)):
             role = "system" if turn == 0 and r.random() < 0.5 else r.choice(["user", "assistant", None, "to\\ol\nx"] if r.random() < 0.2 else ["user", "assistant"])
             table.append((conv, None if r.random() < 0.02 else turn, role, r.choice(odd) if r.random() < 0.3 else prose(r, r.choice([3, 40, 900])), "clash"))
+    table += [(99, turn, "assistant" if turn % 2 else "user", prose(r, 60), "clash") for turn in range(400)]  # linear in the turns
     table += table[:3]
     r.shuffle(table)
     frame = spark.createDataFrame(table, "conv_id long, turn long, role string, text string, window string").repartition(5)
