@@ -32,7 +32,8 @@ _IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
 _NUMBER = re.compile(r"[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_CREDENTIALS = re.compile(r"://[^\s/@:]{1,256}:[^\s/@]{1,256}@[A-Za-z0-9.-]+(?::[0-9]{1,5})?[^\s\"<>]{0,2048}")
+# No class but the last takes a slash, so a failed match never passes the next scheme.
+_CREDENTIALS = re.compile(r"://[^\s/@:]++:[^\s/@]++@[A-Za-z0-9.-]++(?::[0-9]{1,5})?[^\s\"<>]*+")
 _LEAD = re.compile(r"(?i:(?:[ _-]?(?:number|no|nr|id|code|key))?[.:#]?[ ]?[=:]?[ ]?[\"']?)")
 _VALUE = re.compile(r"[A-Za-z0-9][A-Za-z0-9-]{5,}")
 _IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ ]?[A-Za-z0-9]{2,4}){3,8}")
@@ -160,7 +161,9 @@ def find(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, in
     """(kind, start, end) of all spans, by kind and then start."""
     at, numbers, plus, schemes, cues = [], [], [], [], []
     last = -2
-    folded = text.lower() if len(text.lower()) == len(text) else text
+    folded = text.lower()
+    if len(folded) != len(text):  # U+0130 alone becomes two
+        folded = text.replace("\u0130", "\0").lower()
     for end, (kind, size) in automaton.iter(folded):
         if kind == "0":
             if end != last + 1:
