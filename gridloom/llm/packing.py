@@ -40,20 +40,22 @@ LARGE = 1 / 3
 #: Words whose ids a Python worker keeps.
 CACHED_WORDS = 1_000_000
 
-_CACHE: dict[str, "_Words"] = {}
-_UNSAFE = re.compile(r" \s")
+_CACHE: dict[tuple[str, bool], "_Words"] = {}
+_UNSAFE = r" \s"
 
 
 class _Words(dict):
-    """Ids of words (with their leading blank) as little-endian bytes."""
+    """Ids of words (with their leading blank) as little-endian bytes; literal: strings of added tokens are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = literal
+        added = [] if literal else [x.content for x in self.model.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([_UNSAFE, *map(re.escape, added)]))
         ranks = os.path.splitext(path)[0] + ".tiktoken"
         self.fast = self._ranks(ranks) if os.path.exists(ranks) else None
 
@@ -83,9 +85,10 @@ def _ids(words: _Words, text: str) -> bytes:
     """Ids of a text as little-endian bytes.
 
     A blank before a word belongs to it and parts it from what stands before, so words
-    are independent; texts with other runs of white space around blanks go in whole.
+    are independent; texts with other runs of white space around blanks, or with the
+    string of an added token, go in whole.
     """
-    if _UNSAFE.search(text):
+    if words.whole.search(text):
         return np.array(words.model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
     first, *rest = text.split(" ")
     if not rest:
@@ -93,12 +96,16 @@ def _ids(words: _Words, text: str) -> bytes:
     return (words[first] if first else b"") + b"".join([words[x] for x in [" " + w for w in rest]])
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32 of each piece of each row of docs."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, literal: bool = True) -> DataFrame:
+    """doc_id, piece, start, length and ids_crc32 of each piece of each row of docs.
+
+    Unless literal, ids are those of the tokenizer's plain ``encode(text,
+    add_special_tokens=False)``, which reads the strings of added tokens as those tokens.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _CACHE.setdefault(tokenizer, None) or _Words(tokenizer)
-        _CACHE[tokenizer] = words
+        words = _CACHE.get((tokenizer, literal)) or _Words(tokenizer, literal)
+        _CACHE[tokenizer, literal] = words
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out = []
@@ -301,6 +308,6 @@ def pack(found: DataFrame, capacity: int = 1024, groups: int = GROUPS) -> DataFr
     return ranks.mapInPandas(place, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, groups: int = GROUPS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, groups: int = GROUPS, literal: bool = True) -> DataFrame:
     """The pieces of all rows of docs with their sequences."""
-    return pack(pieces(docs, tokenizer, capacity), capacity, groups).drop(ROW)
+    return pack(pieces(docs, tokenizer, capacity, literal=literal), capacity, groups).drop(ROW)

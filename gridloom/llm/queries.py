@@ -27,7 +27,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(documents(spark, sf_dir), tokenizer_file())
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_file(), literal=False)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,16 @@
 """Cases that an operator once left out."""
 
+import zlib
+
 import pytest
 
 pytest.importorskip("gridloom.llm")
 
-from gridloom.llm import pii  # noqa: E402
+import corpus_pipeline  # noqa: E402
+from gridloom.llm import packing, pii  # noqa: E402
+from gridloom.llm.queries import tokenizer_file  # noqa: E402
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def found(text):
@@ -21,3 +27,18 @@ def test_pii_long_credentials():
         url = f"https://{user}:{word}@host.example:80{path}"
         assert ("url", url) in found(f"see {url} there")
     assert "url" not in dict(found("x://a:b" * 50_000))
+
+
+def test_packing_reads_added_tokens_as_the_plain_call(spark):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokenizer_file())
+    texts = ["a<|endoftext|>b", "x <|endoftext|> y", "<|endoftext|>", "no such <| text", "two  blanks<|endoftext|>"]
+    docs = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], DOCS)
+    want = {}
+    for k, t in enumerate(texts):
+        ids = model.encode(t, add_special_tokens=False).ids + [2]
+        want[k] = (len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids)))
+    assert want[0][0] == 4
+    for got in (packing.pack_documents(docs, tokenizer_file(), literal=False), corpus_pipeline.pack_sequences(spark, docs, "")):
+        assert {x.doc_id: (x.length, x.ids_crc32) for x in got.collect()} == want
