@@ -29,6 +29,11 @@ def pinned(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, written first if its rows pass a shuffle, so that they come in the same order each time."""
+    return pinned(df, "rows") if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
 def numbered(df: DataFrame, *columns: str | Column) -> DataFrame:
     """columns of df behind a row number ``__row``.
 
@@ -36,9 +41,7 @@ def numbered(df: DataFrame, *columns: str | Column) -> DataFrame:
     depends on the scan's splits alone. A df whose rows pass a shuffle could come in
     another order when a lost part is computed again, so it is written first.
     """
-    rows = df.select(*columns)
-    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
-        rows = pinned(rows, "rows")
+    rows = settled(df.select(*columns))
     return rows.select(F.monotonically_increasing_id().alias(ROW), "*")
 
 

@@ -236,14 +236,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, node_r
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     per_code = rooted.join(named, "root").select("fp", "component_id")
     return rows.join(per_code, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, shingle: int = 5, distance: int = 4) -> DataFrame:
-    """docs without all but the document of least doc_id of each component.
-
-    Rows without doc_id stay, as none can be told from another. Of rows that repeat a
-    kept doc_id, exact repeats stay too: identity is the doc_id.
-    """
-    found = near_duplicates(docs, shingle, distance)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
