@@ -160,7 +160,7 @@ def _hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 else:
                     runs.append([s, e])
             out.append([{"start": s, "end": e} for s, e in runs])
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "n_words": batch["n_words"], "n_items": batch["n_items"], "items": batch["items"], "hits": out})
+        yield pd.DataFrame({ROW: batch[ROW], "doc_id": batch["doc_id"], "n_words": batch["n_words"], "n_items": batch["n_items"], "items": batch["items"], "hits": out})
 
 
 def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
@@ -177,7 +177,7 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str | None,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, n_items (items with occurring windows), items (their ids as sorted strings) and hits (array of start, end in words) of every row of docs."""
+    """__row (of numbered(docs)), doc_id, n_words, n_items (items with occurring windows), items (their ids as sorted strings) and hits (array of start, end in words) of every row of docs."""
     rows = numbered(docs, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     base, spans = None, None
@@ -188,8 +188,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
         base = base if base is not None else index
         spans = found if spans is None else spans.unionByName(found)
     per_doc = spans.groupBy(ROW).agg(F.collect_set(F.struct("start", F.col("end"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"), F.countDistinct("item").alias("n_items"))
-    joined = base.join(per_doc, ROW, "left").select("doc_id", "n_words", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
-    return joined.mapInPandas(_hits, f"doc_id {kind}, n_words long, n_items long, items array<string>, hits array<struct<start:long,end:long>>")
+    joined = base.join(per_doc, ROW, "left").select(ROW, "doc_id", "n_words", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
+    return joined.mapInPandas(_hits, f"{ROW} long, doc_id {kind}, n_words long, n_items long, items array<string>, hits array<struct<start:long,end:long>>")
 
 
 def positional_index(docs: DataFrame) -> DataFrame:

@@ -42,3 +42,12 @@ def test_packing_reads_added_tokens_as_the_plain_call(spark):
     assert want[0][0] == 4
     for got in (packing.pack_documents(docs, tokenizer_file(), literal=False), corpus_pipeline.pack_sequences(spark, docs, "")):
         assert {x.doc_id: (x.length, x.ids_crc32) for x in got.collect()} == want
+
+
+def test_contaminated_rows_go_by_row(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten eleven"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "a " + item, "en", "gone", 0), (7, item, "en", "gone", 0), (7, "clean text", "en", "kept", 0), (None, "other text", "en", "kept", 0)]
+    docs = spark.createDataFrame(rows, DOCS).coalesce(1)
+    got = [(x.doc_id, x.source) for x in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == [(7, "kept"), (None, "kept")]
