@@ -2,23 +2,27 @@
 
 1. Every text gets a 64-bit SimHash of its word shingles (:func:`fingerprints`).
    Documents with equal fingerprints are one *class*; only distinct fingerprints go on.
-2. The upper nodes of the index are masked bit patterns. The fingerprint is cut into
+2. The uppermost nodes of the index are masked bit patterns. The fingerprint is cut into
    blocks; two fingerprints within ``distance`` bits agree on at least
    ``blocks - distance`` of them, so each choice of that many blocks is a mask and each
    (mask, pattern) a node: any linked pair meets in one. Nodes with more than
    ``node_rows`` members get children: their free bits are cut again, ``distance + 1``
    blocks of which one must agree, until every node is small. A node that has used up
    its free bits cannot be large, as fingerprints are distinct.
-3. Inside a node, members are sorted by Gray rank and cut into groups. A group keeps the
-   bits that all its members share (mask and pattern); from the top down, two groups
-   whose patterns already differ in more than ``distance`` commonly shared bits are
-   pruned as a whole, and only the rest are compared member by member.
-4. A node emits a spanning forest of its links, not all pairs: connectivity is kept and
+3. The members of all nodes are range-partitioned and sorted by mask, by the Gray rank of
+   their node and by their own. Each stretch of a sorted range becomes a :class:`GrayIndex`:
+   consecutive members form groups, groups form upper nodes, and each keeps the bits that
+   all below it share (mask and pattern). Searched against itself from the top down, two
+   groups are pruned as a whole where a shared bit of the node's mask differs, or where
+   the differing shared bits add up to more than ``distance``; only members of groups that
+   are left are compared. All links come from this index.
+4. A stretch emits a spanning forest of its links, not all pairs: connectivity is kept and
    copies never expand. Large-star and small-star rounds on the links give the components.
 
 Null or empty texts, and texts without words, have fingerprint zero. doc_id may be
 null or repeated. A null doc_id links like any other but never names a component that
-holds a numbered document. Other columns are ignored.
+holds a numbered document. Other columns are ignored, whatever their names. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,15 +33,17 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import pinned
 
-#: Members of a node that are compared in one task.
+#: Members that a node may have before it gets children.
 NODE_ROWS = 4096
 #: Members of a lowest group of a node.
 GROUP = 32
+#: Pairs of groups that are compared at once.
+PAIRED = 256
 BITS = 64
 
 
@@ -102,16 +108,17 @@ def _signed(x: int) -> int:
 
 
 class GrayIndex:
-    """Members of a node in Gray order, with group masks over one another.
+    """Codes in Gray order of their masked bits, with group patterns over one another.
 
     Level 0 groups hold ``GROUP`` members; each upper node joins four groups and keeps
-    the bits shared by all below it.
+    the bits shared by all below it. Members that link must agree on the bits of mask.
     """
 
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes[np.argsort(gray_rank(codes), kind="stable")]
-        n = len(self.codes)
-        starts = np.arange(0, n, GROUP)
+    def __init__(self, codes: np.ndarray, mask: int = 0):
+        mask = np.uint64(mask)
+        self.mask = mask
+        self.codes = codes[np.lexsort((gray_rank(codes), gray_rank(codes & mask)))]
+        starts = np.arange(0, len(codes), GROUP)
         high, low = np.bitwise_or.reduceat(self.codes, starts), np.bitwise_and.reduceat(self.codes, starts)
         self.levels = [(high, low)]
         while len(high) > 1:
@@ -132,84 +139,113 @@ class GrayIndex:
                 a, b = a[ok], b[ok]
             # a bit differs between all members if all of one side have it and none of the other
             apart = (low[a] & ~high[b]) | (low[b] & ~high[a])
-            ok = np.bitwise_count(apart) <= distance
+            ok = (np.bitwise_count(apart) <= distance) & (apart & self.mask == 0)
             a, b = a[ok], b[ok]
         return a, b
 
-    def forest(self, distance: int) -> list[tuple[int, int]]:
-        """A spanning forest of the links within distance, as pairs (code, smaller code)."""
+    def linked(self, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places (x < y) of linked members, a few groups at a time."""
         n = len(self.codes)
-        parent = list(range(n))
+        cells = np.append(self.codes, np.zeros(-n % GROUP, dtype=np.uint64)).reshape(-1, GROUP)
+        a, b = self.near_groups(distance)
+        for lo in range(0, len(a), PAIRED):
+            one, two = a[lo : lo + PAIRED], b[lo : lo + PAIRED]
+            k, i, j = np.nonzero(np.bitwise_count(cells[one][:, :, None] ^ cells[two][:, None, :]) <= distance)
+            x, y = one[k] * GROUP + i, two[k] * GROUP + j
+            ok = (x < y) & (y < n)
+            yield x[ok], y[ok]
+
+    def forest(self, distance: int) -> tuple[np.ndarray, np.ndarray]:
+        """A spanning forest of the links within distance, as pairs (code, another of its component)."""
+        label = np.arange(len(self.codes))
+        for x, y in self.linked(distance):
+            while len(x):
+                one, two = label[x], label[y]
+                ok = one != two
+                x, y, one, two = x[ok], y[ok], one[ok], two[ok]
+                np.minimum.at(label, np.maximum(one, two), np.minimum(one, two))
+                while True:
+                    up = label[label]
+                    if np.array_equal(up, label):
+                        break
+                    label = up
+        at = np.flatnonzero(label != np.arange(len(label)))
+        signed = self.codes.view(np.int64)
+        return signed[at], signed[label[at]]
+
+
+def _links_of_ranges(distance: int):
+    """Batches of (mask, node, fp), sorted, to links."""
 
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
 
-        for a, b in zip(*(x.tolist() for x in self.near_groups(distance))):
-            one, two = self.codes[a * GROUP : (a + 1) * GROUP], self.codes[b * GROUP : (b + 1) * GROUP]
-            i, j = np.nonzero(np.bitwise_count(one[:, None] ^ two[None, :]) <= distance)
-            for x, y in zip((i + a * GROUP).tolist(), (j + b * GROUP).tolist()):
-                if x < y:
-                    x, y = root(x), root(y)
-                    if x != y:
-                        parent[max(x, y)] = min(x, y)
-        signed = self.codes.view(np.int64).tolist()
-        return [(signed[x], signed[root(x)]) for x in range(n) if root(x) != x]
+        def solved(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            mask, codes = part["mask"].to_numpy(), part["fp"].to_numpy().view(np.uint64)
+            cuts = [0, *(np.flatnonzero(mask[1:] != mask[:-1]) + 1).tolist(), len(mask)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                a, b = GrayIndex(codes[lo:hi], int(mask[lo]) & (2**64 - 1)).forest(distance)
+                yield pd.DataFrame({"a": a, "b": b})
 
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = batch["node"].iloc[-1], batch["mask"].iloc[-1]
+            cut = len(batch) - int(((batch["node"] == last[0]) & (batch["mask"] == last[1])).sum())
+            if cut:  # all but the last node are whole
+                yield from solved(pd.concat([*held, batch.iloc[:cut]]))
+                held = []
+            elif held and (held[-1]["node"].iloc[-1], held[-1]["mask"].iloc[-1]) != last:
+                yield from solved(pd.concat(held))
+                held = []
+            held.append(batch.iloc[cut:])
+        if held:
+            yield from solved(pd.concat(held))
 
-def _small_forest(codes: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """forest() for a handful of codes: one group, nothing to prune."""
-    i, j = np.nonzero(np.triu(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= distance, 1))
-    signed = codes.view(np.int64)
-    return list(zip(signed[j].tolist(), signed[i].tolist()))
+    return run
 
 
-def _links_of_nodes(distance: int):
-    """Batches of (mask, node, fps) to links."""
+def _children(distance: int):
+    """Batches of (mask, fp) to those of the masks below."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for fps in batch["fps"]:
-                codes = np.asarray(fps, dtype=np.int64).view(np.uint64)
-                out += _small_forest(codes, distance) if len(codes) <= 8 else GrayIndex(codes).forest(distance)
-            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+            for mask, own in batch.groupby("mask"):
+                for child in _child_masks(int(mask) & (2**64 - 1), distance):
+                    yield pd.DataFrame({"mask": np.full(len(own), _signed(child)), "fp": own["fp"].to_numpy()})
 
     return run
 
 
 def links(codes: DataFrame, distance: int = 4, node_rows: int = NODE_ROWS) -> DataFrame:
     """Links (a, b) that connect exactly the distinct fp of codes that lie within distance bits of one another."""
-    found: list[DataFrame] = []
+    most = max(node_rows, 2 << distance)  # a larger node has more free bits than distance, so its children miss no pair
+    rank = "aggregate(array(1, 2, 4, 8, 16, 32), {x}, (a, s) -> a ^ shiftrightunsigned(a, s)) ^ shiftleft(1L, 63)"
     mask_array = F.array(*(F.lit(_signed(m)) for m in _root_masks(distance)))
     members = codes.select("fp", F.explode(mask_array).alias("mask"))
-    depth = 0
+    found: list[DataFrame] = []
     while True:
-        keyed = members.select("mask", (F.col("fp").bitwiseAND(F.col("mask"))).alias("node"), "fp")
-        sizes = keyed.groupBy("mask", "node").count()
-        large = pinned(sizes.where(F.col("count") > node_rows).select("mask", "node"), "nodes")
-        masks = [x["mask"] for x in large.select("mask").distinct().limit(100_000).collect()] if large.limit(1).count() else []
-        small = keyed.join(F.broadcast(large) if large.count() < 10_000 else large, ["mask", "node"], "left_anti") if masks else keyed
-        packed = small.groupBy("mask", "node").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-        found.append(packed.select("fps").mapInPandas(_links_of_nodes(distance), "a long, b long"))
-        if not masks:
+        keyed = members.select("mask", F.expr(rank.format(x="fp & mask")).alias("node"), "fp")
+        large = pinned(keyed.groupBy("mask", "node").count().where(F.col("count") > most).select("mask", "node"), "nodes")
+        many = large.count()
+        side = F.broadcast(large) if many < 10_000 else large
+        small = keyed.join(side, ["mask", "node"], "left_anti") if many else keyed
+        ranges = small.withColumn("rank", F.expr(rank.format(x="fp"))).repartitionByRange("mask", "node").sortWithinPartitions("mask", "node", "rank")
+        found.append(ranges.select("mask", "node", "fp").mapInPandas(_links_of_ranges(distance), "a long, b long"))
+        if not many:
             break
-        children = members.sparkSession.createDataFrame([Row(mask=m, child=[_signed(c) for c in _child_masks(m & (2**64 - 1), distance)]) for m in masks], "mask long, child array<long>")
-        members = pinned(keyed.join(large, ["mask", "node"], "left_semi").join(F.broadcast(children), "mask").select("fp", F.explode("child").alias("mask")).distinct(), "members")
-        depth += 1
+        members = pinned(keyed.join(side, ["mask", "node"], "left_semi").select("mask", "fp").mapInPandas(_children(distance), "mask long, fp long").distinct(), "members")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out.distinct()
 
 
-def components(edges: DataFrame, name: str = "component", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "component") -> DataFrame:
     """(a, name): the least vertex reachable from each vertex of the undirected edges (a, b), by large-star and small-star."""
     edges = pinned(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -222,8 +258,6 @@ def components(edges: DataFrame, name: str = "component", rounds: int = 60) -> D
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"no fixed point of the stars after {rounds} rounds")
     return edges.select("a", F.col("b").alias(name))
 
 
