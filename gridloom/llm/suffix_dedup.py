@@ -8,23 +8,29 @@ else, in the same or another document.
    kept: about one in 70 bytes. A suffix row holds the hash of its leading gram, the
    hash of its whole context (all bytes that a window with this anchor can cover) and
    its place.
-2. Suffixes whose gram occurs once are dropped. Grams that a bounded sample shows to be
-   frequent are known to repeat, so they skip the count and are dealt out by salt.
-3. Suffixes that share gram and whole context cover each other entirely; classes of
-   them are counted with partial aggregation and joined back (AQE splits hot keys).
-4. One context per class of the grams with several classes is range-partitioned by its
-   leading bytes on sampled splitters. Each bucket sorts by multikey quicksort to the
-   right of the anchor and, reversed, to the left; runs of the two LCP arrays tell which
-   windows are equal. Equal leading bytes never straddle two buckets except for grams
-   with over ``bucket_rows`` contexts; the windows of those are compared across buckets
-   by a count on their digests.
+2. Suffixes whose gram occurs once are dropped. Grams that a sample over the whole table
+   shows to be frequent are known to repeat, so they skip the count and are dealt by salt.
+3. Equal suffixes (same gram and whole context, told by hashes) stand for one another: one
+   of each class goes on, with their number.
+4. The suffixes are range-partitioned by their leading bytes, the 64 of the gram, on sampled
+   splitters, and each bucket is sorted. Equal windows have equal grams at their anchors, so
+   they meet in one bucket. Runs of a bucket go through multikey quicksort to the right
+   of the anchor and, reversed, to the left; the two LCP arrays tell which windows are
+   equal. A class of several suffixes is covered as a whole.
+5. A gram with more than ``bucket_rows`` classes is cut: windows that reach from ``lo`` to
+   ``hi`` bytes before the anchor can be equal only if the ``lo`` bytes before it and the
+   ``length - hi`` from it on are. Halving the reach gives longer and longer keys to deal the
+   suffixes by, down to single windows, which are counted. So equal bytes are compared
+   across the bounds of any bucket, and no task ever holds more than ``bucket_rows``.
 
 Null text counts as empty. doc_id may be null or repeated; each row is judged as a
-document of its own. Other columns of the input are ignored. Text is encoded as UTF-8.
+document of its own. Other columns of the input are ignored. Text is encoded as UTF-8;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,17 +44,17 @@ from gridloom.llm.common import ROW, numbered, pinned
 
 #: Bytes of documents whose anchors are sought at once, and of one slice of a longer document.
 BLOCK = 1 << 20
-#: Rows of the sample that finds frequent grams. It decides where rows go, not the result.
-HOT_SAMPLE_ROWS = 2000
+#: Rows of the sample that finds frequent grams and splitters. It decides where rows go, not the result.
+SAMPLE_ROWS = 4000
+#: Sampled suffixes that splitters are taken from, at most, and buckets to a partition.
+SPLITTER_ROWS, FINER = 20_000, 4
 #: Frequent grams that are dealt out by salt, at most; the rest are dealt by gram.
 HOT_GRAMS = 2000
-#: Contexts of one gram that one task sorts, at most.
+#: Suffixes of one key that one task sorts, at most.
 BUCKET_ROWS = 50_000
-#: Contexts that a task sorts at once, unless one gram has more.
+#: Suffixes that a task sorts at once, unless one key has more.
 SORT_ROWS = 20_000
 
-_MASK = (1 << 64) - 1
-
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
@@ -132,8 +138,22 @@ def _suffixes(length: int):
     return run
 
 
-def _contexts(length: int):
-    """Batches of (row, text, places) to the contexts of those places."""
+def _leading(length: int):
+    """Batches of (row, text) to the grams of their anchors, as hashes and as bytes."""
+    suffixes = _suffixes(length)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            data = {row: text.encode() for row, text in zip(batch[ROW], batch["text"])}
+            for found in suffixes(iter([batch])):
+                found = found[found["n"] > 0]
+                yield pd.DataFrame({"gram": found["gram"], "lead": [data[row][p : p + GRAM] for row, p in zip(found[ROW], found["pos"])]})
+
+    return run
+
+
+def _contexts(length: int, splitters: list[bytes]):
+    """Batches of (row, text, places) to the suffixes at those places with what stands before them, and their buckets."""
     reach = length - GRAM
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,9 +163,8 @@ def _contexts(length: int):
                 data = text.encode()
                 for x in places:
                     p = x["pos"]
-                    right = data[p : p + length]
-                    out.append((int.from_bytes(right[:8], "big") - (1 << 63), x["gram"], row, p, x["single"], x["crowded"], data[max(0, p - reach) : p], right))
-            yield pd.DataFrame(out, columns=["lead", "gram", ROW, "pos", "single", "crowded", "before", "after"])
+                    out.append((bisect_right(splitters, data[p : p + GRAM]), x["gram"], x["ctx"], row, p, x["single"], data[max(0, p - reach) : p], data[p : p + length]))
+            yield pd.DataFrame(out, columns=["bucket", "gram", "ctx", ROW, "pos", "single", "before", "after"])
 
     return run
 
@@ -196,9 +215,10 @@ def _lcp(cells: np.ndarray, order: np.ndarray, words: np.ndarray) -> np.ndarray:
     return lcp
 
 
-def equal_windows(before: list[bytes], after: list[bytes], length: int) -> np.ndarray:
-    """For each context and each j, whether the window from j bytes before its anchor equals one of another context."""
+def equal_windows(before: list[bytes], after: list[bytes], length: int, lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """For each suffix and each j from lo to hi, whether the window from j bytes before its anchor equals one of another suffix."""
     n, reach = len(after), length - GRAM
+    hi = reach if hi is None else hi
     deep, left = -(-length // 8) * 8, -(-max(reach, 1) // 8) * 8
     right_cells, left_cells = _padded(after, deep), _padded([x[::-1] for x in before], left)
     right_order, right_same = multikey_quicksort(np.ascontiguousarray(right_cells).view(">u8").astype(np.uint64))
@@ -209,7 +229,7 @@ def equal_windows(before: list[bytes], after: list[bytes], length: int) -> np.nd
     left_len = np.array([len(x) for x in before])
     hit = np.zeros((n, reach + 1), dtype=bool)
     right_run, left_run = np.empty(n, np.int64), np.empty(n, np.int64)
-    for j in range(reach + 1):
+    for j in range(lo, hi + 1):
         ok = np.flatnonzero((left_len >= j) & (right_len >= length - j))
         if len(ok) < 2:
             continue
@@ -233,48 +253,51 @@ def _spans_of(hit: np.ndarray, rows: np.ndarray, places: np.ndarray, length: int
     return pd.DataFrame({ROW: rows[who], "start": places[who] - (last - 1), "end": places[who] - first + length})
 
 
+_RUNS = "gram long, ctx long, __row long, start long, end long"
+
+
 def _sorted_buckets(length: int):
+    """Batches of suffixes, sorted by lo, hi and key, to spans of single suffixes, and to the classes (with null spans) that are covered as a whole."""
+
+    def solved(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        new = _changes(part)
+        size = np.diff(np.append(np.flatnonzero(new), len(part)))
+        alone = np.repeat(size == 1, size)
+        single = part["single"].to_numpy(dtype=bool)
+        whole = part[~single]
+        yield pd.DataFrame({"gram": whole["gram"], "ctx": whole["ctx"], ROW: None, "start": None, "end": None}).astype({ROW: "Int64", "start": "Int64", "end": "Int64"})
+        rest = part[~alone]
+        for (lo, hi), own in rest.groupby(["lo", "hi"]):
+            hit = equal_windows(own["before"].tolist(), own["after"].tolist(), length, int(lo), int(hi))
+            hit &= own["single"].to_numpy(dtype=bool)[:, None]
+            yield _spans_of(hit, own[ROW].to_numpy(), own["pos"].to_numpy(), length).assign(gram=0, ctx=0)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         count = 0
-
-        def solved(part: pd.DataFrame) -> pd.DataFrame:
-            hit = equal_windows(part["before"].tolist(), part["after"].tolist(), length)
-            hit &= part["single"].to_numpy(dtype=bool)[:, None]
-            return _spans_of(hit, part[ROW].to_numpy(), part["pos"].to_numpy(), length)
-
         for batch in batches:
             held.append(batch)
             count += len(batch)
             if count >= SORT_ROWS:
                 whole = pd.concat(held, ignore_index=True)
-                last = whole["lead"].iloc[-1]  # rows come sorted: all but the last leading token are complete
-                ready = int(np.searchsorted(whole["lead"].to_numpy(), last))
+                ready = int(np.flatnonzero(_changes(whole))[-1])  # rows come sorted: all but the last key are complete
                 if ready:
-                    yield solved(whole.iloc[:ready])
+                    yield from solved(whole.iloc[:ready])
                 held, count = [whole.iloc[ready:]], len(whole) - ready
         if count:
-            yield solved(pd.concat(held, ignore_index=True))
+            yield from solved(pd.concat(held, ignore_index=True))
 
     return run
 
 
-def _window_digests(length: int):
-    """Contexts to all their windows' digests."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lo in range(0, len(batch), 200):
-                part = batch.iloc[lo : lo + 200]
-                out = []
-                for gram, row, pos, single, before, after in zip(part["gram"], part[ROW], part["pos"], part["single"], part["before"], part["after"]):
-                    data, at = before + after, pos - len(before)
-                    for s in range(0, max(0, min(len(before) + 1, len(data) - length + 1))):
-                        d = xxhash.xxh3_128_intdigest(data[s : s + length])
-                        out.append((gram, len(before) - s, (d >> 64) - (1 << 63), (d & _MASK) - (1 << 63), row, at + s, single))
-                yield pd.DataFrame(out, columns=["gram", "j", "hi", "lo", ROW, "start", "single"]).astype({"gram": "int64", "j": "int64", "hi": "int64", "lo": "int64", ROW: "int64", "start": "int64", "single": "bool"})
-
-    return run
+def _changes(part: pd.DataFrame) -> np.ndarray:
+    """Whether each row has another lo, hi or key than the row before it."""
+    new = np.ones(len(part), dtype=bool)
+    for c in ("lo", "hi", "key"):
+        values = part[c].to_numpy()
+        new[1:] &= values[1:] == values[:-1]
+    new[1:] = ~new[1:]
+    return new
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -303,14 +326,30 @@ def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
 
+def _key(length: int) -> F.Column:
+    """The bytes that all windows from lo to hi bytes before the anchor hold."""
+    return F.expr(f"concat(substring(before, length(before) - lo + 1, lo), substring(after, 1, {length} - hi))")
+
+
+def _halved(suffixes: DataFrame, length: int) -> DataFrame:
+    """suffixes once for each half of their reach from lo to hi, as far as they hold its windows."""
+    middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+    halves = F.array(F.struct(F.col("lo").alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi").alias("hi")))
+    cut = suffixes.withColumn("half", F.explode(halves)).withColumns({"lo": F.col("half.lo"), "hi": F.col("half.hi")}).drop("half")
+    return cut.where((F.length("before") >= F.col("lo")) & (F.length("after") >= length - F.col("hi"))).withColumn("key", _key(length))
+
+
 def repeated_spans(rows: DataFrame, length: int = 200, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(__row, start, end) in bytes of spans that cover all repeated windows of rows(__row, doc_id, text); spans may overlap."""
     spark = rows.sparkSession
-    long = "gram long, ctx long, __row long, pos long, n long"
-    found = rows.select(ROW, "text").mapInPandas(_suffixes(length), long)
+    found = rows.select(ROW, "text").mapInPandas(_suffixes(length), "gram long, ctx long, __row long, pos long, n long")
 
-    sample = rows.select(ROW, "text").where(F.length("text") >= length // 4).limit(HOT_SAMPLE_ROWS)
-    hot = [x["gram"] for x in sample.mapInPandas(_suffixes(length), long).where("n > 0").groupBy("gram").count().where("count > 9").orderBy(F.desc("count"), "gram").limit(HOT_GRAMS).collect()]
+    every = max(1, rows.count() // SAMPLE_ROWS)
+    sample = pinned(rows.where(F.pmod(F.xxhash64(ROW), F.lit(every)) == 0).select(ROW, "text").mapInPandas(_leading(length), "gram long, lead binary"), "sample")
+    hot = [x["gram"] for x in sample.groupBy("gram").count().where("count > 9").orderBy(F.desc("count"), "gram").limit(HOT_GRAMS).collect()]
+    leads = sorted(bytes(x["lead"]) for x in sample.select("lead", F.rand(0).alias("r")).orderBy("r").limit(SPLITTER_ROWS).collect())
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    splitters = sorted({leads[k * len(leads) // (FINER * parts)] for k in range(1, FINER * parts)}) if leads else []
 
     is_hot = F.col("gram").isin(hot) if hot else F.lit(False)
     salt = F.when(is_hot, F.xxhash64(ROW, "pos") % 4096).otherwise(F.lit(0))
@@ -320,23 +359,42 @@ def repeated_spans(rows: DataFrame, length: int = 200, bucket_rows: int = BUCKET
     within = repeated.where("n = 0").select(ROW, F.col("pos").alias("start"), F.col("ctx").alias("end"))
     suffixes = repeated.where("n > 0")
     classes = pinned(suffixes.groupBy("gram", "ctx").agg(F.sum("n").alias("n"), F.min(F.struct(ROW, "pos")).alias("place")), "classes")
-    reach = length - GRAM
-    whole = suffixes.drop("n").join(classes.where("n > 1").select("gram", "ctx"), ["gram", "ctx"]).select(ROW, F.greatest(F.col("pos") - reach, F.lit(0)).alias("start"), (F.col("pos") + length).alias("end"))
-
-    kinds = classes.groupBy("gram").count().where("count > 1")
-    chosen = classes.join(kinds, "gram").select(F.col(f"place.{ROW}").alias(ROW), F.struct(F.col("place.pos").alias("pos"), "gram", (F.col("n") == 1).alias("single"), (F.col("count") > bucket_rows).alias("crowded")).alias("place"))
-    places = chosen.groupBy(ROW).agg(F.collect_list("place").alias("places"))
-    contexts = rows.join(places, ROW).select(ROW, "doc_id", "text", "places").mapInPandas(_contexts(length), "lead long, gram long, __row long, pos long, single boolean, crowded boolean, before binary, after binary")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    span = "__row long, start long, end long"
-    fine = contexts.where("not crowded").repartitionByRange(parts, "lead").sortWithinPartitions("lead").mapInPandas(_sorted_buckets(length), span)
-    spans = within.unionByName(whole).unionByName(fine)
-    if kinds.where(F.col("count") > bucket_rows).limit(1).count():
-        windows = pinned(contexts.where("crowded").mapInPandas(_window_digests(length), "gram long, j long, hi long, lo long, __row long, start long, single boolean"), "windows")
-        twice = windows.groupBy("gram", "j", "hi", "lo").count().where("count > 1")
-        across = windows.where("single").join(twice, ["gram", "j", "hi", "lo"]).select(ROW, "start", (F.col("start") + length).alias("end"))
-        spans = spans.unionByName(across)
-    return spans
+    place = F.struct(F.col("place.pos").alias("pos"), "gram", "ctx", (F.col("n") == 1).alias("single"))
+    crowded = pinned(classes.groupBy("gram").count().where(F.col("count") > bucket_rows).select("gram"), "crowded")
+    many = crowded.count()
+    side = F.broadcast(crowded) if many < 10_000 else crowded
+
+    def contexts(of: DataFrame) -> DataFrame:
+        places = of.select(F.col(f"place.{ROW}").alias(ROW), place.alias("place")).groupBy(ROW).agg(F.collect_list("place").alias("places"))
+        schema = "bucket int, gram long, ctx long, __row long, pos long, single boolean, before binary, after binary"
+        made = rows.join(places, ROW).select(ROW, "text", "places").mapInPandas(_contexts(length, splitters), schema)
+        return made.select("*", F.lit(0).alias("lo"), F.lit(length - GRAM).alias("hi"))
+
+    def sorted_by(dealt: DataFrame) -> DataFrame:
+        return dealt.sortWithinPartitions("lo", "hi", "key", "after").mapInPandas(_sorted_buckets(length), _RUNS)
+
+    usual = classes.join(side, "gram", "left_anti") if many else classes
+    runs = [pinned(sorted_by(contexts(usual).repartition(parts, "bucket").withColumn("key", _key(length))), "runs")]
+    if many:
+        left = pinned(contexts(classes.join(side, "gram", "left_semi")), "crowded")
+        runs.append(left.where("not single").select("gram", "ctx", *(F.lit(None).cast("long").alias(c) for c in (ROW, "start", "end"))))
+        while left.limit(1).count():
+            halves = pinned(_halved(left, length), "halves")
+            large = pinned(halves.groupBy("lo", "hi", "key").agg(F.count("*").alias("rows")).where(F.col("rows") > bucket_rows).select("lo", "hi", "key"), "large")
+            few = halves.join(large, ["lo", "hi", "key"], "left_anti")
+            runs.append(pinned(sorted_by(few.repartition(parts, "lo", "hi", "key")).where(F.col(ROW).isNotNull()), "runs"))
+            crowd = halves.join(large, ["lo", "hi", "key"], "left_semi")
+            # a key of one window is that window: over bucket_rows suffixes, all equal
+            ends = F.col("pos") - F.col("lo")
+            one = crowd.where("lo = hi AND single")
+            runs.append(pinned(one.select("gram", "ctx", ROW, ends.alias("start"), (ends + length).alias("end")), "runs"))
+            left = pinned(crowd.where("lo < hi").drop("key"), "crowded")
+    every_run = runs[0]
+    for more in runs[1:]:
+        every_run = every_run.unionByName(more)
+    covered = every_run.where(F.col(ROW).isNull()).select("gram", "ctx")
+    whole = suffixes.drop("n").join(covered, ["gram", "ctx"]).select(ROW, F.greatest(F.col("pos") - (length - GRAM), F.lit(0)).alias("start"), (F.col("pos") + length).alias("end"))
+    return within.unionByName(whole).unionByName(every_run.where(F.col(ROW).isNotNull()).select(ROW, "start", "end"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
