@@ -297,10 +297,11 @@ def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def templates(rows: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """host, texts (array of block keys) and slots (array of key, chars, links: means over its pages) from rows(host, html)."""
     seen = rows.select("host", "html").mapInPandas(_occurrences, _SEEN)
-    # pages with equal texts, or with the same elements around other boilerplate, count once
+    # pages with equal texts count once
     once = seen.groupBy("host", "token", "kind", "content").agg(F.max("times").alias("times"), F.max("chars").alias("chars"), F.max("links").alias("links"))
     vector = F.bit_xor(F.xxhash64("content", "times")).alias("vector")
-    totals = pinned(once.groupBy("host", "token", "kind").agg(F.count("*").alias("pages"), F.sum("times").alias("times"), vector, F.avg("chars").alias("chars"), F.avg("links").alias("links")), "tokens")
+    totals = once.groupBy("host", "token", "kind").agg(F.count("*").alias("pages"), F.sum("times").alias("times"), vector, F.avg("chars").alias("chars"), F.avg("links").alias("links"))
+    totals = pinned(totals.where((F.col("pages") >= least) | (F.col("kind") == 0)), "tokens")
     size = totals.where("kind = 0").select("host", F.col("pages").alias("size"))
     common = totals.where("kind > 0").join(size, "host").where((F.col("pages") >= least) & (F.col("pages") >= share * F.col("size")))
     member = F.struct("token", "kind", F.col("times").alias("times"), "chars", "links")

@@ -139,7 +139,7 @@ def _suffixes(length: int):
 
 
 def _leading(length: int):
-    """Batches of (row, text) to the grams of their anchors, as hashes and as bytes."""
+    """Batches of (row, text) to the grams of their anchors, as hashes and as bytes, with the hashes of their contexts."""
     suffixes = _suffixes(length)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,7 +147,7 @@ def _leading(length: int):
             data = {row: text.encode() for row, text in zip(batch[ROW], batch["text"])}
             for found in suffixes(iter([batch])):
                 found = found[found["n"] > 0]
-                yield pd.DataFrame({"gram": found["gram"], "lead": [data[row][p : p + GRAM] for row, p in zip(found[ROW], found["pos"])]})
+                yield pd.DataFrame({"gram": found["gram"], "ctx": found["ctx"], "lead": [data[row][p : p + GRAM] for row, p in zip(found[ROW], found["pos"])]})
 
     return run
 
@@ -345,9 +345,12 @@ def repeated_spans(rows: DataFrame, length: int = 200, bucket_rows: int = BUCKET
     found = rows.select(ROW, "text").mapInPandas(_suffixes(length), "gram long, ctx long, __row long, pos long, n long")
 
     every = max(1, rows.count() // SAMPLE_ROWS)
-    sample = pinned(rows.where(F.pmod(F.xxhash64(ROW), F.lit(every)) == 0).select(ROW, "text").mapInPandas(_leading(length), "gram long, lead binary"), "sample")
+    sample = pinned(rows.where(F.pmod(F.xxhash64(ROW), F.lit(every)) == 0).select(ROW, "text").mapInPandas(_leading(length), "gram long, ctx long, lead binary"), "sample")
     hot = [x["gram"] for x in sample.groupBy("gram").count().where("count > 9").orderBy(F.desc("count"), "gram").limit(HOT_GRAMS).collect()]
-    leads = sorted(bytes(x["lead"]) for x in sample.select("lead", F.rand(0).alias("r")).orderBy("r").limit(SPLITTER_ROWS).collect())
+    # equal suffixes stand for one another, so each counts once
+    kinds = sample.groupBy("gram", "ctx").agg(F.first("lead").alias("lead"))
+    share = SPLITTER_ROWS / max(1, sample.count())
+    leads = sorted(bytes(x["lead"]) for x in kinds.where(F.rand(0) < share).select("lead").collect())  # SPLITTER_ROWS of them, but for chance
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     splitters = sorted({leads[k * len(leads) // (FINER * parts)] for k in range(1, FINER * parts)}) if leads else []
 
