@@ -54,7 +54,11 @@ def _simhash(words: list[bytes], shingle: int) -> int:
         return xxhash.xxh64_intdigest(b" ".join(words), 42)
     digest = xxhash.xxh64_digest
     joined = [words[k : len(words) - shingle + 1 + k] for k in range(shingle)]
-    raw = b"".join([digest(b" ".join(x), 42) for x in zip(*joined)])
+    return majority(b"".join([digest(b" ".join(x), 42) for x in zip(*joined)]))
+
+
+def majority(raw: bytes) -> int:
+    """The bits set in over half of the big-endian 64-bit numbers of raw; 0 if there are none."""
     n = len(raw) // 8
     ones = np.zeros(BITS, dtype=np.int64)
     for lo in range(0, len(raw), 8 << 16):
