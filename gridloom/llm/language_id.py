@@ -8,8 +8,11 @@ size fixed by these parameters and the number of languages, which is checked, an
 broadcast. Scoring sums the matrix over the n-grams of whole texts, batch by batch.
 
 A text that is null or has no letter is ``und`` with score 0, as is every text if nothing
-could be learned. The score is the posterior probability of the predicted language.
-doc_id may be null (such rows are neither held out nor learned from) or repeated.
+could be learned. The score is the posterior probability of the predicted language; of
+equal ones the language that sorts first counts. doc_id may be null (such rows are neither
+held out nor learned from) or repeated: every row is judged by itself. Other columns stay
+as they are, but for those named held_out, lang_pred or score, which the results replace.
+Long texts are hashed in slices, and no n-gram counts twice. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import ROW, numbered
+
 BUCKETS = 1 << 16
 #: Longest n-gram.
 MOST = 4
@@ -43,7 +48,7 @@ def letters(text: str | None) -> str:
 
 
 def _grams(text: str) -> list[np.ndarray]:
-    """Buckets of the n-grams of a text, by n."""
+    """Buckets of the n-grams of a text, by n; the one at place k starts at character k."""
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     h, out = np.zeros(len(code), dtype=np.uint32), []
     for n in range(1, MOST + 1):
@@ -55,20 +60,17 @@ def _grams(text: str) -> list[np.ndarray]:
     return out
 
 
-def _pieces(text: str) -> Iterator[str]:
-    """A text in slices of ``BLOCK`` characters that overlap by the longest n-gram less one.
-
-    Short n-grams in the overlaps count twice: the same on every run, and too few to matter.
-    """
+def _pieces(text: str) -> Iterator[tuple[str, int]]:
+    """A text in slices of ``BLOCK`` characters, each with the characters that its last n-grams reach into, and the number of its own."""
     for lo in range(0, max(1, len(text)), BLOCK):
-        yield text[max(0, lo - MOST + 1) : lo + BLOCK]
+        yield text[lo : lo + BLOCK + MOST - 1], min(BLOCK, len(text) - lo)
 
 
 def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities (buckets x languages; the last row is the prior) from rows (doc_id, text, lang)."""
-    labelled = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = labelled.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample_rows).select("doc_id").distinct()
-    sample = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
+    labelled = numbered(rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), "doc_id", "text", "lang")
+    chosen = labelled.select(ROW, "doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", ROW).limit(sample_rows).select(ROW)
+    sample = labelled.join(F.broadcast(chosen), ROW, "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
@@ -80,9 +82,9 @@ def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], n
                     continue
                 own = total.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
                 docs[lang] = docs.get(lang, 0) + 1
-                for piece in _pieces(kept):
+                for piece, size in _pieces(kept):
                     for g in _grams(piece):
-                        own += np.bincount(g, minlength=BUCKETS)
+                        own += np.bincount(g[:size], minlength=BUCKETS)
         for lang, own in total.items():
             yield pd.DataFrame({"lang": lang, "counts": [own.tolist()], "docs": docs[lang]})
 
@@ -104,8 +106,9 @@ def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], n
 
 
 def classify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """All columns of docs with lang_pred and score."""
+    """All columns of docs with lang_pred and score; columns of these names are replaced."""
     names, matrix = model
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(matrix.T))
 
     def scores(texts: list[str]) -> np.ndarray:
@@ -113,31 +116,35 @@ def classify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
         out = np.tile(logs[:, -1].astype(float), (len(texts), 1))
         block: list[str] = []
         owner: list[int] = []
+        own: list[int] = []
 
         def flush() -> None:
             joined = "".join(block)
             ends = np.cumsum([len(x) for x in block])
             edges = np.concatenate([[0], ends[:-1]])
             for n, g in enumerate(_grams(joined), 1):
-                # an n-gram that crosses into the next text counts for none
-                crossing = (ends[:-1, None] - np.arange(1, n)).ravel() if n > 1 and len(block) > 1 else ()
+                # an n-gram that crosses into the next slice, or that belongs to it, counts for none
+                last = np.minimum(edges + own, ends - n + 1)
+                foreign = np.concatenate([np.arange(max(a, b), c) for a, b, c in zip(last.tolist(), edges.tolist(), ends.tolist())])
+                foreign = foreign[foreign < len(g)]
                 inside = edges < len(g)
                 for k in range(len(names)):
                     worth = logs[k][g]
-                    if len(crossing):
-                        worth[crossing[(crossing >= 0) & (crossing < len(g))]] = 0
+                    worth[foreign] = 0
                     np.add.at(out, (np.array(owner)[inside], k), np.add.reduceat(worth, edges[inside], dtype=float))
 
         size = 0
         for i, text in enumerate(texts):
-            for piece in _pieces(text) if text else ():
+            for piece, number in _pieces(text) if text else ():
                 block.append(piece)
                 owner.append(i)
+                own.append(number)
                 size += len(piece)
                 if size >= BLOCK:
                     flush()
                     block.clear()
                     owner.clear()
+                    own.clear()
                     size = 0
         if block:
             flush()
