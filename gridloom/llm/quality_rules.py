@@ -10,7 +10,9 @@ pruned from the end on the other third; a rule is kept if it is precise on both.
 becomes one ordered CASE expression; rows that no rule covers are kept.
 
 Null texts have no words. doc_id may be null or repeated; every row is judged by itself.
-Without labels there are no rules, and only the base rule applies.
+Without labels there are no rules, and only the base rule applies. Columns of docs named
+like a result are replaced by it; others stay. An empty table stays empty. Of cuts with
+equal gain the first by feature and threshold counts.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ PRECISION, SUPPORT = 0.95, 4
 # What parts words, and the symbols counted.
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+_HASH = "xxhash64({words})"
 _SPLIT = "[ \\t\\n\\x0B\\f\\r]+"
 FEATURES = ("word_length", "symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "digit_rate", "mark_rate")
 
@@ -62,8 +65,16 @@ def word_features(docs: DataFrame) -> DataFrame:
         # low bits of a window's key are its place, so one sort of longs brings equal windows together
         "__low": F.expr("shiftleft(1L, 1 + CAST(ceil(log2(size(__words) + 1)) AS int)) - 1"),
     })
-    sorted_keys = counted.withColumn("__keys", F.expr("explode_outer(array(CASE WHEN n_words < 3 THEN CAST(array() AS array<bigint>) ELSE sort_array(transform(sequence(0L, n_words - 3), i -> (xxhash64(get(__words, CAST(i AS int)), get(__words, CAST(i AS int) + 1), get(__words, CAST(i AS int) + 2)) & ~__low) | i)) END))"))
-    twins = sorted_keys.withColumn("__twins", F.expr("sort_array(transform(filter(__keys, (x, i) -> coalesce((x ^ get(__keys, i - 1)) BETWEEN 0 AND __low, false) OR coalesce((x ^ get(__keys, i + 1)) BETWEEN 0 AND __low, false)), x -> x & __low))"))
+    window = "get(__words, CAST({i} AS int)), get(__words, CAST({i} AS int) + 1), get(__words, CAST({i} AS int) + 2)"
+    hashed = _HASH.format(words=window.format(i="i"))
+    sorted_keys = counted.withColumn("__keys", F.expr(f"explode_outer(array(CASE WHEN n_words < 3 THEN CAST(array() AS array<bigint>) ELSE sort_array(transform(sequence(0L, n_words - 3), i -> ({hashed} & ~__low) | i)) END))"))
+    meets = "coalesce((x ^ get({of}, i {j} 1)) BETWEEN 0 AND __low, false)"
+    near = sorted_keys.withColumn("__near", F.expr(f"explode_outer(array(filter(__keys, (x, i) -> {meets.format(of='__keys', j='-')} OR {meets.format(of='__keys', j='+')})))"))
+    # windows of equal hashes are compared word by word; if any differ, the text's windows are sorted as they are
+    unlike = f"size(filter(__near, (x, i) -> {meets.format(of='__near', j='-')} AND struct({window.format(i='(x & __low)')}) <> struct({window.format(i='(get(__near, i - 1) & __low)')}))) > 0"
+    plain = f"sort_array(transform(sequence(0L, n_words - 3), i -> named_struct('w', concat_ws(' ', {window.format(i='i')}), 'i', i)))"
+    exact = f"flatten(transform(array({plain}), s -> transform(filter(s, (x, i) -> coalesce(x.w = get(s, i - 1).w, false) OR coalesce(x.w = get(s, i + 1).w, false)), x -> x.i)))"
+    twins = near.withColumn("__twins", F.expr(f"sort_array(CASE WHEN {unlike} THEN {exact} ELSE transform(__near, x -> x & __low) END)"))
     repeats = twins.withColumn("n_repeat_words", F.expr("aggregate(__twins, named_struct('last', -3L, 'n', 0L), (a, p) -> named_struct('last', p, 'n', a.n + least(3L, p - a.last)), a -> a.n)"))
     words, kept = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     rates = repeats.withColumns({
@@ -75,7 +86,7 @@ def word_features(docs: DataFrame) -> DataFrame:
         "digit_rate": F.col("__digits") / kept,
         "mark_rate": F.col("__marks") / words,
     })
-    return rates.drop("__words", "__lines", "__upper", "__digits", "__marks", "__low", "__keys", "__twins")
+    return rates.drop("__words", "__lines", "__upper", "__digits", "__marks", "__low", "__keys", "__near", "__twins")
 
 
 @dataclass(frozen=True)
