@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written under ``spark.checkpoint.dir`` (a new local folder where that is unset) and read back."""
+    """df written under ``spark.checkpoint.dir`` and read back; a new local folder serves where that is unset and all runs on this machine."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jsc = spark.sparkContext._jsc.sc()
         if not jsc.getCheckpointDir().isDefined():
+            if not jsc.isLocal():
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
         folder = jsc.getCheckpointDir().get()
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
