@@ -5,18 +5,23 @@ ASCII. A *window* is ``width`` consecutive words of a test item; an item of fewe
 but not none, is one window. A document word inside any occurrence of a window is hit.
 
 1. The frequency of each test word over all documents is counted (partial sums).
-2. Each window names its two rarest places; the rarest of a window is its *anchor*. The
-   postings of those words alone are stored: word, document, position, and the test words
-   around it, so a posting can prove a phrase by itself.
+2. Each window names its two rarest words; the rarest is its *anchor*. The postings of
+   those words, the rarest test terms, are stored: word, document, position, and the test
+   words around it, so a posting can prove a phrase by itself.
 3. Lists are intersected from the rarest word on: a posting and a test place give a shift
    (document position less test position), and a (document, item, shift) survives only if
-   anchor and partner meet at the same shift. Survivors are compared word by word.
-4. Hits are gathered per document.
+   the lists of anchor and partner meet there, with at most ``SLOP`` words between shifts.
+4. Survivors are compared word by word. An exact phrase is a hit. A proximity match is a
+   window of which ``NEARLY`` of the words, its two rarest among them, each stand at most
+   ``SLOP`` words off their places as seen from the anchor; it is told, but no hit.
+5. Hits are gathered per document.
 
 The test items are taken in blocks of at most ``BLOCK_WORDS`` words, so what is broadcast
 has a fixed bound, whatever the size of the benchmark. Null texts have no words. doc_id
 may be null or repeated: rows are told apart by a number of their own. Equal items all
-count; item_id null is left out of the lists but its windows still hit.
+count; item_id null is left out of the lists but its windows still hit. Of equally rare
+words the first counts. Other columns are ignored, whatever their names; an empty table
+gives an empty result, and without items nothing is hit.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ from gridloom.llm.common import ROW, numbered, pinned
 
 #: Words of test items that one pass over the documents looks for.
 BLOCK_WORDS = 1_000_000
+#: Words by which a place may be off in a proximity match, and the share of a window's words that must be there.
+SLOP, NEARLY = 3, 0.8
 #: Characters of words; everything else in ASCII parts them.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -100,13 +107,23 @@ def _postings(terms: dict[bytes, int], kept: set[int], around: int):
     return run
 
 
-def _proved(items: list[list[int]], width: int, around: int):
-    """Candidates to the hit spans that their posting's surroundings prove: (row, item, first word, end word)."""
+def _proved(items: list[list[int]], starts: dict[tuple[int, int, int], list[int]], width: int, around: int):
+    """Candidates to what their posting's surroundings prove: (row, item, first word, end word) of hit spans; places of -1 for a proximity match alone."""
+
+    def nearly(test: list[int], start: int, place: int, partner: int, near: list[int]) -> bool:
+        found, window = 0, range(start, min(len(test), start + width))
+        for k in window:
+            at = around + k - place
+            ok = near[around] == test[k] if k == place else test[k] in near[max(0, at - SLOP) : at + SLOP + 1]
+            if not ok and k in (place, partner):
+                return False
+            found += ok
+        return found >= NEARLY * len(window)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for row, item, place, pos, context in zip(batch[ROW], batch["item"], batch["place"], batch["pos"], batch["around"]):
+            for row, item, place, partner, pos, context in zip(batch[ROW], batch["item"], batch["place"], batch["partner"], batch["pos"], batch["around"]):
                 test = items[item]
                 near = np.frombuffer(context, dtype=np.int32)
                 lo, hi = max(0, place - around), min(len(test), place + around + 1)
@@ -121,13 +138,17 @@ def _proved(items: list[list[int]], width: int, around: int):
                 if right - left >= need:
                     shift = pos - place + lo
                     out.append((row, item, shift + left, shift + right))
+                else:
+                    listed = near.tolist()
+                    if any(nearly(test, start, place, partner, listed) for start in starts[item, place, partner]):
+                        out.append((row, item, -1, -1))
             yield pd.DataFrame(out, columns=[ROW, "item", "start", "end"]).astype("int64")
 
     return run
 
 
 def _block_matches(rows: DataFrame, items: list[list[bytes]], width: int) -> tuple[DataFrame, DataFrame]:
-    """(documents with n_words, spans (row, item, start, end)) for a bounded list of items."""
+    """(documents with n_words, matches (row, item, start, end)) for a bounded list of items."""
     spark = rows.sparkSession
     vocabulary = sorted({w for words in items for w in words})
     terms = {w: k for k, w in enumerate(vocabulary)}
@@ -135,18 +156,23 @@ def _block_matches(rows: DataFrame, items: list[list[bytes]], width: int) -> tup
     seen = {vocabulary[x["term"]]: x["n"] for x in counted.collect()}  # as many rows as test words
     places = _places(items, width, seen)
     kept = {terms[items[k][p]] for k, a, b, _ in places for p in (a, b)}
-    around = width - 1
+    around = width - 1 + SLOP
     index = pinned(rows.mapInPandas(_postings(terms, kept, around), f"__row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, postings array<struct<term:int,pos:long,around:binary>>"), "postings")
     postings = index.select(ROW, F.explode("postings").alias("p")).select(ROW, "p.term", "p.pos", "p.around")
 
-    pairs = sorted({(k, a, b) for k, a, b, _ in places})
-    anchors = spark.createDataFrame([(k, a, b, terms[items[k][a]]) for k, a, b in pairs], "item int, place int, partner int, term int")
-    partners = spark.createDataFrame(sorted({(k, b, terms[items[k][b]]) for k, _, b in pairs}), "item int, partner int, term int")
-    first = postings.join(F.broadcast(anchors), "term").withColumn("shift", F.col("pos") - F.col("place"))
-    second = postings.drop("around").join(F.broadcast(partners), "term").select(ROW, "item", "partner", (F.col("pos") - F.col("partner")).alias("shift"))
-    met = first.join(second, [ROW, "item", "partner", "shift"], "left_semi")
+    starts: dict[tuple[int, int, int], list[int]] = {}
+    for k, a, b, start in places:
+        starts.setdefault((k, a, b), []).append(start)
+    anchors = spark.createDataFrame([(k, a, b, terms[items[k][a]]) for k, a, b in sorted(starts)], "item int, place int, partner int, term int")
+    partners = spark.createDataFrame(sorted({(k, b, terms[items[k][b]]) for k, _, b in starts}), "item int, partner int, term int")
+    # shifts at most SLOP apart meet in a cell: those of the anchor list stand in every cell that they reach into
+    cell = lambda shift: F.floor(shift / (8 * SLOP))
+    shift = F.col("pos") - F.col("place")
+    first = postings.join(F.broadcast(anchors), "term").withColumn("cell", F.explode(F.array_distinct(F.array(cell(shift - SLOP), cell(shift + SLOP)))))
+    second = postings.drop("around").join(F.broadcast(partners), "term").select(ROW, "item", "partner", cell(F.col("pos") - F.col("partner")).alias("cell"))
+    met = first.join(second, [ROW, "item", "partner", "cell"], "left_semi")
     coded = [[terms[w] for w in words] for words in items]
-    return index.select(ROW, "doc_id", "n_words"), met.select(ROW, "item", "place", "pos", "around").mapInPandas(_proved(coded, width, around), "__row long, item long, start long, end long")
+    return index.select(ROW, "doc_id", "n_words"), met.select(ROW, "item", "place", "partner", "pos", "around").mapInPandas(_proved(coded, starts, width, around), "__row long, item long, start long, end long")
 
 
 def _hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,7 +186,7 @@ def _hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 else:
                     runs.append([s, e])
             out.append([{"start": s, "end": e} for s, e in runs])
-        yield pd.DataFrame({ROW: batch[ROW], "doc_id": batch["doc_id"], "n_words": batch["n_words"], "n_items": batch["n_items"], "items": batch["items"], "hits": out})
+        yield pd.DataFrame({ROW: batch[ROW], "doc_id": batch["doc_id"], "n_words": batch["n_words"], "n_items": batch["n_items"], "n_near": batch["n_near"], "items": batch["items"], "hits": out})
 
 
 def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
@@ -177,7 +203,7 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str | None,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """__row (of numbered(docs)), doc_id, n_words, n_items (items with occurring windows), items (their ids as sorted strings) and hits (array of start, end in words) of every row of docs."""
+    """__row (of numbered(docs)), doc_id, n_words, n_items (items with occurring windows), n_near (items with proximity matches or occurring windows), items (the ids of the former as sorted strings) and hits (array of start, end in words) of every row of docs."""
     rows = numbered(docs, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     base, spans = None, None
@@ -187,9 +213,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
         found = found.join(F.broadcast(names), "item").withColumn("item", F.col("item") + F.lit(number << 32))
         base = base if base is not None else index
         spans = found if spans is None else spans.unionByName(found)
-    per_doc = spans.groupBy(ROW).agg(F.collect_set(F.struct("start", F.col("end"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"), F.countDistinct("item").alias("n_items"))
-    joined = base.join(per_doc, ROW, "left").select(ROW, "doc_id", "n_words", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
-    return joined.mapInPandas(_hits, f"{ROW} long, doc_id {kind}, n_words long, n_items long, items array<string>, hits array<struct<start:long,end:long>>")
+    exact = F.col("start") >= 0
+    per_doc = spans.groupBy(ROW).agg(
+        F.collect_set(F.when(exact, F.struct("start", F.col("end")))).alias("spans"), F.array_sort(F.collect_set(F.when(exact, F.col("item_id")))).alias("items"),
+        F.countDistinct(F.when(exact, F.col("item"))).alias("n_items"), F.countDistinct("item").alias("n_near"),
+    )
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    joined = base.join(per_doc, ROW, "left").select(ROW, "doc_id", "n_words", number("n_items"), number("n_near"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
+    return joined.mapInPandas(_hits, f"{ROW} long, doc_id {kind}, n_words long, n_items long, n_near long, items array<string>, hits array<struct<start:long,end:long>>")
 
 
 def positional_index(docs: DataFrame) -> DataFrame:
