@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.scratch import stored
@@ -11,33 +11,60 @@ from gridloom.scratch import stored
 EVERY = 4
 
 
-def _edges(labelled: DataFrame) -> DataFrame:
-    """Each cell with each of its four neighbours: label and idx of both."""
+#: A label is a cell's place in one number, rows first.
+ROW_UNIT = 1 << 32
+
+
+def _label(x: str = "x", y: str = "y") -> Column:
+    return F.col(y).cast("long") * ROW_UNIT + F.col(x)
+
+
+def _edges(labelled: DataFrame, same: bool = False) -> DataFrame:
+    """Each cell with each of its four neighbours, of the same colour alone if asked: label and idx of both."""
     step = F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))))
     sent = labelled.select("image_id", "label", "idx", F.col("x").alias("fx"), F.col("y").alias("fy"), F.explode(step).alias("s"))
-    near = sent.select("image_id", (F.col("fx") + F.col("s.dx")).alias("x"), (F.col("fy") + F.col("s.dy")).alias("y"), F.col("label").alias("from_label"), F.col("idx").alias("from_idx"))
-    return near.join(labelled, ["image_id", "x", "y"])
-
-
-def label_regions(cells: DataFrame, rounds: int | None = None) -> DataFrame:
-    """Cells with the least place (y, x) seen within ``rounds`` same-colour steps as label; without rounds until nothing changes."""
-    labelled = cells.withColumn("label", F.struct("y", "x"))
-    k = 0
-    while rounds is None or k < rounds:
-        least = _edges(labelled).where("from_idx = idx").groupBy("image_id", "x", "y").agg(F.min("from_label").alias("near"))
-        grown = labelled.join(least, ["image_id", "x", "y"], "left").select("image_id", "x", "y", "idx", F.least("label", F.coalesce("near", "label")).alias("label"), (F.coalesce("near", "label") < F.col("label")).alias("moved"))
-        k += 1
-        if rounds is None or k % EVERY == 0:
-            grown = stored(grown, "labels")
-            if not grown.where("moved").limit(1).count():
-                return grown.drop("moved")
-        labelled = grown.drop("moved")
+    near = sent.select("image_id", (F.col("fx") + F.col("s.dx")).alias("x"), (F.col("fy") + F.col("s.dy")).alias("y"), F.col("label").alias("from_label"), F.col("idx").alias("idx" if same else "from_idx"))
+    return near.join(labelled, ["image_id", "x", "y", "idx"] if same else ["image_id", "x", "y"])
+
+
+def label_regions(cells: DataFrame, rounds: int) -> DataFrame:
+    """Cells with the least place (y, x) seen within ``rounds`` same-colour steps as label."""
+    labelled = cells.withColumn("label", _label())
+    for k in range(1, rounds + 1):
+        least = _edges(labelled, same=True).groupBy("image_id", "x", "y").agg(F.min("from_label").alias("near"))
+        labelled = labelled.join(least, ["image_id", "x", "y"], "left").select("image_id", "x", "y", "idx", F.least("label", F.coalesce("near", "label")).alias("label"))
+        if k % EVERY == 0:
+            labelled = stored(labelled, "labels")
     return labelled
 
 
 def component_sizes(cells: DataFrame) -> DataFrame:
-    """image_id, idx, the region's least place (x, y) and its number of cells."""
-    return label_regions(cells).groupBy("image_id", "idx", "label").agg(F.count("*").alias("n")).select("image_id", "idx", F.col("label.x").alias("x"), F.col("label.y").alias("y"), "n")
+    """image_id, idx, the region's least place (x, y) and its number of cells.
+
+    Large stars and small stars by turns: each cell's neighbours are hung to the least of
+    them, until every cell hangs to its region's least. Rounds grow with the logarithm of
+    a region's size, not with its width.
+    """
+    labelled = cells.withColumn("label", _label())
+    right = [labelled.select("image_id", "idx", (F.col("x") + a).alias("x"), (F.col("y") + b).alias("y"), F.col("label").alias("b")) for a, b in ((1, 0), (0, 1))]
+    met = right[0].unionByName(right[1]).join(labelled, ["image_id", "idx", "x", "y"])
+    edges, before = stored(met.select("image_id", F.col("label").alias("a"), "b"), "edges"), None
+    while True:
+        both = edges.unionByName(edges.select("image_id", F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("image_id", "a").agg(F.min("b").alias("m")).select("image_id", "a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, ["image_id", "a"]).select("image_id", F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        down = large.groupBy("image_id", "a").agg(F.min("b").alias("m"))
+        small = large.join(down, ["image_id", "a"]).select("image_id", F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        edges = stored(small, "edges")
+        # a round only moves edges to smaller places, so equal sums mean that none has moved
+        now = edges.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    roots = edges.withColumnRenamed("a", "label")
+    named = labelled.join(roots, ["image_id", "label"], "left").select("image_id", "idx", F.coalesce("b", "label").alias("label"))
+    counted = named.groupBy("image_id", "idx", "label").agg(F.count("*").alias("n"))
+    return counted.select("image_id", "idx", (F.col("label") % ROW_UNIT).cast("int").alias("x"), F.floor(F.col("label") / ROW_UNIT).cast("int").alias("y"), "n")
 
 
 def despeckle(cells: DataFrame, min_region: int) -> DataFrame:

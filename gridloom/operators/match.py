@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.errors import InvalidPalette
-from gridloom.functions.colorspace import coordinates, squared
+from gridloom.functions.colorspace import coordinates
 from gridloom.options import Matcher
 
 MOST_COLORS = 65_536
+#: Distances that a task holds at once.
+CELLS = 1 << 21
 
 
 def check_palette_size(palette: DataFrame) -> int:
@@ -22,21 +28,38 @@ def check_palette_size(palette: DataFrame) -> int:
     return size
 
 
+def _closest(points: np.ndarray, colors: np.ndarray) -> np.ndarray:
+    """Place of the first nearest row of colors for each row of points."""
+    out = np.empty(len(points), dtype=np.int64)
+    step = max(1, CELLS // len(colors))
+    for lo in range(0, len(points), step):
+        p, q, s = (points[lo : lo + step, k, None] - colors[None, :, k] for k in range(3))
+        out[lo : lo + step] = (p * p + q * q + s * s).argmin(axis=1)
+    return out
+
+
 def nearest(points: DataFrame, keys: list[str], palette: DataFrame, matcher: Matcher, ready: bool = False) -> DataFrame:
-    """keys and idx for points(keys..., c0, c1, c2 if ready, else r, g, b); palette(idx, r, g, b)."""
+    """keys and idx for points(keys..., c0, c1, c2 if ready, else r, g, b); palette(idx, r, g, b).
+
+    The palette, whose size is checked, goes to every task; points are matched where they
+    are, batch by batch, each distinct point of a batch once, and nothing is shuffled.
+    """
     check_palette_size(palette)
     own = coordinates(matcher)
-    small = palette.select(F.col("idx").cast("int").alias("idx"), *(c.alias(f"p{k}") for k, c in enumerate(own)))
-    left = points if ready else points.select(*keys, *(c.alias(f"c{k}") for k, c in enumerate(own)))
-    distance = squared(tuple(F.col(f"c{k}") for k in range(3)), tuple(F.col(f"p{k}") for k in range(3)))
-    pairs = left.crossJoin(F.broadcast(small))
-    if matcher is Matcher.RGB and not ready:
-        packed = F.min(distance.cast("long") * MOST_COLORS + F.col("idx"))
-        return pairs.groupBy(*keys).agg(packed.bitwiseAND(F.lit(MOST_COLORS - 1)).cast("int").alias("idx"))
-    return pairs.groupBy(*keys).agg(F.min(F.struct(distance.alias("d"), "idx"))["idx"].alias("idx"))
+    small = palette.select(F.col("idx").cast("int").alias("idx"), *(c.cast("double").alias(f"p{k}") for k, c in enumerate(own))).toPandas().sort_values("idx")
+    shared = points.sparkSession.sparkContext.broadcast((small["idx"].to_numpy(dtype=np.int32), small[["p0", "p1", "p2"]].to_numpy(dtype=float)))
+    placed = points.select(*keys, *(c.cast("double").alias(f"__c{k}") for k, c in enumerate((F.col("c0"), F.col("c1"), F.col("c2")) if ready else own)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        idx, colors = shared.value
+        for batch in batches:
+            here = batch[["__c0", "__c1", "__c2"]].to_numpy(dtype=float)
+            distinct, at = np.unique(here, axis=0, return_inverse=True) if len(here) else (here, np.empty(0, np.int64))
+            yield batch[keys].assign(idx=idx[_closest(distinct, colors)][at.ravel()])
+
+    return placed.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.select(*keys).schema) + ", idx int")
 
 
 def match_pattern(pixels: DataFrame, palette: DataFrame, matcher: Matcher = Matcher.OKLAB) -> DataFrame:
-    """Cells (image_id, x, y, idx) of pixels (image_id, x, y, r, g, b): distinct colours are matched once and joined back."""
-    colors = nearest(pixels.select("r", "g", "b").distinct(), ["r", "g", "b"], palette, matcher)
-    return pixels.join(colors, ["r", "g", "b"]).select("image_id", "x", "y", "idx")
+    """Cells (image_id, x, y, idx) of pixels (image_id, x, y, r, g, b)."""
+    return nearest(pixels, ["image_id", "x", "y"], palette, matcher)

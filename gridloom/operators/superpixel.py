@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +19,58 @@ from gridloom.scratch import stored
 PLACE, ROUNDS = 0.1, 10
 #: Coordinates are summed as integers of this unit, so sums do not depend on the order of rows.
 UNIT = float(1 << 40)
-PLACE_UNIT = float(1 << 20)
+#: Centres that are sent to every task, at most.
+SHARED = 200_000
+
+
+def _assigned(points: DataFrame, centres: pd.DataFrame, to_w: int, to_h: int, sx: float, sy: float) -> DataFrame:
+    """Per seed (image_id, i, j) with pixels: their number n, and sums of colour (s0, s1, s2) and place (tx, ty).
+
+    The centres, whose number is checked, go to every task, which compares nine of them
+    for each pixel where it is; only sums per seed and task are shuffled.
+    """
+    ordered = centres.sort_values(["image_id", "j", "i"])
+    shared = points.sparkSession.sparkContext.broadcast({image: own[["cx", "cy", "c0", "c1", "c2"]].to_numpy(dtype=float) for image, own in ordered.groupby("image_id", dropna=False)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for image, own in batch.groupby("image_id", dropna=False):
+                centre, total = shared.value[image], np.zeros((to_w * to_h, 6), dtype=np.int64)
+                x, y, hx, hy = (own[c].to_numpy(dtype=np.int64) for c in ("x", "y", "hx", "hy"))
+                v = own[["v0", "v1", "v2"]].to_numpy(dtype=float)
+                best, chosen = np.full(len(own), np.inf), np.zeros(len(own), dtype=np.int64)
+                for dj in (-1, 0, 1):  # by row, then by column, so that of equal distances the first stays
+                    for di in (-1, 0, 1):
+                        i, j = hx + di, hy + dj
+                        inside = (i >= 0) & (i < to_w) & (j >= 0) & (j < to_h)
+                        seed = np.where(inside, j * to_w + i, 0)
+                        c = centre[seed]
+                        p, q, r = (v[:, k] - c[:, 2 + k] for k in range(3))
+                        dx, dy = (x - c[:, 0]) / sx, (y - c[:, 1]) / sy
+                        far = p * p + q * q + r * r + PLACE * PLACE * (dx * dx + dy * dy)
+                        ok = inside & (far < best)
+                        best[ok], chosen[ok] = far[ok], seed[ok]
+                scaled = v * UNIT
+                whole = (np.sign(scaled) * np.floor(np.abs(scaled) + 0.5)).astype(np.int64)
+                np.add.at(total, chosen, np.column_stack([np.ones(len(own), dtype=np.int64), whole, x, y]))
+                at = np.flatnonzero(total[:, 0])
+                yield pd.DataFrame(total[at], columns=["n", "s0", "s1", "s2", "tx", "ty"]).assign(image_id=image, i=at % to_w, j=at // to_w)
+
+    kind = points.schema["image_id"].dataType.simpleString()
+    parts = points.mapInPandas(run, f"image_id {kind}, i int, j int, n long, s0 long, s1 long, s2 long, tx long, ty long")
+    return parts.groupBy("image_id", "i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "s0", "s1", "s2", "tx", "ty")))
+
+
+def _joined(points: DataFrame, centres: DataFrame, to_w: int, to_h: int, sx: float, sy: float) -> DataFrame:
+    """The same for more centres than are sent to tasks: every pixel meets its nine seeds by an equi-join."""
+    around = F.array(*(F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for b in (-1, 0, 1) for a in (-1, 0, 1)))
+    reach = points.withColumn("o", F.explode(around)).select("image_id", "x", "y", "v0", "v1", "v2", (F.col("hx") + F.col("o.di")).alias("i"), (F.col("hy") + F.col("o.dj")).alias("j")).where(F.col("i").between(0, to_w - 1) & F.col("j").between(0, to_h - 1))
+    p, q, r = (F.col(f"v{k}") - F.col(f"c{k}") for k in range(3))
+    dx, dy = (F.col("x") - F.col("cx")) / sx, (F.col("y") - F.col("cy")) / sy
+    far = p * p + q * q + r * r + PLACE * PLACE * (dx * dx + dy * dy)
+    best = reach.join(centres, ["image_id", "i", "j"]).groupBy("image_id", "x", "y").agg(F.min(F.struct(far.alias("d"), "j", "i")).alias("m"), *(F.first(f"v{k}").alias(f"v{k}") for k in range(3)))
+    sums = [F.sum(F.round(F.col(f"v{k}") * UNIT).cast("long")).alias(f"s{k}") for k in range(3)]
+    return best.groupBy("image_id", F.col("m.i").alias("i"), F.col("m.j").alias("j")).agg(F.count("*").alias("n"), *sums, F.sum(F.col("x").cast("long")).alias("tx"), F.sum(F.col("y").cast("long")).alias("ty"))
 
 
 def superpixels(pixels: DataFrame, width: int, height: int, palette: DataFrame, to_w: int, to_h: int) -> DataFrame:
@@ -33,16 +88,11 @@ def superpixels(pixels: DataFrame, width: int, height: int, palette: DataFrame,
 
     seeds = pixels.select("image_id").distinct().crossJoin(F.broadcast(pixels.sparkSession.createDataFrame([(i, j, min(int((i + 0.5) * sx + 0.5), width - 1), min(int((j + 0.5) * sy + 0.5), height - 1)) for j in range(to_h) for i in range(to_w)], "i int, j int, x int, y int")))
     centres = stored(seeds.join(points, ["image_id", "x", "y"]).select("image_id", "i", "j", F.col("x").cast("double").alias("cx"), F.col("y").cast("double").alias("cy"), *(F.col(f"v{k}").alias(f"c{k}") for k in range(3))), "centres")
-    around = F.array(*(F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for b in (-1, 0, 1) for a in (-1, 0, 1)))
-    reach = stored(points.withColumn("o", F.explode(around)).select("image_id", "x", "y", "v0", "v1", "v2", (F.col("hx") + F.col("o.di")).alias("i"), (F.col("hy") + F.col("o.dj")).alias("j")).where(F.col("i").between(0, to_w - 1) & F.col("j").between(0, to_h - 1)), "reach")
-    color = sum((F.col(f"v{k}") - F.col(f"c{k}")) * (F.col(f"v{k}") - F.col(f"c{k}")) for k in range(3))
-    dx, dy = (F.col("x") - F.col("cx")) / sx, (F.col("y") - F.col("cy")) / sy
+    few = centres.count() <= SHARED
     for _ in range(ROUNDS):
-        met = reach.join(centres, ["image_id", "i", "j"])
-        best = met.groupBy("image_id", "x", "y").agg(F.min(F.struct((color + PLACE * PLACE * (dx * dx + dy * dy)).alias("d"), "j", "i")).alias("m"), *(F.first(f"v{k}").alias(f"v{k}") for k in range(3)))
-        n = F.count("*")
-        sums = [(F.sum(F.round(F.col(f"v{k}") * UNIT).cast("long")) / n / UNIT).alias(f"n{k}") for k in range(3)]
-        means = best.groupBy("image_id", F.col("m.i").alias("i"), F.col("m.j").alias("j")).agg(*sums, (F.sum(F.col("x").cast("long")) / n).alias("nx"), (F.sum(F.col("y").cast("long")) / n).alias("ny"))
+        sums = _assigned(points, centres.toPandas(), to_w, to_h, sx, sy) if few else _joined(points, centres, to_w, to_h, sx, sy)
+        n = F.col("n")
+        means = sums.select("image_id", "i", "j", *((F.col(f"s{k}") / n / UNIT).alias(f"n{k}") for k in range(3)), (F.col("tx") / n).alias("nx"), (F.col("ty") / n).alias("ny"))
         moved = centres.join(means, ["image_id", "i", "j"], "left")
         centres = stored(moved.select("image_id", "i", "j", F.coalesce("nx", "cx").alias("cx"), F.coalesce("ny", "cy").alias("cy"), *(F.coalesce(f"n{k}", f"c{k}").alias(f"c{k}") for k in range(3))), "centres")
     snapped = nearest(centres.select("image_id", "i", "j", "c0", "c1", "c2"), ["image_id", "i", "j"], palette, Matcher.OKLAB, ready=True)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import colorspace
-from gridloom.operators import layout, render, stats
+from gridloom.operators import layout, render, stats, superpixel
 from gridloom.operators.despeckle import component_sizes, despeckle
 from gridloom.operators.match import match_pattern
 from gridloom.operators.reduce import reduce_colors
@@ -23,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # --- SQL building blocks -----------------------------------------------------
 _PIXELS = f"pixels AS (SELECT CAST(0 AS BIGINT) AS image_id, CAST(event_id % {WIDTH} AS INTEGER) AS x, CAST(event_id // {WIDTH} AS INTEGER) AS y, CAST(user_id * 37 % 256 AS INTEGER) AS r, CAST(CAST(floor(value) AS BIGINT) % 256 AS INTEGER) AS g, CAST(event_id * 7 % 256 AS INTEGER) AS b FROM events)"
 _CELLS = f"cells AS (SELECT CAST(0 AS BIGINT) AS image_id, CAST(event_id % {WIDTH} AS INTEGER) AS x, CAST(event_id // {WIDTH} AS INTEGER) AS y, CAST(list_position(['click','error','purchase','signup','view'], event_type) - 1 AS INTEGER) AS idx FROM events)"
-_PALETTE = "palette AS (SELECT CAST(p_partkey AS INTEGER) AS idx, 'P' || p_partkey AS code, p_name AS name, CAST(p_partkey * 53 % 256 AS INTEGER) AS r, CAST(p_partkey * 101 % 256 AS INTEGER) AS g, CAST((p_partkey * 11 + p_size * 29) % 256 AS INTEGER) AS b FROM part WHERE p_partkey < 64)"
+_PALETTE = "palette AS (SELECT CAST(p_size - 1 AS INTEGER) AS idx, 'P' || p_size AS code, min(p_name) AS name, CAST((sum(p_partkey) + p_size) * 53 % 256 AS INTEGER) AS r, CAST((sum(p_partkey) + p_size * 3) * 101 % 256 AS INTEGER) AS g, CAST(sum(p_partkey) * 11 % 256 AS INTEGER) AS b FROM part GROUP BY p_size)"
 _RGB = "rgb AS (SELECT c.r, c.g, c.b, arg_min(p.idx, CAST((c.r-p.r)*(c.r-p.r)+(c.g-p.g)*(c.g-p.g)+(c.b-p.b)*(c.b-p.b) AS BIGINT) * 65536 + p.idx) AS idx FROM (SELECT DISTINCT r, g, b FROM pixels) c, palette p GROUP BY ALL)"
 _MATCHED = f"{_PIXELS}, {_PALETTE}, {_RGB}, matched AS (SELECT image_id, x, y, idx FROM pixels JOIN rgb USING (r, g, b))"
 
@@ -32,8 +32,8 @@ def _sql_times(matrix: tuple[tuple[float, ...], ...], v: tuple[str, str, str]) -
     return [" + ".join(f"({a!r}::DOUBLE) * {x}" for a, x in zip(row, v)) for row in matrix]
 
 
-def _sql_perceptual(kind: Matcher) -> str:
-    """Nearest indices in Lab or Oklab, computed apart from the Spark expressions."""
+def _sql_space(kind: Matcher) -> Callable[[str, str], str]:
+    """SQL for a table with coordinates c0, c1, c2 in Lab or Oklab, computed apart from the Spark expressions."""
     lin = ", ".join(f"CASE WHEN {c}/255.0::DOUBLE <= 0.04045 THEN ({c}/255.0::DOUBLE)/12.92 ELSE power((({c}/255.0::DOUBLE)+0.055)/1.055, 2.4) END AS l{c}" for c in "rgb")
     matrix = colorspace.XYZ if kind is Matcher.LAB else colorspace.LMS
     mixed = ", ".join(f"{e} AS m{k}" for k, e in enumerate(_sql_times(matrix, ("lr", "lg", "lb"))))
@@ -44,13 +44,53 @@ def _sql_perceptual(kind: Matcher) -> str:
     else:
         roots = ", ".join(f"cbrt(m{k}) AS q{k}" for k in range(3))
         coords = ", ".join(f"{e} AS c{k}" for k, e in enumerate(_sql_times(colorspace.OKLAB, ("q0", "q1", "q2"))))
-    space = lambda table, extra: f"(SELECT {extra}r, g, b, {coords} FROM (SELECT *, {roots} FROM (SELECT *, {mixed} FROM (SELECT *, {lin} FROM {table}))))"
+    return lambda table, extra: f"(SELECT {extra}r, g, b, {coords} FROM (SELECT *, {roots} FROM (SELECT *, {mixed} FROM (SELECT *, {lin} FROM {table}))))"
+
+
+def _sql_perceptual(kind: Matcher) -> str:
+    """Nearest indices in Lab or Oklab."""
+    space = _sql_space(kind)
     return f"""WITH {_PIXELS}, {_PALETTE}, c AS {space('(SELECT DISTINCT r, g, b FROM pixels)', '')}, p AS {space('palette', 'idx, ')},
     d AS (SELECT c.r, c.g, c.b, p.idx, (c.c0-p.c0)*(c.c0-p.c0)+(c.c1-p.c1)*(c.c1-p.c1)+(c.c2-p.c2)*(c.c2-p.c2) AS d FROM c, p),
     best AS (SELECT r, g, b, idx FROM (SELECT *, row_number() OVER (PARTITION BY r, g, b ORDER BY d, idx) AS k FROM d) WHERE k = 1)
     SELECT image_id, x, y, idx FROM pixels JOIN best USING (r, g, b)"""
 
 
+def _reduce_sql(most: int) -> str:
+    """One merge a step: the least used colour goes to the nearest one in use."""
+    return f"""WITH RECURSIVE {_MATCHED}, start AS (
+        SELECT list(struct_pack(idx := idx, n := n, r := r, g := g, b := b)) AS used, list(struct_pack(idx := idx, rep := idx)) AS stands
+        FROM (SELECT idx, count(*) AS n FROM matched GROUP BY idx) JOIN palette USING (idx)),
+    steps(used, stands) AS (SELECT used, stands FROM start UNION ALL
+        SELECT list_transform(rest, lambda u: struct_pack(idx := u.idx, n := u.n + CASE WHEN u.idx = target THEN gone.n ELSE 0 END, r := u.r, g := u.g, b := u.b)),
+            list_transform(stands, lambda s: struct_pack(idx := s.idx, rep := CASE WHEN s.rep = gone.idx THEN target ELSE s.rep END))
+        FROM (SELECT *, list_sort(list_transform(rest, lambda u: struct_pack(d := (u.r - gone.r) * (u.r - gone.r) + (u.g - gone.g) * (u.g - gone.g) + (u.b - gone.b) * (u.b - gone.b), idx := u.idx)))[1].idx AS target
+            FROM (SELECT stands, gone, list_filter(used, lambda u: u.idx <> gone.idx) AS rest
+                FROM (SELECT used, stands, list_filter(used, lambda u: u.idx = -least_used.k)[1] AS gone
+                    FROM (SELECT used, stands, list_sort(list_transform(used, lambda u: struct_pack(n := u.n, k := -u.idx)))[1] AS least_used FROM steps WHERE len(used) > {most})))))
+    SELECT image_id, x, y, s.rep AS idx FROM matched JOIN (SELECT unnest(stands) AS s FROM steps WHERE len(used) <= {most}) ON s.idx = matched.idx"""
+
+
+def _superpixel_sql(to_w: int, to_h: int) -> str:
+    """The rounds written one after the other."""
+    space = _sql_space(Matcher.OKLAB)
+    unit, weight = superpixel.UNIT, superpixel.PLACE * superpixel.PLACE
+    sizes = f"s AS MATERIALIZED (SELECT {WIDTH} AS w, max(y) + 1 AS h, {WIDTH} / {to_w}::DOUBLE AS sx, (max(y) + 1) / {to_h}::DOUBLE AS sy FROM pixels)"
+    points = f"points AS MATERIALIZED (SELECT x, y, c0 AS v0, c1 AS v1, c2 AS v2, least(floor(x / sx), {to_w - 1}) AS hx, least(floor(y / sy), {to_h - 1}) AS hy FROM {space('pixels', 'x, y, ')}, s)"
+    first = f"k0 AS MATERIALIZED (SELECT i.range AS i, j.range AS j, x::DOUBLE AS cx, y::DOUBLE AS cy, v0 AS c0, v1 AS c1, v2 AS c2 FROM range({to_w}) i, range({to_h}) j, s, points WHERE x = least(floor((i.range + 0.5) * sx + 0.5), w - 1) AND y = least(floor((j.range + 0.5) * sy + 0.5), h - 1))"
+    rounds = []
+    for k in range(superpixel.ROUNDS):
+        far = f"(v0 - c0) * (v0 - c0) + (v1 - c1) * (v1 - c1) + (v2 - c2) * (v2 - c2) + {weight!r}::DOUBLE * (((x - cx) / sx) * ((x - cx) / sx) + ((y - cy) / sy) * ((y - cy) / sy))"
+        sums = ", ".join(f"sum(CAST(round(v{c} * {unit!r}::DOUBLE) AS BIGINT)) AS s{c}" for c in range(3))
+        means = ", ".join(f"coalesce(CAST(s{c} AS DOUBLE) / n / {unit!r}::DOUBLE, c{c}) AS c{c}" for c in range(3))
+        rounds.append(f"""b{k} AS (SELECT * FROM (SELECT x, y, v0, v1, v2, i, j, row_number() OVER (PARTITION BY x, y ORDER BY {far}, j, i) AS place FROM points, s, k{k} WHERE i BETWEEN hx - 1 AND hx + 1 AND j BETWEEN hy - 1 AND hy + 1) WHERE place = 1),
+        m{k} AS (SELECT i, j, count(*) AS n, {sums}, sum(x) AS tx, sum(y) AS ty FROM b{k} GROUP BY i, j),
+        k{k + 1} AS MATERIALIZED (SELECT i, j, coalesce(CAST(tx AS DOUBLE) / n, cx) AS cx, coalesce(CAST(ty AS DOUBLE) / n, cy) AS cy, {means} FROM k{k} LEFT JOIN m{k} USING (i, j))""")
+    last = f"k{superpixel.ROUNDS}"
+    return f"""WITH {_PIXELS}, {_PALETTE}, {sizes}, {points}, {first}, {', '.join(rounds)}, p AS {space('palette', 'idx, ')}
+    SELECT CAST(0 AS BIGINT) AS image_id, CAST(i AS INTEGER) AS x, CAST(j AS INTEGER) AS y, idx FROM (SELECT i, j, idx, row_number() OVER (PARTITION BY i, j ORDER BY (q.c0-p.c0)*(q.c0-p.c0)+(q.c1-p.c1)*(q.c1-p.c1)+(q.c2-p.c2)*(q.c2-p.c2), idx) AS place FROM {last} q, p) WHERE place = 1"""
+
+
 _STATS = "used AS (SELECT image_id, idx, count(*) AS count FROM {t} GROUP BY ALL), stats AS (SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY count DESC, idx) AS INTEGER) AS rank, idx, code, name, count FROM used JOIN palette USING (idx))"
 _REGIONS = "near(dx, dy) AS (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)), reach(x, y, idx, ly, lx) AS (SELECT x, y, idx, y, x FROM cells UNION SELECT c.x, c.y, c.idx, r.ly, r.lx FROM reach r, near n, cells c WHERE c.x = r.x + n.dx AND c.y = r.y + n.dy AND c.idx = r.idx), labels AS (SELECT x, y, idx, min((ly, lx)) AS label FROM reach GROUP BY ALL)"
 
@@ -84,7 +124,7 @@ def match_rgb_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def total_and_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.totals(event_cells(spark, sf_dir), part_palette(spark, sf_dir, 4))
+    return stats.totals(event_cells(spark, sf_dir), part_palette(spark, sf_dir, 2))
 
 
 def color_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +223,9 @@ def palette_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def palette_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return palettes.lookup(spark.createDataFrame([("perler",), ("unknown",), ("yant",)], "palette_id string"))
+    """Palettes asked for by name: two sizes of part name a known one, every other part names its brand."""
+    asked = F.when(F.col("p_size") == 3, F.lit("perler")).when(F.col("p_size") == 5, F.lit("yant")).otherwise(F.col("p_brand"))
+    return palettes.lookup(spark.read.parquet(f"{sf_dir}/part.parquet").select(asked.alias("palette_id")).distinct())
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,7 +279,7 @@ ORACLE = {
     "match_lab_cells": _sql_perceptual(Matcher.LAB),
     "match_oklab_cells": _sql_perceptual(Matcher.OKLAB),
     "match_rgb_stats": f"WITH {_MATCHED}, {_STATS.format(t='matched')} SELECT * FROM stats",
-    "total_and_missing": f"WITH {_CELLS} SELECT image_id, count(*) AS total, count(*) FILTER (idx < 4) AS known, count(*) FILTER (idx < 4) < count(*) AS wrong_palette FROM cells GROUP BY image_id",
+    "total_and_missing": f"WITH {_CELLS} SELECT image_id, count(*) AS total, count(*) FILTER (idx % 2 = 0) AS known, count(*) FILTER (idx % 2 = 0) < count(*) AS wrong_palette FROM cells GROUP BY image_id",
     "color_count": f"WITH {_MATCHED} SELECT image_id, count(DISTINCT idx) AS colors FROM matched GROUP BY image_id",
     "legend_top5": f"WITH {_MATCHED}, {_STATS.format(t='matched')} SELECT image_id, rank, stats.code, stats.name, count, r, g, b FROM stats JOIN palette USING (idx) WHERE rank <= 5",
     "highlight_cells": f"WITH {_MATCHED} SELECT * FROM matched WHERE idx = 7",
@@ -254,7 +296,7 @@ ORACLE = {
         twice AS (SELECT palette_id, arg_min(code, f) AS code FROM (SELECT palette_id, code, min(idx) AS f FROM rows GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1)
         SELECT palette_id, 'InvalidPalette' AS kind, coalesce('bad hex for color ' || bad.code, 'duplicate code ' || twice.code) AS reason FROM bad FULL JOIN twice USING (palette_id)""",
     "palette_counts": f"WITH {_PALETTE_ROWS} SELECT palette_id, CAST(count(*) AS INTEGER) AS colors FROM rows GROUP BY 1",
-    "palette_lookup": "SELECT * FROM (VALUES ('perler', 'perler', 'Perler'), ('unknown', 'mard', 'MARD'), ('yant', 'yant', 'Yant')) t(palette_id, entry, brand)",
+    "palette_lookup": "SELECT DISTINCT CASE p_size WHEN 3 THEN 'perler' WHEN 5 THEN 'yant' ELSE p_brand END AS palette_id, CASE p_size WHEN 3 THEN 'perler' WHEN 5 THEN 'yant' ELSE 'mard' END AS entry, CASE p_size WHEN 3 THEN 'Perler' WHEN 5 THEN 'Yant' ELSE 'MARD' END AS brand FROM part",
     "crop_rects": f"""WITH {_REQUESTS}, o AS (SELECT *, CASE WHEN abs(t) % 2 = 1 THEN sh ELSE sw END AS iw, CASE WHEN abs(t) % 2 = 1 THEN sw ELSE sh END AS ih FROM q),
         c AS (SELECT *, least(iw, a * ih) / greatest(z, 1) AS cw, least(ih, iw / a) / greatest(z, 1) AS ch FROM o),
         s AS (SELECT *, greatest(1, least(CAST(floor(cw + 0.5) AS INTEGER), iw)) AS w, greatest(1, least(CAST(floor(ch + 0.5) AS INTEGER), ih)) AS h FROM c)
@@ -303,6 +345,8 @@ def _triangle_sql(tw: int, th: int) -> str:
 
 
 ORACLE["grid_pixels"] = _grid_sql()
+ORACLE["reduce_rgb"] = _reduce_sql(12)
+ORACLE["superpixel_cells"] = _superpixel_sql(20, 5)
 ORACLE["triangle_resize"] = _triangle_sql(37, 7)
 ORACLE["pattern_json"] = f"""WITH {_MATCHED}, {_STATS.format(t='matched')}
     SELECT image_id, CAST(to_json(struct_pack(brand := 'Parts', width := {WIDTH}, height := max(y) + 1, cells := list(idx ORDER BY y, x), total := count(*), stats := (SELECT list(struct_pack(code := code, name := name, count := count) ORDER BY rank) FROM stats))) AS VARCHAR) AS pattern FROM matched GROUP BY image_id"""

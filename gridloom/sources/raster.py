@@ -24,10 +24,11 @@ def event_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(*_place(), (F.array_position(types, F.col("event_type")) - 1).cast("int").alias("idx"))
 
 
-def part_palette(spark: SparkSession, sf_dir: str, size: int = 64) -> DataFrame:
-    """idx, code, name, r, g, b from the first parts; p_partkey is dense from 0."""
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").where(F.col("p_partkey") < size)
+def part_palette(spark: SparkSession, sf_dir: str, step: int = 1) -> DataFrame:
+    """idx, code, name, r, g, b: a colour for each size of part, from sums over all parts of the size; indices are step apart."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_size").agg(F.sum("p_partkey").alias("keys"), F.min("p_name").alias("name"))
+    size = F.col("p_size")
     return parts.select(
-        F.col("p_partkey").cast("int").alias("idx"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("code"), F.col("p_name").alias("name"),
-        (F.col("p_partkey") * 53 % 256).cast("int").alias("r"), (F.col("p_partkey") * 101 % 256).cast("int").alias("g"), ((F.col("p_partkey") * 11 + F.col("p_size") * 29) % 256).cast("int").alias("b"),
+        ((size - 1) * step).cast("int").alias("idx"), F.concat(F.lit("P"), size.cast("string")).alias("code"), "name",
+        ((F.col("keys") + size) * 53 % 256).cast("int").alias("r"), ((F.col("keys") + size * 3) * 101 % 256).cast("int").alias("g"), (F.col("keys") * 11 % 256).cast("int").alias("b"),
     )
