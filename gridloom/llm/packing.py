@@ -38,7 +38,7 @@ GROUPS = 700
 #: Lengths above this share of a sequence are large.
 LARGE = 1 / 3
 #: Words whose ids a Python worker keeps.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
 
 _CACHE: dict[tuple[str, bool], "_Words"] = {}
 _UNSAFE = r" \s"
