@@ -1,13 +1,15 @@
 """Personal data by anchor expansion.
 
 An Aho-Corasick automaton finds the anchors of a text in one pass: at-signs, plus signs,
-digits, URL schemes and cues of identifiers. Deterministic parsers expand each anchor to
-the bounds of an e-mail address, IP address, card number, phone number, URL with
-credentials or account identifier, and validate it. Each parser steps forward only, so
-long texts take linear time.
-
-Null text counts as empty; doc_id may be null or repeated, every row is scanned by itself.
-Offsets are code points, end exclusive.
+digits, URL schemes, cues of identifiers and kinds of streets. Deterministic parsers expand
+each anchor to the bounds of an e-mail address, IP address, card number, phone number, URL
+with credentials, account identifier or secret, or postal address, and validate it. Each
+parser steps forward only, or back over a few words, so long texts take linear time.
+
+Null text counts as empty, and so do empty tables; doc_id may be null or repeated, every
+row is scanned by itself. Other columns are ignored by :func:`scan`, whatever their names,
+and kept by :func:`redact`. Of overlapping candidates of one kind the first counts; spans
+of different kinds may overlap. Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -20,9 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 #: Kinds in the order in which spans are listed; the first four are the base.
-KINDS = ("email", "ip", "card", "phone", "url", "account")
-# Cues that stand before an identifier.
-CUES = ("iban", "account", "acct", "passport", "token", "secret", "api_key", "apikey", "password", "ssn")
+KINDS = ("email", "ip", "card", "phone", "url", "account", "address")
+# Cues that stand before an identifier, and before a secret; kinds of streets, before and behind their names.
+CUES = ("iban", "account", "acct", "konto", "passport", "ssn", "social security", "tax id")
+SECRETS = ("token", "secret", "api_key", "api-key", "api key", "apikey", "access_key", "access key", "private_key", "private key", "password", "passwd", "passwort", "pwd", "passphrase", "mot de passe", "contraseña", "authorization", "bearer")
+STREETS = ("street", "avenue", "road", "lane", "boulevard", "drive", "square")
+JOINED_STREETS = ("straße", "strasse", "gasse", "allee", "platz")
 
 _DIGITS = "0123456789"
 _LABEL = re.compile(r"[A-Za-z0-9-]+")
@@ -34,6 +39,12 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 # No class but the last takes a slash, so a failed match never passes the next scheme.
 _CREDENTIALS = re.compile(r"://[^\s/@:]++:[^\s/@]++@[A-Za-z0-9.-]++(?::[0-9]{1,5})?[^\s\"<>]*+")
+_ASSIGNED = re.compile(r"[\"']?[ ]?[:=][ ]?(?P<quote>[\"']?)")
+_QUOTED = re.compile(r"[^\"'\n]{6,}+(?=[\"'])")
+_BARE = re.compile(r"[^\s\"'<>,;]{6,}")
+_HOUSE = re.compile(r"[0-9]{1,6}[A-Za-z]?(?:[ ](?:[A-Z][\w'.-]*|[0-9]{1,3}(?:st|nd|rd|th))){1,4}[ ]\Z")
+_BEHIND = re.compile(r"(?:[ ](?:N|S|E|W|NE|NW|SE|SW)\b\.?)?(?:,?[ ](?:Apt|Suite|Unit|Floor)\.?[ ]#?\w+)?(?:,[ ][A-Z][\w.-]*(?:[ ][A-Z][\w.-]*){0,2})?(?:,?[ ][A-Z]{2})?(?:[ ][0-9]{5}(?:-[0-9]{4})?)?")
+_NUMBERED = re.compile(r"[ ][0-9]{1,4}[ ]?[a-z]?\b(?:,[ ][0-9]{4,5}(?:[ ][A-ZÄÖÜ][\w-]*)?)?")
 _LEAD = re.compile(r"(?i:(?:[ _-]?(?:number|no|nr|id|code|key))?[.:#]?[ ]?[=:]?[ ]?[\"']?)")
 _VALUE = re.compile(r"[A-Za-z0-9][A-Za-z0-9-]{5,}")
 _IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ ]?[A-Za-z0-9]{2,4}){3,8}")
@@ -41,7 +52,7 @@ _IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ ]?[A-Za-z0-9]{2,4}){3,8}")
 
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for kind, words in (("@", ["@"]), ("+", ["+"]), ("0", _DIGITS), (":", ["://"]), ("cue", CUES)):
+    for kind, words in (("@", ["@"]), ("+", ["+"]), ("0", _DIGITS), (":", ["://"]), ("cue", CUES + SECRETS), ("street", STREETS), ("joined", JOINED_STREETS)):
         for word in words:
             found.add_word(word, (kind, len(word)))
     found.make_automaton()
@@ -118,7 +129,7 @@ def _urls(text: str, anchors: list[int]) -> Iterator[tuple[int, int]]:
             continue
         found = _CREDENTIALS.match(text, at)
         start = at
-        while start > done and start > at - 32 and text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "+.-"):
+        while start > done and text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "+.-"):
             start -= 1
         if found and start < at:
             done = found.end()
@@ -138,8 +149,17 @@ def _iban(text: str, at: int) -> int:
     return 0
 
 
+def _secret(text: str, at: int) -> tuple[int, int]:
+    """Bounds of what is assigned behind the name of a secret: in quotes, or six characters at least up to a blank; (0, 0) if nothing is."""
+    sign = _ASSIGNED.match(text, at)
+    if not sign:
+        return 0, 0
+    found = _QUOTED.match(text, sign.end()) if sign["quote"] else _BARE.match(text, sign.end())
+    return (found.start(), found.end()) if found else (0, 0)
+
+
 def _accounts(text: str, anchors: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Values behind a cue: a valid IBAN, or an identifier with six digits at least. Anchors are the cues' bounds."""
+    """Values behind a cue: a valid IBAN, an identifier with six digits at least, or anything assigned to a secret. Anchors are the cues' bounds."""
     done = 0
     for start, end in anchors:
         if start < done or (start and text[start - 1].isalnum()):
@@ -152,14 +172,41 @@ def _accounts(text: str, anchors: list[tuple[int, int]]) -> Iterator[tuple[int,
         elif value and sum(c in _DIGITS for c in value[0]) >= 6:
             done = value.end()
             yield at, done
+        elif text[start:end].lower() in SECRETS:
+            first, last = _secret(text, end)
+            if last:
+                done = last
+                yield first, last
+
+
+def _addresses(text: str, anchors: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """A house number, names and a kind of street, with town and code; or a street's name and a number behind it. Anchors are the kinds' bounds."""
+    done = 0
+    for kind, start, end in anchors:
+        if start < done or (end < len(text) and (text[end].isalnum() or text[end] == "_")):
+            continue
+        if kind == "street":
+            lead = max(done, start - 100)  # a number and four names
+            found = next((m for k in range(lead, start) if text[k] in _DIGITS and (k == lead or not text[k - 1].isalnum()) and (m := _HOUSE.match(text[k:start]))), None)
+            if found and text[start].isupper():
+                done = _BEHIND.match(text, end).end()
+                yield start - len(found[0]), done
+        else:
+            first = start
+            while first > done and (text[first - 1].isalpha() or text[first - 1] == "-"):
+                first -= 1
+            found = _NUMBERED.match(text, end)
+            if found and first < start and text[first].isupper():
+                done = found.end()
+                yield first, done
 
 
-_PARSERS: dict[str, Callable[[str, list], Iterator[tuple[int, int]]]] = {"email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "url": _urls, "account": _accounts}
+_PARSERS: dict[str, Callable[[str, list], Iterator[tuple[int, int]]]] = {"email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "url": _urls, "account": _accounts, "address": _addresses}
 
 
 def find(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans, by kind and then start."""
-    at, numbers, plus, schemes, cues = [], [], [], [], []
+    at, numbers, plus, schemes, cues, streets = [], [], [], [], [], []
     last = -2
     folded = text.lower()
     if len(folded) != len(text):  # U+0130 alone becomes two
@@ -175,9 +222,12 @@ def find(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, in
             plus.append(end)
         elif kind == ":":
             schemes.append(end - 2)
-        else:
+        elif kind == "cue":
             cues.append((end - size + 1, end + 1))
-    anchors = {"email": at, "ip": numbers, "card": numbers, "phone": plus, "url": schemes, "account": cues}
+        else:
+            streets.append((kind, end - size + 1, end + 1))
+    cues.sort(key=lambda x: (x[0], -x[1]))  # of cues that start together the longest
+    anchors = {"email": at, "ip": numbers, "card": numbers, "phone": plus, "url": schemes, "account": cues, "address": streets}
     return [(k, s, e) for k in KINDS if anchors[k] for s, e in _PARSERS[k](text, anchors[k])]
 
 
