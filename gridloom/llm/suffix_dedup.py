@@ -51,7 +51,7 @@ SPLITTER_ROWS, FINER = 20_000, 4
 #: Frequent grams that are dealt out by salt, at most; the rest are dealt by gram.
 HOT_GRAMS = 2000
 #: Suffixes of one key that one task sorts, at most.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 10_000
 #: Suffixes that a task sorts at once, unless one key has more.
 SORT_ROWS = 20_000
 
