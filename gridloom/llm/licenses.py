@@ -1,40 +1,70 @@
 """Licence notices by Dice coefficient over word bigrams.
 
-Each line of a text, and the text as a whole, is normalised (lower case, runs of anything
-but letters and digits become one blank) and compared with every template:
-``2 |A n B| / (|A| + |B|)`` over the sets of word bigrams. A set of size a can reach a
-score t only against sizes from ``a t / (2 - t)`` to ``a (2 - t) / t``, so lines whose
-number of bigrams, repeats included, no template's size allows are dropped before any set
-is built, and the rest meets only the templates of fitting size. Built-in expressions only; nothing is shuffled.
-
-Null texts have no lines. doc_id may be null or repeated: every row is scanned by itself.
-Lines of one word have no bigrams and match nothing. Of equal scores the template that
-sorts first by id counts; of a document's best lines the first.
+A text is cut into pieces at line breaks and behind ``.``, ``!``, ``?``, ``;`` or ``:`` and a
+blank. Every run of up to ``RUN`` pieces, so notices inside prose and over several lines as
+well, and the text as a whole are normalised (lower case, runs of anything but letters and
+digits become one blank) and compared with every template: ``2 |A n B| / (|A| + |B|)`` over
+the sets of word bigrams. A set of size a can reach a score t only against sizes from
+``a t / (2 - t)`` to ``a (2 - t) / t``; templates of other sizes are not compared. A match
+also shares so many of a template's bigrams that one with a *cue* is among them
+(:func:`cues`), so texts without any cue are passed over. Built-in expressions only.
+
+Of a document's matches that overlap, the one of highest score stays; of equal ones the
+shorter, then the earlier one. Of templates with equal scores the id that sorts first counts.
+
+Null texts have no pieces; texts of one word have no bigrams and match nothing. doc_id may
+be null or repeated: every row is scanned by itself. Other columns are ignored, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Short notices by licence id, as their licences or common practice word them.
+from gridloom.llm.common import ROW, numbered
+
+# Notices by licence id, as their licences or common practice word them.
 TEMPLATES = (
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+    ("Apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
 )
 THRESHOLD = 0.8
+#: Pieces of a run, at most.
+RUN = 12
+
+# Words too common to be cues.
+COMMON = frozenset("a above all an and any are as at be by can copies copy either except following for form forms free from general if in is it later library may name no not of on one or other provided public see subject terms that the this to under use used v version will with without work you".split())
 
 
 def bigrams(text: str) -> list[str]:
@@ -43,23 +73,40 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+def cues(sets: list[tuple[str, list[str]]], threshold: float) -> list[str]:
+    """Words of which every text that matches a template holds one.
+
+    A match shares ``t |A| / (2 - t)`` bigrams of a template at least, so cues are added
+    until fewer are left without: the words of most bigrams first, long ones before short.
+    """
+    found: set[str] = set()
+    for _, own in sets:
+        need = math.ceil(threshold * len(own) / (2 - threshold) - 1e-9)
+        while len(bare := [b for b in own if not found & set(b.split())]) >= need:
+            words = sorted({w for b in bare for w in b.split()})
+            found.add(min(words, key=lambda w: (w in COMMON, w.isdigit(), -sum(w in b.split() for b in bare), -len(w), w)))
+    return sorted(found)
+
+
 def _bigram_set(words: F.Column) -> F.Column:
     pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
     return F.array_distinct(F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")))
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, line (from 0; -1: the whole text), license and score (Dice) of every line that reaches the threshold, at its best template."""
+    """doc_id, line (number of its first piece from 0; -1: the whole text), pieces (their number), license and score (Dice) of every match that reaches the threshold."""
     sets = [(name, bigrams(text)) for name, text in sorted(templates)]
-    least, most = _bounds(sets, threshold)
-    lines = F.split("text", "\n")
-    units = F.when(F.size(lines) > 1, F.concat(lines, F.array("text"))).otherwise(lines)
-    numbered = docs.select("doc_id", F.size(lines).alias("n_lines"), F.posexplode(units).alias("line", "unit"))
-    normal = F.trim(F.regexp_replace(F.lower("unit"), "[^a-z0-9]+", " "))
-    place = F.when((F.col("line") == F.col("n_lines")) & (F.col("n_lines") > 1), F.lit(-1)).otherwise(F.col("line"))
-    # n words take 2 n - 1 characters at least
-    worded = numbered.where(F.length("unit") >= 2 * least + 1).select("doc_id", place.alias("line"), F.split(normal, " ").alias("words")).where(F.size("words").between(least + 1, most + 1))
-    grams = worded.select("doc_id", "line", _bigram_set(F.col("words")).alias("grams"))
+    least = _fewest(sets, threshold)
+    cue = "(?<![a-z0-9])(?:" + "|".join(cues(sets, threshold)) + ")(?![a-z0-9])"
+    rows = numbered(docs, "doc_id", "text").where(F.lower("text").rlike(cue))
+    cut = F.split(F.regexp_replace("text", "([.!?;:])[ \\t]+", "$1\n"), "\n")
+    words = F.transform(cut, lambda x: F.filter(F.split(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "), " "), lambda w: w != ""))
+    # a generator holds the words, which every run reads
+    held = rows.select(ROW, "doc_id", F.explode(F.array(words)).alias("words"))
+    runs = F.expr(f"flatten(transform(sequence(0, size(words) - 1), i -> transform(sequence(1, least({RUN}, size(words) - i)), n -> named_struct('line', i, 'pieces', n, 'words', flatten(slice(words, i + 1, n))))))")
+    whole = F.expr(f"IF(size(words) > {RUN}, array(named_struct('line', -1, 'pieces', size(words), 'words', flatten(words))), CAST(array() AS array<struct<line:int,pieces:int,words:array<string>>>))")
+    units = held.select(ROW, "doc_id", F.explode(F.concat(runs, whole)).alias("u")).select(ROW, "doc_id", "u.line", "u.pieces", "u.words").where(F.size("words") > least)
+    grams = units.select(ROW, "doc_id", "line", "pieces", _bigram_set(F.col("words")).alias("grams"))
     size = F.size("grams")
     scores = []
     for name, own in sets:
@@ -69,34 +116,45 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
         scores.append(F.when(possible, F.struct(dice.alias("score"), F.lit(name).alias("license"))))
     best = F.aggregate(F.array(*scores), F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("license")), lambda a, x: F.when(x["score"] > a["score"], x).otherwise(a))
     # a generator, as a filter on best would be pushed down and the sets be built again for every use
-    scored = grams.select("doc_id", "line", F.explode_outer(F.array(best)).alias("best"))
-    return scored.where(F.col("best.score") >= threshold).select("doc_id", "line", "best.license", "best.score")
+    scored = grams.select(ROW, "doc_id", "line", "pieces", F.explode_outer(F.array(best)).alias("best"))
+    matched = scored.where(F.col("best.score") >= threshold).select(ROW, "doc_id", "line", "pieces", "best.license", "best.score")
+    # runs that overlap start at most RUN pieces apart; the whole text overlaps with all
+    near = matched.withColumn("near", F.collect_list(F.struct("line", "pieces", "score")).over(Window.partitionBy(ROW).orderBy("line").rangeBetween(-RUN, RUN)))
+    top = near.withColumn("top", F.max(F.when(F.col("line") >= 0, F.col("score"))).over(Window.partitionBy(ROW)))
+    better = F.exists("near", lambda x: (x["line"] >= 0) & (x["line"] < F.col("line") + F.col("pieces")) & (F.col("line") < x["line"] + x["pieces"]) & ((x["score"] > F.col("score")) | ((x["score"] == F.col("score")) & (F.struct(x["pieces"], x["line"]) < F.struct("pieces", "line")))))
+    kept = top.where(F.when(F.col("line") < 0, F.col("top").isNull() | (F.col("top") < F.col("score"))).otherwise(~better))
+    return kept.select("doc_id", "line", "pieces", "license", "score")
 
 
-def _bounds(sets: list[tuple[str, list[str]]], threshold: float) -> tuple[int, int]:
-    """Fewest and most bigrams of a line that is compared at all."""
-    return math.ceil(min(len(b) for _, b in sets) * threshold / (2 - threshold)), int(max(len(b) for _, b in sets) * (2 - threshold) / threshold)
+def _fewest(sets: list[tuple[str, list[str]]], threshold: float) -> int:
+    """Fewest bigrams of a unit that is compared at all."""
+    return math.ceil(min(len(b) for _, b in sets) * threshold / (2 - threshold))
 
 
 def per_document(found: DataFrame) -> DataFrame:
-    """doc_id, n_lines and the license of the best line, of each document with a match."""
+    """doc_id, n_lines and the license of the best match, of each document with one."""
     first = F.min(F.struct(-F.col("score"), F.col("line"), "license"))
     return found.groupBy("doc_id").agg(F.count("*").alias("n_lines"), first["license"].alias("license"))
 
 
 def oracle(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """DuckDB SQL for scan() with scores in units of 1e-6."""
-    least, most = _bounds([(name, bigrams(text)) for name, text in templates], threshold)
-    rows = ", ".join(f"('{name}', [{', '.join(repr(b) for b in bigrams(text))}])" for name, text in sorted(templates))
+    """DuckDB SQL for scan() with scores in units of 1e-6; it passes over no text."""
+    least = _fewest([(name, bigrams(text)) for name, text in templates], threshold)
+    rows = ", ".join(f"({k}, '{name}', [{', '.join(repr(b) for b in bigrams(text))}])" for k, (name, text) in enumerate(sorted(templates)))
     return f"""
-WITH templates(license, own) AS (VALUES {rows}),
+WITH templates(number, license, own) AS (VALUES {rows}),
+d AS (SELECT row_number() OVER () AS d, doc_id, string_split(regexp_replace(text, '([.!?;:])[ \t]+', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+w AS (SELECT d, doc_id, list_transform(parts, lambda x: list_filter(string_split(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'), ' '), lambda y: y <> '')) AS parts FROM d),
+starts AS (SELECT d, doc_id, parts, unnest(range(len(parts))) AS line FROM w),
 units AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS unit, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents
-  UNION ALL SELECT doc_id, text, -1 FROM documents WHERE contains(text, chr(10))),
-worded AS (SELECT doc_id, line, string_split(trim(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM units),
-grams AS (SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM worded WHERE len(w) BETWEEN {least + 1} AND {most + 1}),
+  SELECT d, doc_id, line, n.range AS pieces, flatten(parts[line + 1 : line + n.range]) AS words FROM starts, range(1, {RUN + 1}) n WHERE line + n.range <= len(parts)
+  UNION ALL SELECT d, doc_id, -1, len(parts), flatten(parts) FROM w WHERE len(parts) > {RUN}),
+grams AS (SELECT d, doc_id, line, pieces, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS g FROM units WHERE len(words) > {least}),
 scored AS (
-  SELECT doc_id, line, license, 2.0 * len(list_intersect(g, own)) / (len(g) + len(own)) AS score FROM grams, templates
+  SELECT d, doc_id, line, pieces, number, license, 2.0 * len(list_intersect(g, own)) / (len(g) + len(own)) AS score FROM grams, templates
   WHERE len(g) <= len(own) * {(2 - threshold) / threshold} AND len(g) >= len(own) * {threshold / (2 - threshold)}),
-best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY score DESC, license) AS k FROM scored)
-SELECT doc_id, CAST(line AS INTEGER) AS line, license, CAST(round(score * 1000000) AS BIGINT) AS score_ppm FROM best WHERE k = 1 AND score >= {threshold}"""
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY d, line, pieces ORDER BY score DESC, number) AS k FROM scored WHERE score >= {threshold}) WHERE k = 1)
+SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(pieces AS INTEGER) AS pieces, license, CAST(round(score * 1000000) AS BIGINT) AS score_ppm FROM best a
+WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.d = a.d AND b.line >= 0 AND (
+  a.line < 0 AND b.score >= a.score OR a.line >= 0 AND b.line < a.line + a.pieces AND a.line < b.line + b.pieces
+  AND (b.score > a.score OR b.score = a.score AND (b.pieces < a.pieces OR b.pieces = a.pieces AND b.line < a.line))))"""

@@ -60,7 +60,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(documents(spark, sf_dir))
-    return found.select("doc_id", "line", "license", F.round(F.col("score") * 1_000_000).cast("long").alias("score_ppm"))
+    return found.select("doc_id", "line", "pieces", "license", F.round(F.col("score") * 1_000_000).cast("long").alias("score_ppm"))
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

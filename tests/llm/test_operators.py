@@ -284,11 +284,37 @@ def test_pii_redaction(spark):
     assert tuple(got[2]) == table[1] and tuple(got[3]) == table[2]
 
 
+def brute_licenses(text):
+    """Matches of one text, straight from the definition."""
+    sets = [(n, set(licenses.bigrams(t))) for n, t in sorted(licenses.TEMPLATES)]
+    if text is None:
+        return []
+    parts = [re.sub("[^a-z0-9]+", " ", x.lower()).split() for x in re.sub(r"([.!?;:])[ \t]+", r"\1\n", text).split("\n")]
+    units = [(i, n, sum(parts[i : i + n], [])) for i in range(len(parts)) for n in range(1, licenses.RUN + 1) if i + n <= len(parts)]
+    if len(parts) > licenses.RUN:
+        units.append((-1, len(parts), sum(parts, [])))
+    found = []
+    for line, n, words in units:
+        grams = {f"{a} {b}" for a, b in zip(words, words[1:])}
+        best = max(((2 * len(grams & own) / (len(grams) + len(own)), -k) for k, (_, own) in enumerate(sets) if grams), default=(0, 0))
+        if best[0] >= licenses.THRESHOLD:
+            found.append((line, n, sets[-best[1]][0], best[0]))
+    worth = lambda x: (x[3], -x[1], -x[0])
+    return [x for x in found if not any(y[0] >= 0 and (y[3] >= x[3] if x[0] < 0 else y[0] < x[0] + x[1] and x[0] < y[0] + y[1] and worth(y) > worth(x)) for y in found)]
+
+
 def test_licenses(spark):
+    r = random.Random(3)
+    full = [t for _, t in licenses.TEMPLATES]
+    wrapped = "\n".join(" * " + " ".join(full[12].split()[k : k + 6]) for k in range(0, 40, 6))
     texts = ["x\nLicensed under the Apache License, Version 2.0.\ny", "RELEASED  under the mit license", "licensed under", None, "", "word " * 30_000, "Licensed under CC BY-NC 4.0.\nReleased under the MIT License."]
-    got = licenses.scan(spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, line string"))
-    assert sorted((x.doc_id, x.line, x.license, round(x.score, 3)) for x in got.collect()) == [(0, -1, "Apache-2.0", 0.875), (0, 1, "Apache-2.0", 1.0), (1, 0, "MIT", 1.0), (6, 0, "CC-BY-NC-4.0", 1.0), (6, 1, "MIT", 1.0)]
-    assert [tuple(x) for x in licenses.per_document(got).orderBy("doc_id").collect()] == [(0, 2, "Apache-2.0"), (1, 1, "MIT"), (6, 2, "CC-BY-NC-4.0")]
+    texts += [f"Some prose here. {t} And more of it." for t in full] + [prose(r, 30) + "\n" + wrapped + "\n" + prose(r, 300), "Released under the MIT License. " * 5, "\n".join(full[5].split()), "the license of\n" * 40]
+    docs = spark.createDataFrame([(k, t, "clash", "clash") for k, t in enumerate(texts)] + [(None, texts[0], "", ""), (0, texts[0], "", "")], "doc_id long, text string, line string, pieces string")
+    got = sorted((str(x.doc_id), x.line, x.pieces, x.license, round(x.score, 9)) for x in licenses.scan(docs).collect())
+    want = sorted((str(k), line, n, name, round(score, 9)) for k, t in [*enumerate(texts), (None, texts[0]), (0, texts[0])] for line, n, name, score in brute_licenses(t))
+    assert got == want and {x[0] for x in got} >= {str(k) for k in range(7, 7 + len(full))}
+    assert [tuple(x) for x in licenses.per_document(licenses.scan(docs.where("doc_id = 6"))).collect()] == [(6, 2, "CC-BY-NC-4.0")]
+    assert licenses.scan(docs.limit(0)).count() == 0
 
 
 def test_chat_format(spark):

@@ -18,27 +18,27 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the synthetic tables are not here")
 def test_pipeline_against_brute_force(spark):
-    import xxhash
     from tokenizers import Tokenizer
 
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     docs = [(i, t) for i, t in docs if t and any(c.isalpha() for c in t)]
 
-    def fingerprint(t):
+    def shingles(t):
         w = t.encode().lower().split()
-        h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(max(1, len(w) - 3))] if w else []
-        return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
-    prints = [fingerprint(t) for _, t in docs]
+    # near copies share 0.8 of their five-word shingles
+    sets = [shingles(t) for _, t in docs]
+    near = [[j for j, b in enumerate(sets) if a == b or len(a & b) >= 0.8 * len(a | b) - 1e-9] for a in sets]
     label = list(range(len(docs)))
     changed = True
     while changed:
         changed = False
-        for i, a in enumerate(prints):
-            for j, b in enumerate(prints):
-                if label[j] < label[i] and (a ^ b).bit_count() <= 4:
-                    label[i], changed = label[j], True
+        for i, own in enumerate(near):
+            least = min(label[j] for j in [i, *own])
+            if least < label[i]:
+                label[i], changed = least, True
     docs = [d for k, d in enumerate(docs) if label[k] == k]
 
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
