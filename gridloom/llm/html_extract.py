@@ -193,7 +193,7 @@ class Page:
             if name == "br":
                 self._put(" ")
                 continue
-            if name not in INLINE:
+            if name not in INLINE and name not in RAW:  # what is left out as a whole parts no block
                 self._close_block()
             if found[1]:
                 self._end(name)
