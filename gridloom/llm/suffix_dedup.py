@@ -357,11 +357,11 @@ def repeated_spans(rows: DataFrame, length: int = 200, bucket_rows: int = BUCKET
     is_hot = F.col("gram").isin(hot) if hot else F.lit(False)
     salt = F.when(is_hot, F.xxhash64(ROW, "pos") % 4096).otherwise(F.lit(0))
     total = F.sum("n").over(Window.partitionBy("gram", "salt"))
-    repeated = pinned(found.withColumn("salt", salt).withColumn("total", total).where((F.col("total") > 1) | (F.col("n") == 0) | is_hot).select("gram", "ctx", ROW, "pos", "n"), "suffixes")
+    repeated = pinned(found.withColumn("salt", salt).withColumn("total", total).where((F.col("total") > 1) | (F.col("n") == 0) | is_hot).select("gram", "ctx", ROW, "pos", "n"), "suffixes", release=True)
 
     within = repeated.where("n = 0").select(ROW, F.col("pos").alias("start"), F.col("ctx").alias("end"))
     suffixes = repeated.where("n > 0")
-    classes = pinned(suffixes.groupBy("gram", "ctx").agg(F.sum("n").alias("n"), F.min(F.struct(ROW, "pos")).alias("place")), "classes")
+    classes = pinned(suffixes.groupBy("gram", "ctx").agg(F.sum("n").alias("n"), F.min(F.struct(ROW, "pos")).alias("place")), "classes", release=True)
     place = F.struct(F.col("place.pos").alias("pos"), "gram", "ctx", (F.col("n") == 1).alias("single"))
     crowded = pinned(classes.groupBy("gram").count().where(F.col("count") > bucket_rows).select("gram"), "crowded")
     many = crowded.count()
@@ -377,7 +377,7 @@ def repeated_spans(rows: DataFrame, length: int = 200, bucket_rows: int = BUCKET
         return dealt.sortWithinPartitions("lo", "hi", "key", "after").mapInPandas(_sorted_buckets(length), _RUNS)
 
     usual = classes.join(side, "gram", "left_anti") if many else classes
-    runs = [pinned(sorted_by(contexts(usual).repartition(parts, "bucket").withColumn("key", _key(length))), "runs")]
+    runs = [pinned(sorted_by(contexts(usual).repartition(parts, "bucket").withColumn("key", _key(length))), "runs", release=True)]
     if many:
         left = pinned(contexts(classes.join(side, "gram", "left_semi")), "crowded")
         runs.append(left.where("not single").select("gram", "ctx", *(F.lit(None).cast("long").alias(c) for c in (ROW, "start", "end"))))
