@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +44,8 @@ def resize(pixels: DataFrame, width: int, height: int, to_w: int, to_h: int, how
         return pixels
     if how is Resample.NEAREST:
         return _nearest(pixels, width, height, to_w, to_h)
-    wide = _weighted(pixels, "x", "y", width, to_w, first=True)
-    return _weighted(wide, "y", "x", height, to_h, first=False)
+    wide = _weighted(pixels, "x", "y", kernel_weights(how, width, to_w), first=True)
+    return _weighted(wide, "y", "x", kernel_weights(how, height, to_h), first=False)
 
 
 def _nearest(pixels: DataFrame, width: int, height: int, to_w: int, to_h: int) -> DataFrame:
@@ -60,23 +63,37 @@ def _nearest(pixels: DataFrame, width: int, height: int, to_w: int, to_h: int) -
     return wide.select("image_id", "x", F.explode(F.sequence("y0", "y1")).alias("y"), "r", "g", "b")
 
 
-def triangle_weights(source: int, target: int) -> list[tuple[int, int, float]]:
-    """(target, source, weight) of a normalised triangle kernel that widens when shrinking."""
+def _sinc(x: float) -> float:
+    return math.sin(math.pi * x) / (math.pi * x) if x else 1.0
+
+
+#: Kernels with their reach: weight of a source pixel at a distance, in target pixels when shrinking and in source pixels else.
+KERNELS: dict[Resample, tuple[float, Callable[[float], float]]] = {
+    Resample.TRIANGLE: (1.0, lambda x: max(0.0, 1 - x)),
+    Resample.CATMULL_ROM: (2.0, lambda x: 1.5 * x**3 - 2.5 * x**2 + 1 if x < 1 else -0.5 * x**3 + 2.5 * x**2 - 4 * x + 2 if x < 2 else 0.0),
+    Resample.GAUSSIAN: (3.0, lambda x: math.exp(-2 * x * x) if x < 3 else 0.0),
+    Resample.LANCZOS3: (3.0, lambda x: _sinc(x) * _sinc(x / 3) if x < 3 else 0.0),
+}
+
+
+def kernel_weights(how: Resample, source: int, target: int) -> list[tuple[int, int, float]]:
+    """(target, source, weight) of a normalised kernel that widens when shrinking."""
+    reach, kernel = KERNELS[how]
     scale = source / target
-    reach = max(1.0, scale)
+    unit = max(1.0, scale)
     out = []
     for o in range(target):
         centre = (o + 0.5) * scale
-        taps = [(s, 1 - abs(s + 0.5 - centre) / reach) for s in range(max(0, int(centre - reach) - 1), min(source, int(centre + reach) + 2))]
-        taps = [(s, w) for s, w in taps if w > 0]
+        taps = [(s, kernel(abs(s + 0.5 - centre) / unit)) for s in range(max(0, int(centre - reach * unit) - 1), min(source, int(centre + reach * unit) + 2))]
+        taps = [(s, w) for s, w in taps if w]
         total = sum(w for _, w in taps)
         out += [(o, s, w / total) for s, w in taps]
     return out
 
 
-def _weighted(pixels: DataFrame, axis: str, other: str, source: int, target: int, first: bool) -> DataFrame:
+def _weighted(pixels: DataFrame, axis: str, other: str, weights: list[tuple[int, int, float]], first: bool) -> DataFrame:
     # a few rows per line of the larger side; sides are checked by the caller
-    table = pixels.sparkSession.createDataFrame(triangle_weights(source, target), f"o int, {axis} int, w double")
+    table = pixels.sparkSession.createDataFrame(weights, f"o int, {axis} int, w double")
     tapped = pixels.join(F.broadcast(table), axis)
     # sums of rounded integers do not depend on the order of rows
     sums = {c: F.sum(F.round(F.col(c) * F.col("w") * (1 << 30)).cast("long")) for c in "rgb"}

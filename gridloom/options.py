@@ -20,6 +20,9 @@ class Generator(Enum):
 class Resample(Enum):
     TRIANGLE = "triangle"
     NEAREST = "nearest"
+    CATMULL_ROM = "catmull-rom"
+    GAUSSIAN = "gaussian"
+    LANCZOS3 = "lanczos3"
 
 
 @dataclass(frozen=True)

@@ -167,6 +167,27 @@ def triangle_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resize(event_pixels(spark, sf_dir), WIDTH, _rows(spark, sf_dir), 37, 7)
 
 
+def catmull_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resize(event_pixels(spark, sf_dir), WIDTH, _rows(spark, sf_dir), 41, 9, Resample.CATMULL_ROM)
+
+
+def gaussian_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resize(event_pixels(spark, sf_dir), WIDTH, _rows(spark, sf_dir), 41, 9, Resample.GAUSSIAN)
+
+
+def lanczos_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resize(event_pixels(spark, sf_dir), WIDTH, _rows(spark, sf_dir), 41, 9, Resample.LANCZOS3)
+
+
+def turned_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.turned(event_pixels(spark, sf_dir), WIDTH, _rows(spark, sf_dir), 3)
+
+
+def preview_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A preview with a palette that lacks every other index."""
+    return render.preview(event_cells(spark, sf_dir), part_palette(spark, sf_dir, 2), WIDTH, _rows(spark, sf_dir), 2)
+
+
 def reduce_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce_colors(match_rgb_cells(spark, sf_dir), part_palette(spark, sf_dir), 12, Matcher.RGB)
 
@@ -258,6 +279,49 @@ def layout_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.ticks(_boards(spark, sf_dir).drop("px", "py")).select("event_id", "axis", "n", F.col("at").cast("long").alias("at"))
 
 
+def board_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.board(_boards(spark, sf_dir)).select("event_id", "left", "top", "board_cols", "board_rows", "content_x", "content_y", "canvas_w", "canvas_h")
+
+
+def saved_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = _boards(spark, sf_dir).withColumn("width", F.col("width") * 9)
+    return layout.save_cell(wide.drop("cell", "px", "py")).select("event_id", "cell")
+
+
+def cell_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = _boards(spark, sf_dir).drop("px", "py").withColumns({"row": (F.col("event_id") % F.col("height")).cast("int"), "col": (F.col("event_id") % F.col("width")).cast("int")})
+    return layout.cell_centre(places).select("event_id", "px", "py")
+
+
+def viewport_taps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    taps = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", *((k % m / 2.0).alias(c) for c, m in (("tap_x", 900), ("tap_y", 700), ("offset_x", 31), ("offset_y", 17))), F.pow(F.lit(2.0), k % 5 - 2).alias("scale"), (k % 7 * 1.0).alias("origin_x"), (k % 3 * 1.0).alias("origin_y"))
+    return layout.viewport_to_canvas(taps).select("event_id", "px", "py")
+
+
+def preset_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.presets(_requests(spark, sf_dir).select("aspect"))
+
+
+def frame_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.aspect_presets(_requests(spark, sf_dir).select((F.col("turns") > 0).alias("landscape")))
+
+
+def u32_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as they are typed: with blanks, signs, too large, or none at all."""
+    k = F.col("event_id")
+    typed = F.when(k % 7 == 0, F.lit("")).when(k % 7 == 1, F.concat(F.lit(" "), (k * 1_000_003).cast("string"))).when(k % 7 == 2, F.concat(F.lit("-"), k.cast("string"))).when(k % 7 == 3, F.lit("12a")).when(k % 7 == 4, F.concat(F.lit("99999999"), k.cast("string"))).otherwise(k.cast("string"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", layout.read_u32(typed).alias("value"), layout.clamp_border((k % 23 - 7).cast("int")).alias("rings"))
+
+
+def stored_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preferences of which a few are stored, one for each size of part."""
+    known = F.create_map(*(F.lit(x) for pair in ((1, "generator"), (2, "border_rings"), (3, "width"), (4, "limit_colors")) for x in pair))
+    value = F.create_map(*(F.lit(x) for pair in ((1, "bogus"), (2, "99"), (3, "64"), (4, "true")) for x in pair))
+    sizes = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_size").distinct()
+    return layout.settings(sizes.select(F.try_element_at(known, "p_size").alias("name"), F.try_element_at(value, "p_size").alias("value")).where("name IS NOT NULL"))
+
+
 _SUM = "string_agg(code || ' ' || name || ': ' || count || chr(10), '' ORDER BY rank)"
 _REQUESTS = "q AS (SELECT event_id, event_id % 301 + 20 AS sw, event_id % 203 + 20 AS sh, (event_id % 7 + 2) / 4.0::DOUBLE AS a, (event_id % 9) / 4.0::DOUBLE AS z, (event_id % 13 - 6) / 4.0::DOUBLE AS px, (event_id % 11 - 5) / 4.0::DOUBLE AS py, event_id % 5 - 2 AS t FROM events)"
 _BOARDS = "q AS (SELECT event_id, event_id % 120 + 1 AS w, event_id % 117 + 1 AS h, event_id % 4 AS k, CAST((event_id % 3 + 1) * 5 AS DOUBLE) AS c, (event_id % 1500) / 2.0::DOUBLE AS px, (event_id % 1300) / 2.0::DOUBLE AS py FROM events), b AS (SELECT *, CASE WHEN h >= 10 THEN c / 5 * (4 * length(CAST(h // 10 * 10 AS VARCHAR)) + 1) ELSE 0 END AS l, CASE WHEN w >= 10 THEN 7 * c / 5 ELSE 0 END AS t FROM q)"
@@ -352,11 +416,49 @@ ORACLE["pattern_json"] = f"""WITH {_MATCHED}, {_STATS.format(t='matched')}
     SELECT image_id, CAST(to_json(struct_pack(brand := 'Parts', width := {WIDTH}, height := max(y) + 1, cells := list(idx ORDER BY y, x), total := count(*), stats := (SELECT list(struct_pack(code := code, name := name, count := count) ORDER BY rank) FROM stats))) AS VARCHAR) AS pattern FROM matched GROUP BY image_id"""
 
 
+def _kernel_sql(reach: float, kernel: str, tw: int, th: int) -> str:
+    """Separable resampling by a kernel of the distance d, apart from the Spark weights."""
+
+    def weights(name: str, source: str, target: int) -> str:
+        return f"""{name}0 AS (SELECT o.range AS o, s.range AS s, abs(s.range + 0.5 - (o.range + 0.5) * ({source}) / {target}::DOUBLE) / greatest(1.0, ({source}) / {target}::DOUBLE) AS d FROM range({target}) o, range({source}) s),
+        {name}1 AS (SELECT o, s, {kernel} AS w FROM {name}0 WHERE d < {reach}),
+        {name} AS (SELECT o, s, w / sum(w) OVER (PARTITION BY o) AS w FROM {name}1)"""
+
+    mix = ", ".join(f"sum(q.{c} * w) AS {c}" for c in "rgb")
+    whole = ", ".join(f"CAST(least(255, greatest(0, floor(sum(q.{c} * w) + 0.5))) AS INTEGER) AS {c}" for c in "rgb")
+    return f"""WITH {_PIXELS}, {weights('wx', str(WIDTH), tw)}, {weights('wy', '(SELECT max(y) + 1 FROM pixels)', th)},
+    wide AS (SELECT image_id, o AS x, y, {mix} FROM pixels q JOIN wx ON q.x = wx.s GROUP BY ALL)
+    SELECT image_id, CAST(x AS INTEGER) AS x, CAST(o AS INTEGER) AS y, {whole} FROM wide q JOIN wy ON q.y = wy.s GROUP BY image_id, x, o"""
+
+
+_ASPECT_ROWS = ", ".join(f"({a}, {b})" for a, b in layout.ASPECTS)
+_TYPED = "CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN ' ' || event_id * 1000003 WHEN 2 THEN '-' || event_id WHEN 3 THEN '12a' WHEN 4 THEN '99999999' || event_id ELSE event_id::VARCHAR END"
+ORACLE |= {
+    "catmull_resize": _kernel_sql(2, "CASE WHEN d < 1 THEN 1.5 * d * d * d - 2.5 * d * d + 1 ELSE -0.5 * d * d * d + 2.5 * d * d - 4 * d + 2 END", 41, 9),
+    "gaussian_resize": _kernel_sql(3, "exp(-2 * d * d)", 41, 9),
+    "lanczos_resize": _kernel_sql(3, "CASE WHEN d = 0 THEN 1 ELSE sin(pi() * d) / (pi() * d) * sin(pi() * d / 3) / (pi() * d / 3) END", 41, 9),
+    "turned_pixels": f"WITH {_PIXELS} SELECT image_id, y AS x, CAST({WIDTH - 1} - x AS INTEGER) AS y, r, g, b FROM pixels",
+    "preview_missing": f"WITH {_CELLS}, {_PALETTE} SELECT image_id, CAST(x * 2 + dx.range AS INTEGER) AS px, CAST(y * 2 + dy.range AS INTEGER) AS py, coalesce(r, 255) AS r, coalesce(g, 0) AS g, coalesce(b, 255) AS b FROM cells LEFT JOIN palette ON palette.idx * 2 = cells.idx, range(2) dx, range(2) dy",
+    "board_sizes": f'WITH {_BOARDS} SELECT event_id, l AS "left", t AS top, CAST(w + 2 * k AS INTEGER) AS board_cols, CAST(h + 2 * k AS INTEGER) AS board_rows, l + k * c AS content_x, t + k * c AS content_y, l + (w + 2 * k) * c AS canvas_w, t + (h + 2 * k) * c AS canvas_h FROM b',
+    "saved_cells": """WITH q AS (SELECT event_id, (event_id % 120 + 1) * 9 AS w, event_id % 117 + 1 AS h, event_id % 4 AS k FROM events),
+        f AS (SELECT *, CAST(greatest(4, least(10, floor(4096 / (greatest(w, h) + 2 * k)))) AS DOUBLE) AS c FROM q),
+        z AS (SELECT *, greatest(CASE WHEN h >= 10 THEN c / 5 * (4 * length(CAST(h // 10 * 10 AS VARCHAR)) + 1) ELSE 0 END + (w + 2 * k) * c, CASE WHEN w >= 10 THEN 7 * (c / 5) ELSE 0 END + (h + 2 * k) * c) AS e FROM f)
+        SELECT event_id, CASE WHEN e > 4096 THEN c * 4096 / e ELSE c END AS cell FROM z""",
+    "cell_centres": f"WITH {_BOARDS} SELECT event_id, l + k * c + (event_id % w + 0.5) * c AS px, t + k * c + (event_id % h + 0.5) * c AS py FROM b",
+    "viewport_taps": "SELECT event_id, (event_id % 900 / 2.0 - event_id % 31 / 2.0) / power(2.0, event_id % 5 - 2) - event_id % 7 AS px, (event_id % 700 / 2.0 - event_id % 17 / 2.0) / power(2.0, event_id % 5 - 2) - event_id % 3 AS py FROM events",
+    "preset_sizes": f"WITH {_REQUESTS} SELECT DISTINCT a AS aspect, s AS w, CAST(greatest(1, least(1000, floor(s / a + 0.5))) AS INTEGER) AS h FROM q, (VALUES (50), (80), (100)) v(s)",
+    "frame_ratios": f"WITH {_REQUESTS} SELECT DISTINCT t > 0 AS landscape, CASE WHEN t > 0 THEN y ELSE x END AS w, CASE WHEN t > 0 THEN x ELSE y END AS h FROM q, (VALUES {_ASPECT_ROWS}) v(x, y)",
+    "u32_reads": f"SELECT event_id, CAST(greatest(0, least(4294967295, try_cast(trim({_TYPED}) AS HUGEINT))) AS BIGINT) AS value, CAST(greatest(0, least(8, event_id % 23 - 7)) AS INTEGER) AS rings FROM events WHERE event_id % 7 NOT IN (0, 3) UNION ALL SELECT event_id, NULL, CAST(greatest(0, least(8, event_id % 23 - 7)) AS INTEGER) FROM events WHERE event_id % 7 IN (0, 3)",
+    "stored_settings": "SELECT * FROM (VALUES ('palette_id', 'mard'), ('generator', 'staged'), ('limit_colors', 'true'), ('max_colors', '24'), ('despeckle_on', 'false'), ('despeckle', '2'), ('width', '64'), ('border_rings', '8')) v(name, value)",
+}
+
+
 def queries() -> dict[str, Query]:
     own = (
         match_rgb_stats, match_rgb_cells, match_lab_cells, match_oklab_cells, total_and_missing, color_count, legend_top5, highlight_cells, cell_detail, summary_text, pattern_json,
         center_crop_pixels, nearest_resize, triangle_resize, reduce_rgb, component_sizes_events, despeckle_s1, despeckle_s3, preview_pixels, grid_pixels, superpixel_cells,
         palette_colors, palette_validate, palette_counts, palette_lookup, crop_rects, locked_pairs, hit_tests, layout_ticks,
+        catmull_resize, gaussian_resize, lanczos_resize, turned_pixels, preview_missing, board_sizes, saved_cells, cell_centres, viewport_taps, preset_sizes, frame_ratios, u32_reads, stored_settings,
     )
     return {f.__name__: f for f in own}
 

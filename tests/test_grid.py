@@ -269,3 +269,59 @@ def test_layout(spark):
     spun = layout.turned(demo(spark, 3, 2), 3, 2, 1, flip=True).where("x = 0 AND y = 0").first()
     assert (spun.r, spun.g) == (0, 0)
     assert layout.presets(spark.createDataFrame([(0.5,)], "aspect double")).count() == 3
+
+
+def test_kernels(spark):
+    from gridloom.operators.resample import KERNELS, kernel_weights
+
+    for how in KERNELS:
+        for source, target in ((7, 3), (3, 7), (5, 5), (100, 1)):
+            sums = {}
+            for o, s, w in kernel_weights(how, source, target):
+                assert 0 <= s < source
+                sums[o] = sums.get(o, 0) + w
+            assert len(sums) == target and all(abs(v - 1) < 1e-9 for v in sums.values())
+        flat = spark.createDataFrame([(0, x, y, 9, 90, 200) for x in range(6) for y in range(4)], "image_id long, x int, y int, r int, g int, b int")
+        assert {(p.r, p.g, p.b) for p in resize(flat, 6, 4, 4, 3, how).collect()} == {(9, 90, 200)}
+
+
+def test_png_filters():
+    """Lines of every filter type give back the picture."""
+    import zlib
+
+    import numpy as np
+
+    from gridloom.operators.render import png_bytes
+
+    g = np.random.default_rng(0)
+    ramp = np.add.outer(np.arange(40) * 3, np.arange(50) * 2)[:, :, None] % 256 + np.zeros(3)
+    for picture in (g.integers(0, 256, (5, 7, 3)), ramp, np.zeros((1, 1, 3)), np.repeat(g.integers(0, 256, (1, 9, 3)), 6, axis=0), np.repeat(g.integers(0, 256, (6, 1, 3)), 9, axis=1)):
+        picture = picture.astype(np.uint8)
+        raw = png_bytes(picture)
+        at = raw.index(b"IDAT")
+        size = int.from_bytes(raw[at - 4 : at], "big")
+        data = zlib.decompress(raw[at + 4 : at + 4 + size])
+        height, width, _ = picture.shape
+        before, out = [0] * (width * 3), []
+        for y in range(height):
+            line = data[y * (width * 3 + 1) : (y + 1) * (width * 3 + 1)]
+            now = []
+            for k, v in enumerate(line[1:]):
+                a, b, c = (now[k - 3] if k >= 3 else 0), before[k], (before[k - 3] if k >= 3 else 0)
+                p = a + b - c
+                paeth = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+                now.append((v + (0, a, b, (a + b) // 2, paeth)[line[0]]) % 256)
+            out.append(now)
+            before = now
+        assert out == picture.reshape(height, width * 3).tolist()
+
+
+def test_superpixels_by_join_equal_those_in_tasks(spark, monkeypatch):
+    from gridloom.operators import superpixel
+
+    pixels = spark.createDataFrame([(k, x, y, (x * 37 + k) % 256, (y * 53) % 256, (x * y) % 256) for k in (1, 2) for x in range(12) for y in range(9)], "image_id long, x int, y int, r int, g int, b int")
+    palette = spark.createDataFrame([(k, k * 40 % 256, k * 90 % 256, k * 10) for k in range(12)], "idx int, r int, g int, b int")
+    monkeypatch.setattr(superpixel, "ROUNDS", 3)
+    want = sorted(map(tuple, superpixel.superpixels(pixels, 12, 9, palette, 4, 3).collect()))
+    monkeypatch.setattr(superpixel, "SHARED", 0)
+    assert sorted(map(tuple, superpixel.superpixels(pixels, 12, 9, palette, 4, 3).collect())) == want and len(want) == 24
