@@ -86,7 +86,9 @@ def superpixels(pixels: DataFrame, width: int, height: int, palette: DataFrame,
     home_y = F.least(F.floor(F.col("y") / sy), F.lit(to_h - 1)).cast("int")
     points = stored(pixels.select("image_id", "x", "y", *own, home_x.alias("hx"), home_y.alias("hy")), "points")
 
-    seeds = pixels.select("image_id").distinct().crossJoin(F.broadcast(pixels.sparkSession.createDataFrame([(i, j, min(int((i + 0.5) * sx + 0.5), width - 1), min(int((j + 0.5) * sy + 0.5), height - 1)) for j in range(to_h) for i in range(to_w)], "i int, j int, x int, y int")))
+    places = pixels.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(to_h - 1))).alias("j")).select("image_id", F.explode(F.sequence(F.lit(0), F.lit(to_w - 1))).alias("i"), "j")
+    middle = lambda at, unit, side: F.least(F.floor((F.col(at) + 0.5) * unit + 0.5), F.lit(side - 1)).cast("int")
+    seeds = places.select("image_id", "i", "j", middle("i", sx, width).alias("x"), middle("j", sy, height).alias("y"))
     centres = stored(seeds.join(points, ["image_id", "x", "y"]).select("image_id", "i", "j", F.col("x").cast("double").alias("cx"), F.col("y").cast("double").alias("cy"), *(F.col(f"v{k}").alias(f"c{k}") for k in range(3))), "centres")
     few = centres.count() <= SHARED
     for _ in range(ROUNDS):
