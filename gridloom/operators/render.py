@@ -55,7 +55,7 @@ def colored(cells: DataFrame, palette: DataFrame, width: int, height: int) -> Da
     """r, g, b of every place of the grid; absent cells and unknown indices are magenta."""
     images = cells.select("image_id").distinct()
     places = images.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y")).select("image_id", "y", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
-    known = cells.join(F.broadcast(palette.select("idx", "r", "g", "b")), "idx", "left").drop("idx")
+    known = cells.join(palette.select("idx", "r", "g", "b"), "idx", "left").drop("idx")
     return places.join(known, ["image_id", "x", "y"], "left").select("image_id", "x", "y", *(F.coalesce(c, F.lit(v)).cast("int").alias(c) for c, v in zip("rgb", MISSING)))
 
 

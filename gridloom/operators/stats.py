@@ -10,12 +10,12 @@ def count_colors(cells: DataFrame, palette: DataFrame) -> DataFrame:
     """image_id, rank, idx, code, name, count of the used colours: most used first, then by index; unknown indices are left out."""
     used = cells.groupBy("image_id", "idx").agg(F.count("*").alias("count"))
     order = Window.partitionBy("image_id").orderBy(F.desc("count"), "idx")  # at most a palette's rows per image
-    return used.join(F.broadcast(palette.select("idx", "code", "name")), "idx").select("image_id", F.row_number().over(order).alias("rank"), "idx", "code", "name", "count")
+    return used.join(palette.select("idx", "code", "name"), "idx").select("image_id", F.row_number().over(order).alias("rank"), "idx", "code", "name", "count")
 
 
 def totals(cells: DataFrame, palette: DataFrame) -> DataFrame:
     """image_id, total (all cells), known (cells of the palette) and wrong_palette."""
-    joined = cells.join(F.broadcast(palette.select("idx", F.lit(1).alias("hit"))), "idx", "left")
+    joined = cells.join(palette.select("idx", F.lit(1).alias("hit")), "idx", "left")
     out = joined.groupBy("image_id").agg(F.count("*").alias("total"), F.count("hit").alias("known"))
     return out.withColumn("wrong_palette", F.col("known") < F.col("total"))
 
@@ -39,7 +39,7 @@ def distinct_colors(cells: DataFrame) -> DataFrame:
 def legend(cells: DataFrame, palette: DataFrame, top: int = 5) -> DataFrame:
     """The first colours by rank with their swatches."""
     ranked = count_colors(cells, palette).where(F.col("rank") <= top)
-    return ranked.join(F.broadcast(palette.select("idx", "r", "g", "b")), "idx").select("image_id", "rank", "code", "name", "count", "r", "g", "b")
+    return ranked.join(palette.select("idx", "r", "g", "b"), "idx").select("image_id", "rank", "code", "name", "count", "r", "g", "b")
 
 
 def highlight(cells: DataFrame, idx: int) -> DataFrame:
