@@ -37,6 +37,13 @@ def pinned(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, rows: int = 4000) -> None:
+    """Fewer rows of text to a batch between Spark and Python than Spark's default for narrow rows, unless the session has its own number."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df, written first if its rows pass a shuffle, so that they come in the same order each time."""
     return pinned(df, "rows") if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df

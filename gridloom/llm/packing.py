@@ -37,8 +37,8 @@ from gridloom.llm.common import ROW, numbered, pinned
 GROUPS = 700
 #: Lengths above this share of a sequence are large.
 LARGE = 1 / 3
-#: Words whose ids a Python worker keeps.
-CACHED_WORDS = 400_000
+#: Words whose ids a Python worker keeps, unless told otherwise.
+CACHED_WORDS = 1_000_000
 
 _CACHE: dict[tuple[str, bool], "_Words"] = {}
 _UNSAFE = r" \s"
@@ -49,6 +49,7 @@ class _Words(dict):
 
     def __init__(self, path: str, literal: bool):
         super().__init__()
+        self.most = CACHED_WORDS
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -75,7 +76,7 @@ class _Words(dict):
         ids = self.fast(word) if self.fast else self.model.encode(word, add_special_tokens=False).ids
         out = np.array(ids, dtype="<u4").tobytes()
         if len(word) < 64:
-            if len(self) >= CACHED_WORDS:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = out
         return out
@@ -96,7 +97,7 @@ def _ids(words: _Words, text: str) -> bytes:
     return (words[first] if first else b"") + b"".join([words[x] for x in [" " + w for w in rest]])
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, literal: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, literal: bool = True, cached_words: int = CACHED_WORDS) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of each piece of each row of docs.
 
     Unless literal, ids are those of the tokenizer's plain ``encode(text,
@@ -106,6 +107,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _CACHE.get((tokenizer, literal)) or _Words(tokenizer, literal)
         _CACHE[tokenizer, literal] = words
+        words.most = cached_words
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out = []
@@ -308,6 +310,6 @@ def pack(found: DataFrame, capacity: int = 1024, groups: int = GROUPS) -> DataFr
     return ranks.mapInPandas(place, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, groups: int = GROUPS, literal: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, groups: int = GROUPS, literal: bool = True, cached_words: int = CACHED_WORDS) -> DataFrame:
     """The pieces of all rows of docs with their sequences."""
-    return pack(pieces(docs, tokenizer, capacity, literal=literal), capacity, groups).drop(ROW)
+    return pack(pieces(docs, tokenizer, capacity, literal=literal, cached_words=cached_words), capacity, groups).drop(ROW)
