@@ -84,5 +84,42 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+#: op1 on the texts in hex, two digits a byte, cut into pieces of 500 bytes so that no window lies far from a start.
+_REPEATS = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (SELECT k, base, substring(h, 2 * base + 1, 1398) AS piece FROM (SELECT k, h, unnest(range(0, greatest(len(h) // 2 - 199, 0), 500)) AS base FROM d)),
+windows AS (SELECT k, base + o.range AS pos, substring(piece, 2 * o.range + 1, 400) AS w FROM pieces, range(500) o WHERE 2 * o.range + 400 <= len(piece)),
+twice AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+hits AS (SELECT k, pos, coalesce(pos - lag(pos) OVER (PARTITION BY k ORDER BY pos) > 200, true) AS new FROM windows WHERE w IN (FROM twice)),
+runs AS (SELECT k, min(pos) AS first, max(pos) + 200 AS last FROM (SELECT k, pos, sum(CAST(new AS INTEGER)) OVER (PARTITION BY k ORDER BY pos) AS run FROM hits) GROUP BY k, run),
+cut AS (SELECT k, sum(last - first) AS gone, count(*) AS n, list(first ORDER BY first) AS firsts, list(last ORDER BY first) AS lasts FROM runs GROUP BY k),
+kept AS (SELECT doc_id, h, coalesce(gone, 0) AS gone, coalesce(n, 0) AS n,
+  CASE WHEN n IS NULL THEN h ELSE array_to_string(list_transform(range(1, n + 2), lambda i: substring(h, 1 + 2 * coalesce(lasts[i - 1], 0), 2 * (coalesce(firsts[i], len(h) // 2) - coalesce(lasts[i - 1], 0)))), '') END AS rest FROM d LEFT JOIN cut USING (k))
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, CAST(n AS BIGINT) AS n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept"""
+
+#: op4 with every window of the items and of the documents spelled out; places near the two rarest words for the proximity matches.
+_LEAKS = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT * FROM (SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0),
+windows AS (SELECT item, item_id, w, s AS start, least(10, len(w)) AS n FROM (SELECT *, unnest(range(0, greatest(1, len(w) - 9))) AS s FROM i)),
+sizes AS (SELECT DISTINCT n FROM windows),
+spots AS (SELECT k, w, unnest(range(0, len(w))) AS pos FROM d),
+occurs AS (SELECT DISTINCT k, pos, a.n, item, item_id FROM (SELECT k, pos, n, array_to_string(w[pos + 1 : pos + n], ' ') AS key FROM spots, sizes WHERE pos + n <= len(w)) a
+  JOIN (SELECT item, item_id, n, array_to_string(w[start + 1 : start + n], ' ') AS key FROM windows) b ON a.n = b.n AND a.key = b.key),
+words AS MATERIALIZED (SELECT k, pos, w[pos + 1] AS word FROM spots),
+seen AS (SELECT word, count(*) AS c FROM words GROUP BY word),
+ranked AS (SELECT item, start, n, place, word, row_number() OVER (PARTITION BY item, start ORDER BY c, place) AS r FROM (SELECT item, start, n, p.range AS place, w[p.range + 1] AS word FROM windows, range((SELECT max(len(w)) FROM i)) p WHERE p.range >= start AND p.range < start + n) JOIN seen USING (word)),
+whole AS (SELECT item, start FROM windows, range((SELECT max(len(w)) FROM i)) p LEFT JOIN seen ON seen.word = w[p.range + 1] WHERE p.range >= start AND p.range < start + n GROUP BY item, start HAVING count(c) = count(*)),
+anchors AS (SELECT a.item, a.start, a.n, a.place AS a, a.word, coalesce(b.place, a.place) AS b FROM ranked a LEFT JOIN ranked b ON b.item = a.item AND b.start = a.start AND b.r = 2 JOIN whole ON whole.item = a.item AND whole.start = a.start WHERE a.r = 1),
+tries AS (SELECT k, pos, item, start, n, a, b FROM anchors JOIN words USING (word)),
+near AS (SELECT DISTINCT k, item FROM (SELECT t.k, t.pos, t.item, t.start, t.n, t.b, r.place FROM tries t JOIN ranked r ON r.item = t.item AND r.start = t.start JOIN words x ON x.k = t.k AND x.word = r.word AND abs(x.pos - (t.pos + r.place - t.a)) <= CASE WHEN r.place = t.a THEN 0 ELSE 3 END)
+  GROUP BY k, pos, item, start, n, b HAVING count(DISTINCT place) >= 0.8 * n AND bool_or(place = b)),
+per AS (SELECT k, count(DISTINCT item) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM occurs GROUP BY k),
+hit AS (SELECT k, count(DISTINCT pos + o.range) AS n_hit FROM occurs, range(10) o WHERE o.range < n GROUP BY k),
+close AS (SELECT k, count(DISTINCT item) AS n_near FROM (SELECT k, item FROM near UNION SELECT k, item FROM occurs) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN per USING (k) LEFT JOIN hit USING (k) LEFT JOIN close USING (k)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_license_scan": licenses.oracle()}
+    return {"op1_suffix_dedup": _REPEATS, "op4_benchmark_decontamination": _LEAKS, "op7_license_scan": licenses.oracle()}
