@@ -20,6 +20,8 @@ their names; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import operator
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,13 +99,21 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     """doc_id, line (number of its first piece from 0; -1: the whole text), pieces (their number), license and score (Dice) of every match that reaches the threshold."""
     sets = [(name, bigrams(text)) for name, text in sorted(templates)]
     least = _fewest(sets, threshold)
-    cue = "(?<![a-z0-9])(?:" + "|".join(cues(sets, threshold)) + ")(?![a-z0-9])"
-    rows = numbered(docs, "doc_id", "text").where(F.lower("text").rlike(cue))
+    # a search for a long cue is fast, and short ones would be found inside words; a generator holds the lower case for all of them
+    found = cues(sets, threshold)
+    short = "(?<![a-z0-9])(?:" + "|".join(x for x in found if len(x) < 5) + ")(?![a-z0-9])"
+    has = reduce(operator.or_, (F.col("low").contains(x) for x in found if len(x) > 4), F.lit(False))
+    if any(len(x) < 5 for x in found):
+        has = has | F.col("low").rlike(short)
+    rows = numbered(docs, "doc_id", "text").select(ROW, "doc_id", "text", F.explode(F.array(F.lower("text"))).alias("low")).where(has).drop("low")
     cut = F.split(F.regexp_replace("text", "([.!?;:])[ \\t]+", "$1\n"), "\n")
     words = F.transform(cut, lambda x: F.filter(F.split(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "), " "), lambda w: w != ""))
-    # a generator holds the words, which every run reads
+    # A run whose first or last piece has no word of any template is outdone by the run without that piece, which
+    # overlaps with all that it does, so it is not built. Generators hold what every run reads.
+    vocabulary = F.array(*(F.lit(w) for w in sorted({w for _, own in sets for b in own for w in b.split()})))
     held = rows.select(ROW, "doc_id", F.explode(F.array(words)).alias("words"))
-    runs = F.expr(f"flatten(transform(sequence(0, size(words) - 1), i -> transform(sequence(1, least({RUN}, size(words) - i)), n -> named_struct('line', i, 'pieces', n, 'words', flatten(slice(words, i + 1, n))))))")
+    held = held.select(ROW, "doc_id", "words", F.explode(F.array(F.transform("words", lambda x: F.arrays_overlap(x, vocabulary)))).alias("own"))
+    runs = F.expr(f"flatten(transform(filter(sequence(0, size(words) - 1), i -> own[i]), i -> transform(filter(sequence(1, least({RUN}, size(words) - i)), n -> own[i + n - 1]), n -> named_struct('line', i, 'pieces', n, 'words', flatten(slice(words, i + 1, n))))))")
     whole = F.expr(f"IF(size(words) > {RUN}, array(named_struct('line', -1, 'pieces', size(words), 'words', flatten(words))), CAST(array() AS array<struct<line:int,pieces:int,words:array<string>>>))")
     units = held.select(ROW, "doc_id", F.explode(F.concat(runs, whole)).alias("u")).select(ROW, "doc_id", "u.line", "u.pieces", "u.words").where(F.size("words") > least)
     grams = units.select(ROW, "doc_id", "line", "pieces", _bigram_set(F.col("words")).alias("grams"))
