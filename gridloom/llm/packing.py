@@ -15,7 +15,9 @@
    broadcast table whose size depends on ``capacity`` only.
 
 Null text counts as empty: such a document is one piece with the end token alone. doc_id
-may be null or repeated; each row is packed. Other columns are ignored.
+may be null or repeated; each row is packed, copies too. Long texts become as many pieces
+as they need. Pieces of equal length take their places in the order of the scan. Other
+columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
