@@ -24,14 +24,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get().rstrip("/")
 
 
-def pinned(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+def pinned(df: DataFrame, name: str, release: bool = False, compression: str | None = None) -> DataFrame:
     """df written as a Parquet table in the shared folder and read back: lineage ends here.
 
     release: large shuffles lie behind the table. They are needless now, and Spark drops
     them from the executors' disks once the driver has collected its garbage.
     """
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     if release:
         df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)

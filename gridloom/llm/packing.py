@@ -46,6 +46,21 @@ _CACHE: dict[tuple[str, bool], "_Words"] = {}
 _UNSAFE = r" \s"
 
 
+def byte_ranks(path: str):
+    """The encoder of the same vocabulary in its rank form beside path, for words that a cache lacks; None without such a file."""
+    ranks_path = os.path.splitext(path)[0] + ".tiktoken"
+    if not os.path.exists(ranks_path):
+        return None
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(ranks_path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class _Words(dict):
     """Ids of words (with their leading blank) as little-endian bytes; literal: strings of added tokens are ordinary text."""
 
@@ -59,20 +74,7 @@ class _Words(dict):
         self.model.encode_special_tokens = literal
         added = [] if literal else [x.content for x in self.model.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([_UNSAFE, *map(re.escape, added)]))
-        ranks = os.path.splitext(path)[0] + ".tiktoken"
-        self.fast = self._ranks(ranks) if os.path.exists(ranks) else None
-
-    @staticmethod
-    def _ranks(path: str):
-        """The same vocabulary as ranks, for the words the cache lacks."""
-        import base64
-
-        import public_tokenizers
-        import tiktoken
-
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.fast = byte_ranks(path)
 
     def __missing__(self, word: str) -> bytes:
         ids = self.fast(word) if self.fast else self.model.encode(word, add_special_tokens=False).ids

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat_format, decontamination, html_extract, language_id, licenses, packing, pii, quality_rules, simhash, suffix_dedup
+from gridloom.llm import chat_format, decontamination, html_extract, language_id, lexical_search, licenses, packing, pii, quality_rules, simhash, suffix_dedup, token_alignment
 from gridloom.llm.common import documents
 
 
@@ -79,8 +79,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_alignment.align(documents(spark, sf_dir), tokenizer_file(), tokenizer_file("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_suffix_dedup, op2_best_fit_packing, op3_quality_rules, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_pii, op7_license_scan, op8_chat_format, op9_html_extraction, op10_language_id)
+    own = (op1_suffix_dedup, op2_best_fit_packing, op3_quality_rules, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_pii, op7_license_scan, op8_chat_format, op9_html_extraction, op10_language_id, op12_lexical_search, op13_token_alignment)
     return {f.__name__: f for f in own}
 
 
@@ -121,5 +130,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN per USING (k) LEFT JOIN hit USING (k) LEFT JOIN close USING (k)"""
 
 
+#: op12 with every term of every document spelled out.
+_RANKED = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+size AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+tf AS (SELECT k, word, count(*) AS tf FROM (SELECT k, unnest(w) AS word FROM d) GROUP BY k, word),
+weight AS (SELECT word, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS weight FROM (SELECT word, count(*) AS df FROM tf GROUP BY word), size),
+norm AS (SELECT k, 100 - 75 + (75 * len(w) * n_docs) // n_terms AS m FROM d, size WHERE len(w) > 0),
+asked AS (SELECT item, item_id, word, count(*) AS times FROM (SELECT item, item_id, unnest(w) AS word FROM i) GROUP BY item, item_id, word),
+scored AS (SELECT item, item_id, k, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM asked JOIN weight USING (word) JOIN tf USING (word) JOIN norm USING (k) GROUP BY item, item_id, k),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, k) AS INTEGER) AS rank, doc_id, score FROM scored JOIN d USING (k) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": _REPEATS, "op4_benchmark_decontamination": _LEAKS, "op7_license_scan": licenses.oracle()}
+    return {"op1_suffix_dedup": _REPEATS, "op4_benchmark_decontamination": _LEAKS, "op7_license_scan": licenses.oracle(), "op12_lexical_search": _RANKED}
