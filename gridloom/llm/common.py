@@ -62,3 +62,15 @@ def numbered(df: DataFrame, *columns: str | Column) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def greatest(df: DataFrame, column: str, most: int) -> tuple[float, DataFrame]:
+    """(floor, rows of df whose positive column is no less), at most ``most`` rows: the floor is set by counts per sixteenth of an octave, so no rows are sorted."""
+    octave = F.floor(F.log2(column) * 16).cast("int")
+    floor, total = float("inf"), 0
+    for x in df.where(F.col(column) > 0).groupBy(octave.alias("k")).agg(F.count("*").alias("size"), F.min(column).alias("least")).orderBy(F.desc("k")).collect():
+        total += x["size"]
+        if total > most:
+            break
+        floor = float(x["least"])
+    return floor, df.where(F.col(column) >= F.lit(floor))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat_format, decontamination, html_extract, language_id, lexical_search, licenses, packing, pii, quality_rules, simhash, suffix_dedup, token_alignment
+from gridloom.llm import chat_format, decontamination, html_extract, language_id, lexical_search, licenses, packing, pii, quality_rules, simhash, suffix_dedup, token_alignment, toxicity
 from gridloom.llm.common import documents
 
 
@@ -79,6 +79,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(documents(spark, sf_dir), _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
@@ -89,7 +93,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_suffix_dedup, op2_best_fit_packing, op3_quality_rules, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_pii, op7_license_scan, op8_chat_format, op9_html_extraction, op10_language_id, op12_lexical_search, op13_token_alignment)
+    own = (op1_suffix_dedup, op2_best_fit_packing, op3_quality_rules, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_pii, op7_license_scan, op8_chat_format, op9_html_extraction, op10_language_id, op11_toxicity, op12_lexical_search, op13_token_alignment)
     return {f.__name__: f for f in own}
 
 

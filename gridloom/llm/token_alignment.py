@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import ROW, numbered, pinned
+from gridloom.llm.common import ROW, greatest, numbered, pinned
 from gridloom.llm.packing import byte_ranks
 
 #: Pairs of ids whose counts are broadcast, at most (17 bytes each).
@@ -360,19 +360,6 @@ def pair_counts(tokens: DataFrame, a: str, b: str) -> DataFrame:
     return found.join(most, "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
-def _shared(counts: DataFrame, most: int) -> tuple[int, pd.DataFrame]:
-    """The least count above which there are at most ``most`` pairs, by sixteenths of an octave, and those pairs in order."""
-    octave = F.floor(F.log2("n") * 16).cast("int")
-    sizes = counts.groupBy(octave.alias("k")).agg(F.count("*").alias("size"), F.min("n").alias("least")).orderBy(F.desc("k")).collect()
-    floor, total = 1 << 62, 0
-    for x in sizes:
-        total += x["size"]
-        if total > most:
-            break
-        floor = x["least"]
-    return floor, counts.where(F.col("n") >= F.lit(floor)).toPandas().sort_values("pair")
-
-
 def align(docs: DataFrame, a: str, b: str, shared_pairs: int = SHARED_PAIRS) -> DataFrame:
     """__row (of numbered(docs)), doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row of docs.
 
@@ -380,7 +367,8 @@ def align(docs: DataFrame, a: str, b: str, shared_pairs: int = SHARED_PAIRS) ->
     """
     tokens = pinned(encoded(docs, a, b), "tokens", compression="zstd")
     counts = pinned(pair_counts(tokens, a, b), "pair_counts")
-    floor, top = _shared(counts, shared_pairs)
+    floor, shared = greatest(counts, "n", shared_pairs)
+    top = shared.toPandas().sort_values("pair")
     known = docs.sparkSession.sparkContext.broadcast((top["pair"].to_numpy(), top["n"].to_numpy(), top["best"].to_numpy()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
