@@ -44,11 +44,11 @@ from gridloom.llm.common import ROW, greatest, numbered, pinned
 from gridloom.llm.language_id import held_out
 
 #: Characters of the longest n-gram, marks included.
-ORDER = 8
+ORDER = 6
 #: Taken off every count and given to the order below.
 DISCOUNT = 0.75
 #: Labelled rows that are counted, and that the curve is fitted on, at most.
-SAMPLE_ROWS, FITTED_ROWS = 200_000, 20_000
+SAMPLE_ROWS, FITTED_ROWS = 100_000, 20_000
 #: Weights of the model, at most.
 MODEL_GRAMS = 1 << 19
 #: (margin, width): a word stands out by what its log-likelihood ratio has beyond the margin, wholly from the width on.
@@ -165,17 +165,22 @@ def _keys(codes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def keys_of(grams: list[str]) -> np.ndarray:
+    """64-bit keys of texts."""
+    codes = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    sizes = np.array([len(g) for g in grams], dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    out = np.zeros(len(grams), dtype=np.uint64)
+    for size in np.unique(sizes).tolist():
+        own = sizes == size
+        out[own] = _keys(codes, starts[own], size)
+    return out
+
+
 class Model:
     """Weights of n-grams and of contexts under sorted keys, and the sums of words by them."""
 
-    def __init__(self, grams: list[str], weights: np.ndarray):
-        codes = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-        sizes = np.array([len(g) for g in grams], dtype=np.int64)
-        starts = np.cumsum(sizes) - sizes
-        keys = np.zeros(len(grams), dtype=np.uint64)
-        for size in np.unique(sizes).tolist():
-            own = sizes == size
-            keys[own] = _keys(codes, starts[own], size)
+    def __init__(self, keys: np.ndarray, weights: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.weights = keys[order], weights[order]
 
@@ -256,6 +261,11 @@ def _slices(text: str) -> Iterator[str]:
     yield text[lo:] if lo else text
 
 
+def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch.assign(key=keys_of(batch["gram"].tolist()).view(np.int64))[["key", "w", "w0", "w1"]]
+
+
 def fit_curve(evidence: np.ndarray, toxic: np.ndarray, penalty: float = 1e-3) -> Callable[[np.ndarray], np.ndarray]:
     """Logistic regression by Newton's steps; without both classes, their share."""
     if len(np.unique(toxic)) < 2:
@@ -280,8 +290,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, mo
     chosen = marked.orderBy("hash", ROW).limit(sample_rows).select(ROW, "toxic", (F.pmod("hash", F.lit(2))).cast("int").alias("half"), "hash")
     sample = pinned(chosen, "sample")
     grams = pinned(gram_counts(rows, sample.select(ROW, "toxic", "half")), "grams")
-    weights = greatest(pinned(log_ratios(grams), "ratios"), "worth", model_grams)[1].select("gram", "w", "w0", "w1").toPandas()
-    model = Model(weights["gram"].tolist(), weights[["w", "w0", "w1"]].to_numpy(dtype=float))
+    ratios = greatest(pinned(log_ratios(grams), "ratios"), "worth", model_grams)[1].select("gram", "w", "w0", "w1")
+    weights = ratios.mapInPandas(_keyed, "key long, w float, w0 float, w1 float").toPandas()
+    model = Model(weights["key"].to_numpy().view(np.uint64), weights[["w", "w0", "w1"]].to_numpy())
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

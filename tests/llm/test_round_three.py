@@ -232,7 +232,7 @@ def test_ratios_equal_brute_force(spark):
     want = brute_ratios(toxic, ordinary, other, toxicity.ORDER, toxicity.DISCOUNT)
     assert got.keys() == want.keys()
     assert all(math.isclose(got[g]["w"], x, abs_tol=1e-9) for g, x in want.items())
-    model = toxicity.Model(list(got), np.array([[x["w"]] for x in got.values()]))
+    model = toxicity.Model(toxicity.keys_of(list(got)), np.array([[x["w"]] for x in got.values()]))
     for word in ("vile", "vilest", "vilain", "zebra", "a"):
         framed = "\x02" + word + "\x03"
         parts = [framed[max(0, k - toxicity.ORDER) : k] for k in range(2, len(framed) + 1)]
@@ -280,7 +280,7 @@ def test_toxicity_of_odd_rows(spark):
 
 
 def test_slices_change_no_evidence(monkeypatch):
-    model = toxicity.Model(["\x02a", "\x02ab"], np.array([[2.0], [3.0]]))
+    model = toxicity.Model(toxicity.keys_of(["\x02a", "\x02ab"]), np.array([[2.0], [3.0]]))
     texts = ["ab a ab ba " * 20, "", "ab"]
     whole = model.evidence(texts)
     monkeypatch.setattr(toxicity, "BLOCK", 7)
