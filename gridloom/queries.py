@@ -95,8 +95,9 @@ _STATS = "used AS (SELECT image_id, idx, count(*) AS count FROM {t} GROUP BY ALL
 _REGIONS = "near(dx, dy) AS (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)), reach(x, y, idx, ly, lx) AS (SELECT x, y, idx, y, x FROM cells UNION SELECT c.x, c.y, c.idx, r.ly, r.lx FROM reach r, near n, cells c WHERE c.x = r.x + n.dx AND c.y = r.y + n.dy AND c.idx = r.idx), labels AS (SELECT x, y, idx, min((ly, lx)) AS label FROM reach GROUP BY ALL)"
 
 
-def _despeckle_sql(s: int) -> str:
-    return f"""WITH RECURSIVE {_CELLS}, {_REGIONS}, small AS (SELECT label FROM labels GROUP BY label HAVING count(*) <= {s}),
+def _despeckle_sql(s: int, coarse: bool = False) -> str:
+    cells = _CELLS.replace("cells AS", "fine AS") + ", cells AS (SELECT image_id, x, y, idx // 2 AS idx FROM fine)" if coarse else _CELLS
+    return f"""WITH RECURSIVE {cells}, {_REGIONS}, small AS (SELECT label FROM labels GROUP BY label HAVING count(*) <= {s}),
     votes AS (SELECT a.label, b.idx, count(*) AS v FROM labels a, near n, labels b WHERE b.x = a.x + n.dx AND b.y = a.y + n.dy AND b.idx <> a.idx AND a.label IN (SELECT label FROM small) GROUP BY ALL),
     won AS (SELECT label, idx AS new FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY v DESC, idx) AS k FROM votes) WHERE k = 1)
     SELECT CAST(0 AS BIGINT) AS image_id, l.x, l.y, coalesce(w.new, l.idx) AS idx FROM labels l LEFT JOIN won w USING (label)"""
@@ -200,6 +201,20 @@ def despeckle_s1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return despeckle(event_cells(spark, sf_dir), 1)
 
 
+def _coarse_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types by twos, so that regions of one colour grow to dozens of cells."""
+    return event_cells(spark, sf_dir).withColumn("idx", F.floor(F.col("idx") / 2).cast("int"))
+
+
+def despeckle_s100(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return despeckle(_coarse_cells(spark, sf_dir), 100)
+
+
+def despeckle_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A threshold beyond the grid's area: every region is small."""
+    return despeckle(_coarse_cells(spark, sf_dir), 1 << 31)
+
+
 def despeckle_s3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return despeckle(event_cells(spark, sf_dir), 3)
 
@@ -354,6 +369,8 @@ ORACLE = {
     "component_sizes_events": f"WITH RECURSIVE {_CELLS}, {_REGIONS} SELECT CAST(0 AS BIGINT) AS image_id, idx, label[2] AS x, label[1] AS y, count(*) AS n FROM labels GROUP BY idx, label",
     "despeckle_s1": _despeckle_sql(1),
     "despeckle_s3": _despeckle_sql(3),
+    "despeckle_s100": _despeckle_sql(100, coarse=True),
+    "despeckle_any": _despeckle_sql(1 << 31, coarse=True),
     "preview_pixels": f"WITH {_MATCHED} SELECT image_id, CAST(x * 3 + dx.range AS INTEGER) AS px, CAST(y * 3 + dy.range AS INTEGER) AS py, r, g, b FROM matched JOIN palette USING (idx), range(3) dx, range(3) dy",
     "palette_colors": f"WITH {_PALETTE_ROWS} SELECT palette_id, idx, code, " + ", ".join(f"CASE WHEN length(rgb) = 7 THEN CAST('0x' || substr(rgb, {k}, 2) AS INTEGER) END AS {c}" for c, k in zip("rgb", (2, 4, 6))) + " FROM rows",
     "palette_validate": f"""WITH {_PALETTE_ROWS}, bad AS (SELECT palette_id, arg_min(code, idx) AS code FROM rows WHERE length(rgb) < 7 GROUP BY 1),
@@ -456,7 +473,7 @@ ORACLE |= {
 def queries() -> dict[str, Query]:
     own = (
         match_rgb_stats, match_rgb_cells, match_lab_cells, match_oklab_cells, total_and_missing, color_count, legend_top5, highlight_cells, cell_detail, summary_text, pattern_json,
-        center_crop_pixels, nearest_resize, triangle_resize, reduce_rgb, component_sizes_events, despeckle_s1, despeckle_s3, preview_pixels, grid_pixels, superpixel_cells,
+        center_crop_pixels, nearest_resize, triangle_resize, reduce_rgb, component_sizes_events, despeckle_s1, despeckle_s3, despeckle_s100, despeckle_any, preview_pixels, grid_pixels, superpixel_cells,
         palette_colors, palette_validate, palette_counts, palette_lookup, crop_rects, locked_pairs, hit_tests, layout_ticks,
         catmull_resize, gaussian_resize, lanczos_resize, turned_pixels, preview_missing, board_sizes, saved_cells, cell_centres, viewport_taps, preset_sizes, frame_ratios, u32_reads, stored_settings,
     )
