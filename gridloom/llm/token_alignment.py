@@ -368,7 +368,7 @@ def align(docs: DataFrame, a: str, b: str, shared_pairs: int = SHARED_PAIRS) ->
     tokens = pinned(encoded(docs, a, b), "tokens", compression="zstd")
     counts = pinned(pair_counts(tokens, a, b), "pair_counts")
     floor, shared = greatest(counts, "n", shared_pairs)
-    top = shared.toPandas().sort_values("pair")
+    top = shared.toArrow().to_pandas().sort_values("pair")
     known = docs.sparkSession.sparkContext.broadcast((top["pair"].to_numpy(), top["n"].to_numpy(), top["best"].to_numpy()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -72,7 +72,7 @@ def _grams(word: str) -> list[str]:
 
 def gram_counts(rows: DataFrame, sample: DataFrame) -> DataFrame:
     """gram, t0, t1, o0, o1: how often it stands in toxic (t) and ordinary (o) rows of either half of the sample (__row, toxic, half); zeros for n-grams of other rows of (__row, text) alone."""
-    chosen = sample.toPandas().sort_values(ROW)
+    chosen = sample.toArrow().to_pandas().sort_values(ROW)
     known = rows.sparkSession.sparkContext.broadcast((chosen[ROW].to_numpy(), (chosen["half"] + np.where(chosen["toxic"] > 0, 0, 2)).to_numpy()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -291,7 +291,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, mo
     sample = pinned(chosen, "sample")
     grams = pinned(gram_counts(rows, sample.select(ROW, "toxic", "half")), "grams")
     ratios = greatest(pinned(log_ratios(grams), "ratios"), "worth", model_grams)[1].select("gram", "w", "w0", "w1")
-    weights = ratios.mapInPandas(_keyed, "key long, w float, w0 float, w1 float").toPandas()
+    weights = ratios.mapInPandas(_keyed, "key long, w float, w0 float, w1 float").toArrow().to_pandas()
     model = Model(weights["key"].to_numpy().view(np.uint64), weights[["w", "w0", "w1"]].to_numpy())
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -306,7 +306,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, mo
 
     # in the order of the hash, so that both halves and all sources are among the first rows
     some = sample.orderBy("hash", ROW).limit(FITTED_ROWS).select(ROW, "toxic", "half")
-    judged = rows.select(ROW, F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), ROW).mapInPandas(run, "toxic int, evidence array<double>").toPandas()
+    judged = rows.select(ROW, F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), ROW).mapInPandas(run, "toxic int, evidence array<double>").toArrow().to_pandas()
     evidence = np.array(judged["evidence"].tolist()).reshape(len(judged), 2 + len(PEAKS))
     return model, fit_curve(evidence, (judged["toxic"].to_numpy() > 0).astype(float))
 
