@@ -64,11 +64,15 @@ def _painted(cells: DataFrame, cell: int, left: int, top: int) -> DataFrame:
     return rows.select("image_id", (left + F.col("x") * cell + F.col("dx")).alias("px"), (top + F.col("y") * cell + F.col("dy")).alias("py"), "r", "g", "b")
 
 
-def preview(cells: DataFrame, palette: DataFrame, width: int, height: int, cell: int = 10) -> DataFrame:
-    """image_id, px, py, r, g, b: each cell a solid square."""
+def checked_preview(width: int, height: int, cell: int) -> None:
     if cell <= 0:
         raise InvalidImage("cell_size must be at least 1")
     _checked(width * cell, height * cell, "preview")
+
+
+def preview(cells: DataFrame, palette: DataFrame, width: int, height: int, cell: int = 10) -> DataFrame:
+    """image_id, px, py, r, g, b: each cell a solid square."""
+    checked_preview(width, height, cell)
     return _painted(colored(cells, palette, width, height), cell, 0, 0)
 
 

@@ -23,7 +23,7 @@ UNIT = float(1 << 40)
 SHARED = 200_000
 
 
-def _assigned(points: DataFrame, centres: pd.DataFrame, to_w: int, to_h: int, sx: float, sy: float) -> DataFrame:
+def _assigned(points: DataFrame, centres: pd.DataFrame, to_w: int, to_h: int) -> DataFrame:
     """Per seed (image_id, i, j) with pixels: their number n, and sums of colour (s0, s1, s2) and place (tx, ty).
 
     The centres, whose number is checked, go to every task, which compares nine of them
@@ -36,6 +36,7 @@ def _assigned(points: DataFrame, centres: pd.DataFrame, to_w: int, to_h: int, sx
         for batch in batches:
             for image, own in batch.groupby("image_id", dropna=False):
                 centre, total = shared.value[image], np.zeros((to_w * to_h, 6), dtype=np.int64)
+                sx, sy = float(own["sx"].iloc[0]), float(own["sy"].iloc[0])
                 x, y, hx, hy = (own[c].to_numpy(dtype=np.int64) for c in ("x", "y", "hx", "hy"))
                 v = own[["v0", "v1", "v2"]].to_numpy(dtype=float)
                 best, chosen = np.full(len(own), np.inf), np.zeros(len(own), dtype=np.int64)
@@ -61,12 +62,12 @@ def _assigned(points: DataFrame, centres: pd.DataFrame, to_w: int, to_h: int, sx
     return parts.groupBy("image_id", "i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "s0", "s1", "s2", "tx", "ty")))
 
 
-def _joined(points: DataFrame, centres: DataFrame, to_w: int, to_h: int, sx: float, sy: float) -> DataFrame:
+def _joined(points: DataFrame, centres: DataFrame, to_w: int, to_h: int) -> DataFrame:
     """The same for more centres than are sent to tasks: every pixel meets its nine seeds by an equi-join."""
     around = F.array(*(F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for b in (-1, 0, 1) for a in (-1, 0, 1)))
-    reach = points.withColumn("o", F.explode(around)).select("image_id", "x", "y", "v0", "v1", "v2", (F.col("hx") + F.col("o.di")).alias("i"), (F.col("hy") + F.col("o.dj")).alias("j")).where(F.col("i").between(0, to_w - 1) & F.col("j").between(0, to_h - 1))
+    reach = points.withColumn("o", F.explode(around)).select("image_id", "x", "y", "v0", "v1", "v2", "sx", "sy", (F.col("hx") + F.col("o.di")).alias("i"), (F.col("hy") + F.col("o.dj")).alias("j")).where(F.col("i").between(0, to_w - 1) & F.col("j").between(0, to_h - 1))
     p, q, r = (F.col(f"v{k}") - F.col(f"c{k}") for k in range(3))
-    dx, dy = (F.col("x") - F.col("cx")) / sx, (F.col("y") - F.col("cy")) / sy
+    dx, dy = (F.col("x") - F.col("cx")) / F.col("sx"), (F.col("y") - F.col("cy")) / F.col("sy")
     far = p * p + q * q + r * r + PLACE * PLACE * (dx * dx + dy * dy)
     best = reach.join(centres, ["image_id", "i", "j"]).groupBy("image_id", "x", "y").agg(F.min(F.struct(far.alias("d"), "j", "i")).alias("m"), *(F.first(f"v{k}").alias(f"v{k}") for k in range(3)))
     sums = [F.sum(F.round(F.col(f"v{k}") * UNIT).cast("long")).alias(f"s{k}") for k in range(3)]
@@ -79,20 +80,25 @@ def superpixels(pixels: DataFrame, width: int, height: int, palette: DataFrame,
         raise InvalidImage("target width or height is 0")
     if width < to_w or height < to_h:
         raise InvalidImage(f"target {to_w}x{to_h} exceeds source {width}x{height}")
+    return superpixels_all(pixels.withColumns({"width": F.lit(width), "height": F.lit(height)}), palette, to_w, to_h)
+
+
+def superpixels_all(pixels: DataFrame, palette: DataFrame, to_w: int, to_h: int) -> DataFrame:
+    """Cells (image_id, x, y, idx) of a to_w x to_h grid over every image, none smaller than that; pixels carry the width and height of their own."""
     check_palette_size(palette)
-    sx, sy = width / to_w, height / to_h
     own = [c.alias(f"v{k}") for k, c in enumerate(oklab(F.col("r"), F.col("g"), F.col("b")))]
+    sx, sy = F.col("width") / F.lit(float(to_w)), F.col("height") / F.lit(float(to_h))
     home_x = F.least(F.floor(F.col("x") / sx), F.lit(to_w - 1)).cast("int")
     home_y = F.least(F.floor(F.col("y") / sy), F.lit(to_h - 1)).cast("int")
-    points = stored(pixels.select("image_id", "x", "y", *own, home_x.alias("hx"), home_y.alias("hy")), "points")
+    points = stored(pixels.select("image_id", "x", "y", *own, home_x.alias("hx"), home_y.alias("hy"), sx.alias("sx"), sy.alias("sy")), "points")
 
-    places = pixels.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(to_h - 1))).alias("j")).select("image_id", F.explode(F.sequence(F.lit(0), F.lit(to_w - 1))).alias("i"), "j")
-    middle = lambda at, unit, side: F.least(F.floor((F.col(at) + 0.5) * unit + 0.5), F.lit(side - 1)).cast("int")
-    seeds = places.select("image_id", "i", "j", middle("i", sx, width).alias("x"), middle("j", sy, height).alias("y"))
+    places = pixels.select("image_id", "width", "height").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(to_h - 1))).alias("j")).select("*", F.explode(F.sequence(F.lit(0), F.lit(to_w - 1))).alias("i"))
+    middle = lambda at, unit, side: F.least(F.floor((F.col(at) + 0.5) * unit + 0.5), F.col(side) - 1).cast("int")
+    seeds = places.select("image_id", "i", "j", middle("i", sx, "width").alias("x"), middle("j", sy, "height").alias("y"))
     centres = stored(seeds.join(points, ["image_id", "x", "y"]).select("image_id", "i", "j", F.col("x").cast("double").alias("cx"), F.col("y").cast("double").alias("cy"), *(F.col(f"v{k}").alias(f"c{k}") for k in range(3))), "centres")
     few = centres.count() <= SHARED
     for _ in range(ROUNDS):
-        sums = _assigned(points, centres.toPandas(), to_w, to_h, sx, sy) if few else _joined(points, centres, to_w, to_h, sx, sy)
+        sums = _assigned(points, centres.toPandas(), to_w, to_h) if few else _joined(points, centres, to_w, to_h)
         n = F.col("n")
         means = sums.select("image_id", "i", "j", *((F.col(f"s{k}") / n / UNIT).alias(f"n{k}") for k in range(3)), (F.col("tx") / n).alias("nx"), (F.col("ty") / n).alias("ny"))
         moved = centres.join(means, ["image_id", "i", "j"], "left")

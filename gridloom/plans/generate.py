@@ -1,25 +1,30 @@
-"""From pixels to a finished pattern: crop, resize or superpixels, match, reduce, despeckle, statistics, renders."""
+"""From pixels to finished patterns: crop, resize or superpixels, match, reduce, despeckle, statistics, renders.
+
+Images may differ in size; what goes wrong with one is a row, and the others go on.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from gridloom import errors
 from gridloom.errors import InvalidImage
 from gridloom.operators import render, stats
+from gridloom.operators.batch import center_crops, crop_boxes, resize_all
 from gridloom.operators.despeckle import despeckle
-from gridloom.operators.match import check_palette_size, match_pattern
+from gridloom.operators.match import MOST_COLORS, match_pattern
 from gridloom.operators.reduce import reduce_colors
-from gridloom.operators.resample import center_crop, crop_box, resize
-from gridloom.operators.superpixel import superpixels
+from gridloom.operators.superpixel import superpixels_all
 from gridloom.options import GenerateOptions, Generator
 from gridloom.scratch import stored
 
 
 @dataclass(frozen=True)
 class Pattern:
-    """A generated pattern; everything derives from cells and the palette it was made with."""
+    """Generated patterns of one size; everything derives from cells and the palette they were made with. faults: image_id, kind and reason of the images that have none."""
 
     cells: DataFrame
     palette: DataFrame
@@ -27,11 +32,10 @@ class Pattern:
     width: int
     height: int
     options: GenerateOptions
+    faults: DataFrame | None = None
 
     @property
     def sizes(self) -> DataFrame:
-        from pyspark.sql import functions as F
-
         return self.cells.select("image_id").distinct().select("image_id", F.lit(self.width).alias("width"), F.lit(self.height).alias("height"))
 
     def stats(self) -> DataFrame:
@@ -50,23 +54,79 @@ class Pattern:
         return render.grid(self.cells, self.palette, self.width, self.height, self.options.render.cell_size)
 
 
-def generate(pixels: DataFrame, width: int, height: int, palette: DataFrame, brand: str, options: GenerateOptions) -> Pattern:
-    """The pattern of all images (of one size) in pixels. Faults surface in a fixed order: size, enlargement, max_colors, palette."""
-    if options.width <= 0 or options.height <= 0:
-        raise InvalidImage(f"target {'width' if options.width <= 0 else 'height'} is 0")
-    _, _, w, h = crop_box(width, height, options.width, options.height)
-    if options.generator is Generator.SUPERPIXEL and (w < options.width or h < options.height):
-        raise InvalidImage(f"target {options.width}x{options.height} exceeds source {w}x{h}")
-    if options.max_colors is not None and options.max_colors <= 0:
-        raise InvalidImage("max_colors must be at least 1")
-    check_palette_size(palette)
-    cut = center_crop(pixels, width, height, options.width, options.height)
+def _always(broken: bool) -> Column:
+    return F.lit(bool(broken))
+
+
+def _render_fault(options: GenerateOptions) -> str | None:
+    try:
+        render.checked_preview(options.width, options.height, options.render.cell_size)
+        render.geometry(options.width, options.height, options.render.cell_size)
+    except InvalidImage as fault:
+        return str(fault)
+    return None
+
+
+def image_faults(images: DataFrame, palette_size: int, options: GenerateOptions) -> DataFrame:
+    """image_id, kind and reason of the first fault of each of images (image_id, width, height, bad) that has one.
+
+    Faults come in a fixed order, whatever else is wrong: a target side of 0, bytes that do
+    not decode, a crop without lines, a superpixel target beyond its source, max_colors
+    below 1, the palette's size, a render that cannot be drawn.
+    """
+    w, h = options.width, options.height
+    target = f"target {w}x{h} exceeds source "
+    over = options.generator is Generator.SUPERPIXEL
+    sizes = crop_boxes(images, max(w, 1), max(h, 1))
+    drawn = _render_fault(options) if w > 0 and h > 0 else None
+    steps = [
+        ("InvalidImage", _always(w <= 0), F.lit("target width is 0")),
+        ("InvalidImage", _always(h <= 0), F.lit("target height is 0")),
+        ("ImageDecode", F.col("bad").isNotNull(), F.col("bad")),
+        ("InvalidImage", F.coalesce(F.col("width") <= 0, _always(True)), F.lit("source width is 0")),
+        ("InvalidImage", F.coalesce(F.col("height") <= 0, _always(True)), F.lit("source height is 0")),
+        ("InvalidImage", F.col("cw") == 0, F.lit("computed crop width floored to 0")),
+        ("InvalidImage", F.col("ch") == 0, F.lit("computed crop height floored to 0")),
+        ("InvalidImage", _always(over) & ((F.col("cw") < w) | (F.col("ch") < h)), F.concat(F.lit(target), F.col("cw").cast("string"), F.lit("x"), F.col("ch").cast("string"))),
+        ("InvalidImage", _always(options.max_colors is not None and options.max_colors <= 0), F.lit("max_colors must be at least 1")),
+        ("InvalidPalette", _always(palette_size == 0), F.lit("palette has no colors")),
+        ("InvalidPalette", _always(palette_size > MOST_COLORS), F.lit(f"palette has more than {MOST_COLORS} colors")),
+        ("InvalidImage", _always(drawn is not None), F.lit(drawn or "")),
+    ]
+    first = F.coalesce(*(F.when(broken, F.struct(F.lit(kind).alias("kind"), reason.alias("reason"))) for kind, broken, reason in steps))
+    return sizes.select("image_id", first.alias("fault")).where("fault IS NOT NULL").select("image_id", "fault.*")
+
+
+def generate_all(images: DataFrame, pixels: DataFrame, palette: DataFrame, brand: str, options: GenerateOptions) -> Pattern:
+    """Patterns of all sound images of images (image_id, width, height, bad), of any sizes, from pixels (image_id, width, height, x, y, r, g, b); the others are rows of faults."""
+    size = palette.limit(MOST_COLORS + 1).count()
+    faults = stored(image_faults(images, size, options), "faults")
+    sound = images.join(faults, "image_id", "left_anti")
+    if sound.isEmpty():
+        kind = images.schema["image_id"].dataType.simpleString()
+        none = images.sparkSession.createDataFrame([], f"image_id {kind}, x int, y int, idx int")
+        return Pattern(none, palette, brand, options.width, options.height, options, faults)
+    sound = stored(sound.select("image_id", "width", "height"), "images")
+    cut = center_crops(pixels.join(faults.select("image_id"), "image_id", "left_anti"), options.width, options.height)
     if options.generator is Generator.SUPERPIXEL:
-        cells = superpixels(cut, w, h, palette, options.width, options.height)
+        cells = superpixels_all(cut, palette, options.width, options.height)
     else:
-        cells = match_pattern(resize(cut, w, h, options.width, options.height, options.resample), palette, options.matcher)
+        boxes = crop_boxes(sound, options.width, options.height).select(F.col("cw").cast("int").alias("width"), F.col("ch").cast("int").alias("height"))
+        cells = match_pattern(resize_all(cut, boxes, options.width, options.height, options.resample), palette, options.matcher)
     if options.max_colors is not None:
         cells = reduce_colors(stored(cells, "cells"), palette, options.max_colors, options.matcher)
     if options.despeckle:
-        cells = despeckle(stored(cells, "cells"), options.despeckle)
-    return Pattern(stored(cells, "cells"), palette, brand, options.width, options.height, options)
+        target = sound.select("image_id", F.lit(options.width).alias("width"), F.lit(options.height).alias("height"))
+        cells = despeckle(stored(cells, "cells"), options.despeckle, target)
+    return Pattern(stored(cells, "cells"), palette, brand, options.width, options.height, options, faults)
+
+
+def generate(pixels: DataFrame, width: int, height: int, palette: DataFrame, brand: str, options: GenerateOptions) -> Pattern:
+    """The patterns of all images in pixels (image_id, x, y, r, g, b), which are of one size; a fault is raised."""
+    sized = pixels.withColumns({"width": F.lit(width), "height": F.lit(height)})
+    images = sized.select("image_id", "width", "height").distinct().withColumn("bad", F.lit(None).cast("string"))
+    made = generate_all(images, sized, palette, brand, options)
+    fault = made.faults.first()
+    if fault:
+        raise getattr(errors, fault["kind"])(fault["reason"])
+    return made

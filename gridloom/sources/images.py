@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.errors import ImageDecode
@@ -25,9 +25,9 @@ def supported(content: str):
     return head.startswith(PNG) | head.startswith(JPEG)
 
 
-def refused(spark: SparkSession, path: str) -> DataFrame:
-    """Paths of files that are no PNG or JPEG."""
-    return spark.read.format("binaryFile").load(path).where(~supported("content")).select("path")
+def _plain(path: str) -> Column:
+    """A path as both of Spark's readers spell it."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
 
 
 def _pixels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -39,17 +39,30 @@ def _pixels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for lo in range(0, h, rows):
                 y, x = np.mgrid[lo : min(h, lo + rows), 0:w]
                 part = slice(lo, lo + rows)
-                yield pd.DataFrame({"image_id": image_id, "x": x.ravel(), "y": y.ravel(), "r": red[part].ravel(), "g": green[part].ravel(), "b": blue[part].ravel()}).astype({c: "int32" for c in "xyrgb"})
+                yield pd.DataFrame({"image_id": image_id, "width": w, "height": h, "x": x.ravel(), "y": y.ravel(), "r": red[part].ravel(), "g": green[part].ravel(), "b": blue[part].ravel()}).astype({c: "int32" for c in ("width", "height", *"xyrgb")})
+
+
+def read_batch(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(images: image_id, path, width, height, bad; pixels: image_id, width, height, x, y, r, g, b) of all files under a path.
+
+    A file that is no image keeps its row, with the reason in bad and no size, and has no
+    pixels; the others go on. image_id is a hash of the path.
+    """
+    files = spark.read.format("binaryFile").load(path).select(_plain("path").alias("path"), supported("content").alias("ok"))
+    decoded = spark.read.format("image").load(path).select("image.*").withColumn("path", _plain("origin"))
+    # the files that fail the gate are few or many; the planner decides how they meet the images
+    passed = decoded.join(files.where(~F.col("ok")).select("path"), "path", "left_anti").where("width > 0 AND height > 0").withColumn("image_id", F.xxhash64("path"))
+    sizes = passed.select("path", "width", "height")
+    bad = F.when(~F.col("ok"), F.concat(F.lit("not a supported image: "), "path")).when(F.col("width").isNull(), F.concat(F.lit("cannot decode "), "path"))
+    images = files.join(sizes, "path", "left").select(F.xxhash64("path").alias("image_id"), "path", "width", "height", bad.alias("bad"))
+    pixels = passed.select("image_id", "width", "height", "nChannels", "data").mapInPandas(_pixels, "image_id long, width int, height int, x int, y int, r int, g int, b int")
+    return images, pixels
 
 
 def read_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(sizes: image_id, path, width, height; pixels: image_id, x, y, r, g, b) of the images under a path; image_id is a hash of the path."""
-    bad = refused(spark, path).first()
-    if bad:
-        raise ImageDecode(f"not a supported image: {bad['path']}")
-    images = spark.read.format("image").load(path).select("image.*").withColumn("image_id", F.xxhash64("origin"))
-    broken = images.where(F.col("width") <= 0).first()
-    if broken:
-        raise ImageDecode(f"cannot decode {broken['origin']}")
-    sizes = images.select("image_id", F.col("origin").alias("path"), "width", "height")
-    return sizes, images.select("image_id", "width", "height", "nChannels", "data").mapInPandas(_pixels, "image_id long, x int, y int, r int, g int, b int")
+    """(sizes: image_id, path, width, height; pixels: image_id, x, y, r, g, b) of the images under a path, all of which must be sound."""
+    images, pixels = read_batch(spark, path)
+    fault = images.where("bad IS NOT NULL").first()
+    if fault:
+        raise ImageDecode(fault["bad"])
+    return images.drop("bad"), pixels.drop("width", "height")
