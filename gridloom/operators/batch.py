@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.resample import KERNELS
 from gridloom.options import Resample
+from gridloom.scratch import stored
 
 #: Sums are of integers of this unit, so they do not depend on the order of rows.
 UNIT = 1 << 30
@@ -70,9 +71,11 @@ def resize_all(pixels: DataFrame, images: DataFrame, to_w: int, to_h: int, how:
     """Pixels (image_id, x, y, r, g, b) of every image resized to exactly to_w x to_h; images (width, height) has the size of each. Images of that size are copied."""
     same = (F.col("width") == to_w) & (F.col("height") == to_h)
     keyed = {f"side_{a}": F.when(same, -F.col(side)).otherwise(F.col(side)).cast("int") for a, side in (("x", "width"), ("y", "height"))}
-    pixels, sizes = pixels.withColumns(keyed), images.select("width", "height").distinct().withColumns(keyed)
     if how is Resample.NEAREST:
         return _nearest_all(pixels, to_w, to_h)
+    # a row per distinct size, written so that the geometry is not computed again in every weight
+    sizes = stored(images.select("width", "height").distinct(), "sizes").withColumns(keyed)
+    pixels = pixels.withColumns(keyed)
     for axis, other, target in (("x", "y", to_w), ("y", "x", to_h)):
         table = kernel_table(sizes.select(F.col(f"side_{axis}").alias("side")).distinct(), target, how).withColumnsRenamed({"side": f"side_{axis}", "s": axis})
         tapped = pixels.join(table, [f"side_{axis}", axis])

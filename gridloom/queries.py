@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import colorspace
 from gridloom.operators import layout, render, stats, superpixel
+from gridloom.operators.batch import center_crops, crop_boxes, resize_all
 from gridloom.operators.despeckle import component_sizes, despeckle
 from gridloom.operators.match import match_pattern
 from gridloom.operators.reduce import reduce_colors
 from gridloom.operators.resample import center_crop, resize
 from gridloom.operators.superpixel import superpixels
-from gridloom.options import Matcher, Resample
+from gridloom.options import GenerateOptions, Generator, Matcher, Resample
+from gridloom.plans.generate import generate_all, image_faults
 from gridloom.sources import palettes
-from gridloom.sources.raster import WIDTH, event_cells, event_pixels, part_palette
+from gridloom.sources.raster import IMAGE, SIZES, WIDTH, event_cells, event_files, event_images, event_pixels, part_palette
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -193,6 +195,45 @@ def reduce_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce_colors(match_rgb_cells(spark, sf_dir), part_palette(spark, sf_dir), 12, Matcher.RGB)
 
 
+def _mixed(spark: SparkSession, sf_dir: str, how: Resample) -> DataFrame:
+    images, pixels = event_images(spark, sf_dir)
+    boxes = crop_boxes(images, 8, 6).select(F.col("cw").cast("int").alias("width"), F.col("ch").cast("int").alias("height"))
+    return resize_all(center_crops(pixels, 8, 6), boxes, 8, 6, how)
+
+
+def mixed_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of five sizes, cropped and resized in one plan."""
+    return _mixed(spark, sf_dir, Resample.TRIANGLE)
+
+
+def mixed_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir, Resample.NEAREST)
+
+
+def mixed_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour counts of the whole patterns of images of five sizes, some of which are too small."""
+    images, pixels = event_images(spark, sf_dir)
+    options = GenerateOptions(8, 6, resample=Resample.NEAREST, matcher=Matcher.RGB)
+    return generate_all(images, pixels, part_palette(spark, sf_dir), "Parts", options).stats()
+
+
+#: Runs of image_fault_rows: options, and the size of the palette.
+_FAULTY = (
+    (GenerateOptions(0, 9, max_colors=0), 5), (GenerateOptions(9, 0), 0), (GenerateOptions(9, 9, generator=Generator.SUPERPIXEL, max_colors=0), 0),
+    (GenerateOptions(1, 40, max_colors=0), 5), (GenerateOptions(40, 1), 70_000), (GenerateOptions(3, 4), 0), (GenerateOptions(3, 4, generator=Generator.SUPERPIXEL), 5),
+)
+
+
+def image_fault_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fault of every image under several options."""
+    files = event_files(spark, sf_dir)
+    runs = [image_faults(files, size, options).select(F.lit(k).alias("run"), "image_id", "kind", "reason") for k, (options, size) in enumerate(_FAULTY)]
+    out = runs[0]
+    for run in runs[1:]:
+        out = out.unionByName(run)
+    return out
+
+
 def component_sizes_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return component_sizes(event_cells(spark, sf_dir))
 
@@ -470,10 +511,62 @@ ORACLE |= {
 }
 
 
+_IMAGES = f"""images AS (SELECT event_id // {IMAGE} AS image_id, event_id % {IMAGE} AS place, CAST([{', '.join(map(str, SIZES))}][event_id // {IMAGE} % {len(SIZES)} + 1] AS BIGINT) AS width, CAST(user_id * 37 % 256 AS INTEGER) AS r, CAST(CAST(floor(value) AS BIGINT) % 256 AS INTEGER) AS g, CAST(event_id * 7 % 256 AS INTEGER) AS b FROM events),
+    boxes AS (SELECT DISTINCT width, {IMAGE} // width AS height, CASE WHEN width * 6 > {IMAGE} // width * 8 THEN {IMAGE} // width * 8 // 6 ELSE width END AS cw, CASE WHEN width * 6 < {IMAGE} // width * 8 THEN width * 6 // 8 ELSE {IMAGE} // width END AS ch FROM images),
+    cut AS (SELECT image_id, cw, ch, place % width - (width - cw) // 2 AS x, place // width - (height - ch) // 2 AS y, r, g, b FROM images JOIN boxes USING (width)
+      WHERE place // width < height AND place % width - (width - cw) // 2 BETWEEN 0 AND cw - 1 AND place // width - (height - ch) // 2 BETWEEN 0 AND ch - 1)"""
+_CHOSEN = f"""{_IMAGES}, chosen AS (SELECT image_id, CAST(ox.range AS INTEGER) AS x, CAST(oy.range AS INTEGER) AS y, r, g, b FROM cut, range(8) ox, range(6) oy WHERE x = (2 * ox.range + 1) * cw // 16 AND y = (2 * oy.range + 1) * ch // 12)"""
+
+
+def _mixed_triangle_sql() -> str:
+    """Weights for each of the sides that occur."""
+
+    def weights(name: str, side: str, target: int) -> str:
+        far = f"abs(s.range + 0.5 - (o.range + 0.5) * side / {target}::DOUBLE) / greatest(1.0, side / {target}::DOUBLE)"
+        return f"""{name}0 AS (SELECT side, o.range AS o, s.range AS s, 1 - {far} AS w FROM (SELECT DISTINCT {side} AS side FROM boxes), range({target}) o, range({max(SIZES)}) s WHERE s.range < side),
+        {name} AS (SELECT side, o, s, w / sum(w) OVER (PARTITION BY side, o) AS w FROM {name}0 WHERE w > 0)"""
+
+    # sums of integers of 2^-30, as the operator states, so that ties do not hang on the order of rows
+    total = {c: f"CAST(sum(CAST(round(q.{c} * w * 1073741824) AS BIGINT)) AS DOUBLE) / 1073741824" for c in "rgb"}
+    mix = ", ".join(f"{t} AS {c}" for c, t in total.items())
+    whole = ", ".join(f"CAST(least(255, greatest(0, floor({t} + 0.5))) AS INTEGER) AS {c}" for c, t in total.items())
+    return f"""WITH {_IMAGES}, {weights('wx', 'cw', 8)}, {weights('wy', 'ch', 6)},
+    wide AS (SELECT image_id, ch, o AS x, y, {mix} FROM cut q JOIN wx ON q.cw = wx.side AND q.x = wx.s GROUP BY ALL)
+    SELECT image_id, CAST(x AS INTEGER) AS x, CAST(o AS INTEGER) AS y, {whole} FROM wide q JOIN wy ON q.ch = wy.side AND q.y = wy.s GROUP BY image_id, x, o"""
+
+
+def _fault_sql() -> str:
+    """One CASE a run; what the options alone decide is written out."""
+
+    def run(k: int, options: GenerateOptions, size: int) -> str:
+        w, h = options.width, options.height
+        head = f"SELECT {k} AS run, event_id AS image_id, CASE "
+        if w == 0 or h == 0:
+            return head + f"WHEN true THEN ['InvalidImage', 'target {'width' if w == 0 else 'height'} is 0'] END AS f FROM files"
+        cw, ch = f"CASE WHEN fw * {h} > fh * {w} THEN fh * {w} // {h} ELSE fw END", f"CASE WHEN fw * {h} < fh * {w} THEN fw * {h} // {w} ELSE fh END"
+        cases = ["WHEN event_type = 'error' THEN ['ImageDecode', 'not a supported image: ' || event_id]", "WHEN fw = 0 THEN ['InvalidImage', 'source width is 0']", "WHEN fh = 0 THEN ['InvalidImage', 'source height is 0']"]
+        cases += [f"WHEN ({c}) = 0 THEN ['InvalidImage', 'computed crop {side} floored to 0']" for c, side in ((cw, "width"), (ch, "height"))]
+        if options.generator is Generator.SUPERPIXEL:
+            cases.append(f"WHEN ({cw}) < {w} OR ({ch}) < {h} THEN ['InvalidImage', 'target {w}x{h} exceeds source ' || ({cw}) || 'x' || ({ch})]")
+        rest = "['InvalidImage', 'max_colors must be at least 1']" if options.max_colors == 0 else "['InvalidPalette', 'palette has no colors']" if not size else "['InvalidPalette', 'palette has more than 65536 colors']" if size > 65_536 else "NULL"
+        return head + " ".join(cases) + f" ELSE {rest} END AS f FROM files"
+
+    runs = " UNION ALL ".join(run(k, *x) for k, x in enumerate(_FAULTY))
+    return f"WITH files AS (SELECT event_id, event_type, user_id % 50 AS fw, event_id % 37 AS fh FROM events) SELECT run, image_id, f[1] AS kind, f[2] AS reason FROM ({runs}) WHERE f IS NOT NULL"
+
+
+ORACLE |= {
+    "mixed_triangle": _mixed_triangle_sql(),
+    "mixed_nearest": f"WITH {_CHOSEN} SELECT * FROM chosen",
+    "mixed_patterns": f"WITH {_CHOSEN}, {_PALETTE}, " + _RGB.replace("FROM pixels", "FROM chosen") + f", matched AS (SELECT image_id, x, y, idx FROM chosen JOIN rgb USING (r, g, b)), {_STATS.format(t='matched')} SELECT * FROM stats",
+    "image_fault_rows": _fault_sql(),
+}
+
+
 def queries() -> dict[str, Query]:
     own = (
         match_rgb_stats, match_rgb_cells, match_lab_cells, match_oklab_cells, total_and_missing, color_count, legend_top5, highlight_cells, cell_detail, summary_text, pattern_json,
-        center_crop_pixels, nearest_resize, triangle_resize, reduce_rgb, component_sizes_events, despeckle_s1, despeckle_s3, despeckle_s100, despeckle_any, preview_pixels, grid_pixels, superpixel_cells,
+        center_crop_pixels, nearest_resize, triangle_resize, reduce_rgb, component_sizes_events, despeckle_s1, despeckle_s3, despeckle_s100, despeckle_any, mixed_triangle, mixed_nearest, mixed_patterns, image_fault_rows, preview_pixels, grid_pixels, superpixel_cells,
         palette_colors, palette_validate, palette_counts, palette_lookup, crop_rects, locked_pairs, hit_tests, layout_ticks,
         catmull_resize, gaussian_resize, lanczos_resize, turned_pixels, preview_missing, board_sizes, saved_cells, cell_centres, viewport_taps, preset_sizes, frame_ratios, u32_reads, stored_settings,
     )
