@@ -22,10 +22,10 @@ UNIT = 1 << 30
 
 def crop_boxes(images: DataFrame, target_w: int, target_h: int) -> DataFrame:
     """images (width, height, ...) with cx, cy, cw, ch: the largest centred rectangle of ratio target_w : target_h; odd leftovers go right and below."""
-    wide, tall = f"CAST(width AS BIGINT) * {target_h}", f"CAST(height AS BIGINT) * {target_w}"
+    # the lesser of the side and what the other side allows, so a box of the image's own ratio is the image
     sized = images.withColumns({
-        "cw": F.expr(f"CASE WHEN {wide} > {tall} THEN ({tall}) div {target_h} ELSE CAST(width AS BIGINT) END"),
-        "ch": F.expr(f"CASE WHEN {wide} < {tall} THEN ({wide}) div {target_w} ELSE CAST(height AS BIGINT) END"),
+        "cw": F.expr(f"least(CAST(width AS BIGINT), (CAST(height AS BIGINT) * {target_w}) div {target_h})"),
+        "ch": F.expr(f"least(CAST(height AS BIGINT), (CAST(width AS BIGINT) * {target_h}) div {target_w})"),
     })
     return sized.withColumns({"cx": F.expr("(width - cw) div 2"), "cy": F.expr("(height - ch) div 2")})
 
