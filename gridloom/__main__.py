@@ -8,13 +8,15 @@ import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.errors import PatternError
-from gridloom.operators.render import encode_png
 from gridloom.options import GenerateOptions, Generator, Matcher
-from gridloom.plans.generate import generate
+from gridloom.plans.generate import generate_all
+from gridloom.scratch import stored
+from gridloom.sinks.files import write_files
 from gridloom.sources import palettes
-from gridloom.sources.images import read_images
+from gridloom.sources.images import read_batch
 
 
 def _arguments(argv: list[str]) -> argparse.Namespace:
@@ -40,7 +42,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("gridloom").getOrCreate()
     try:
         if args.command == "generate":
-            _generate(spark, args)
+            return _generate(spark, args)
         elif args.what == "validate":
             brand, colors = palettes.load(spark, Path(args.path).read_text(encoding="utf-8"))
             print(f"{brand}: {colors.count()} colors")
@@ -54,18 +56,27 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     return 0
 
 
-def _generate(spark: SparkSession, args: argparse.Namespace) -> None:
+def _generate(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Files of every sound image; the others are told with the first of their faults."""
+    if not os.path.exists(args.input):
+        raise FileNotFoundError(f"no such input: {args.input}")
     brand, colors = palettes.load(spark, Path(args.palette).read_text(encoding="utf-8"))
-    sizes, pixels = read_images(spark, args.input)
-    size = sizes.first()
+    images, pixels = read_batch(spark, args.input)
+    images = stored(images, "images")
     options = GenerateOptions(args.width, args.height, matcher=Matcher(args.matcher), generator=Generator(args.generator), max_colors=args.max_colors, despeckle=args.despeckle)
-    made = generate(pixels, size["width"], size["height"], colors, brand, options)
-    os.makedirs(args.output, exist_ok=True)
-    out = Path(args.output)
-    (out / "pattern.json").write_text(made.json().first()["pattern"], encoding="utf-8")
-    (out / "summary.txt").write_text(made.summary().first()["summary"], encoding="utf-8")
-    (out / "preview.png").write_bytes(encode_png(made.preview()).first()["png"])
-    (out / "grid.png").write_bytes(encode_png(made.grid()).first()["png"])
+    made = generate_all(images, pixels, colors, brand, options)
+    failed = 0
+    for x in made.faults.join(images, "image_id").select("path", "reason").orderBy("path").toLocalIterator():
+        print(f"error: {x['reason']} ({x['path']})", file=sys.stderr)
+        failed = 1
+    stem = F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), r"\.[^.]*$", "")
+    named = images.select("image_id", stem.alias("stem"))
+    shared = named.groupBy("stem").agg(F.count("*").alias("n"))
+    single = images.limit(2).count() == 1
+    folder = F.lit("") if single else F.when(F.col("n") == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("-"), F.hex("image_id")))
+    if not made.cells.isEmpty():
+        write_files(made.files(named.join(shared, "stem").select("image_id", folder.alias("folder"))), args.output)
+    return failed
 
 
 if __name__ == "__main__":

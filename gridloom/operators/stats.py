@@ -59,3 +59,20 @@ def pattern_json(cells: DataFrame, palette: DataFrame, sizes: DataFrame, brand:
     stats = ranked.groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "code", "name", "count"))), lambda s: F.struct(s["code"].alias("code"), s["name"].alias("name"), s["count"].alias("count"))).alias("stats"))
     whole = sizes.join(packed, "image_id", "left").join(stats, "image_id", "left")
     return whole.select("image_id", F.to_json(F.struct(F.lit(brand).alias("brand"), "width", "height", F.coalesce("cells", F.array().cast("array<int>")).alias("cells"), F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("stats", F.array().cast("array<struct<code:string,name:string,count:bigint>>")).alias("stats"))).alias("pattern"))
+
+
+def json_parts(cells: DataFrame, palette: DataFrame, sizes: DataFrame, brand: str, band: int = 64) -> DataFrame:
+    """image_id, part and body (binary): the document of :func:`pattern_json` in fragments of ``band`` rows of the grid each, to be joined by part."""
+    row = F.floor(F.col("y") / band).cast("int")
+    placed = F.sort_array(F.collect_list(F.struct("y", "x", "idx")))
+    bands = cells.groupBy("image_id", row.alias("band")).agg(F.array_join(F.transform(placed, lambda c: c["idx"].cast("string")), ",").alias("body"))
+    counted = cells.groupBy("image_id").agg(F.count("*").alias("total"), F.min(row).alias("first"))
+    middle = bands.join(counted, "image_id").select("image_id", (F.col("band") + 1).alias("part"), F.concat(F.when(F.col("band") > F.col("first"), ",").otherwise(""), "body").alias("body"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("rank", "code", "name", "count"))), lambda s: F.struct(s["code"].alias("code"), s["name"].alias("name"), s["count"].alias("count")))
+    stats = count_colors(cells, palette).groupBy("image_id").agg(listed.alias("stats"))
+    whole = sizes.join(counted, "image_id", "left").join(stats, "image_id", "left")
+    opening = F.to_json(F.struct(F.lit(brand).alias("brand"), "width", "height"))
+    closing = F.to_json(F.struct(F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("stats", F.array().cast("array<struct<code:string,name:string,count:bigint>>")).alias("stats")))
+    ends = F.array(F.struct(F.lit(0).alias("part"), F.concat(F.expr("substring(opening, 1, length(opening) - 1)"), F.lit(',"cells":[')).alias("body")), F.struct(F.lit((1 << 31) - 1).alias("part"), F.concat(F.lit("],"), F.expr("substring(closing, 2)")).alias("body")))
+    edges = whole.select("image_id", opening.alias("opening"), closing.alias("closing")).select("image_id", F.inline(ends))
+    return middle.unionByName(edges).select("image_id", "part", F.col("body").cast("binary").alias("body"))

@@ -6,6 +6,7 @@ Images may differ in size; what goes wrong with one is a row, and the others go
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +55,20 @@ class Pattern:
         return render.grid(self.cells, self.palette, self.width, self.height, self.options.render.cell_size)
 
 
+    def files(self, folders: DataFrame) -> DataFrame:
+        """name, part and body: the four files of every image in fragments, below its folder of folders (image_id, folder; empty for none)."""
+        scale = self.options.render.cell_size
+        grid = render.geometry(self.width, self.height, scale)
+        summary = self.summary().select("image_id", F.lit(0).alias("part"), F.col("summary").cast("binary").alias("body"))
+        made = {
+            "preview.png": render.png_parts(self.preview(), self.width * scale, self.height * scale), "grid.png": render.png_parts(self.grid(), grid.width, grid.height),
+            "pattern.json": stats.json_parts(self.cells, self.palette, self.sizes, self.brand), "summary.txt": summary,
+        }
+        parts = reduce(DataFrame.unionByName, [df.withColumn("file", F.lit(name)) for name, df in made.items()])
+        name = F.concat(F.when(F.col("folder") == "", "").otherwise(F.concat("folder", F.lit("/"))), "file")
+        return parts.join(folders, "image_id").select(name.alias("name"), "part", "body")
+
+
 def _always(broken: bool) -> Column:
     return F.lit(bool(broken))
 
