@@ -11,12 +11,10 @@ from pyspark.sql import functions as F
 
 from gridloom.errors import InvalidPalette
 from gridloom.functions.colorspace import coordinates
+from gridloom.operators.color_index import ColorIndex
 from gridloom.options import Matcher
 
 MOST_COLORS = 65_536
-#: Distances that a task holds at once.
-CELLS = 1 << 21
-
 
 def check_palette_size(palette: DataFrame) -> int:
     """Number of colours; a palette is never empty nor larger than a 16-bit index reaches, which bounds what is broadcast."""
@@ -28,21 +26,12 @@ def check_palette_size(palette: DataFrame) -> int:
     return size
 
 
-def _closest(points: np.ndarray, colors: np.ndarray) -> np.ndarray:
-    """Place of the first nearest row of colors for each row of points."""
-    out = np.empty(len(points), dtype=np.int64)
-    step = max(1, CELLS // len(colors))
-    for lo in range(0, len(points), step):
-        p, q, s = (points[lo : lo + step, k, None] - colors[None, :, k] for k in range(3))
-        out[lo : lo + step] = (p * p + q * q + s * s).argmin(axis=1)
-    return out
-
-
 def nearest(points: DataFrame, keys: list[str], palette: DataFrame, matcher: Matcher, ready: bool = False) -> DataFrame:
     """keys and idx for points(keys..., c0, c1, c2 if ready, else r, g, b); palette(idx, r, g, b).
 
     The palette, whose size is checked, goes to every task; points are matched where they
-    are, batch by batch, each distinct point of a batch once, and nothing is shuffled.
+    are, batch by batch, each distinct point of a batch once, by an index of the palette,
+    and nothing is shuffled.
     """
     check_palette_size(palette)
     own = coordinates(matcher)
@@ -52,10 +41,11 @@ def nearest(points: DataFrame, keys: list[str], palette: DataFrame, matcher: Mat
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         idx, colors = shared.value
+        index = ColorIndex(colors)
         for batch in batches:
             here = batch[["__c0", "__c1", "__c2"]].to_numpy(dtype=float)
             distinct, at = np.unique(here, axis=0, return_inverse=True) if len(here) else (here, np.empty(0, np.int64))
-            yield batch[keys].assign(idx=idx[_closest(distinct, colors)][at.ravel()])
+            yield batch[keys].assign(idx=idx[index.closest(distinct)][at.ravel()])
 
     return placed.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.select(*keys).schema) + ", idx int")
 

@@ -8,26 +8,11 @@ from pyspark.sql import functions as F
 
 from gridloom.errors import InvalidImage, InvalidPalette
 from gridloom.functions.colorspace import coordinates
+from gridloom.operators.color_index import merge_plan
 from gridloom.operators.match import check_palette_size
 from gridloom.options import Matcher
 
 
-def merge_plan(usage: dict[int, int], colors: dict[int, tuple[float, float, float]], most: int) -> dict[int, int]:
-    """Representative of each used index once at most ``most`` are left.
-
-    Given up is the least used colour (of equals the larger index), for the nearest in
-    use (of equals the smaller index), which takes over its uses.
-    """
-    used, stands = dict(usage), {k: k for k in usage}
-    while len(used) > most:
-        gone = min(used, key=lambda k: (used[k], -k))
-        count = used.pop(gone)
-        target = min(used, key=lambda k: (sum((a - b) ** 2 for a, b in zip(colors[gone], colors[k])), k))
-        used[target] += count
-        stands = {k: target if v == gone else v for k, v in stands.items()}
-    return stands
-
-
 def reduce_colors(cells: DataFrame, palette: DataFrame, most: int, matcher: Matcher = Matcher.OKLAB) -> DataFrame:
     """Cells with at most ``most`` colours per image; only the usage table (a palette's size per image) leaves the JVM."""
     if most <= 0:
