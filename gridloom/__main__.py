@@ -5,9 +5,8 @@ from __future__ import annotations
 import argparse
 import os
 import sys
-from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.errors import PatternError
@@ -17,6 +16,7 @@ from gridloom.scratch import stored
 from gridloom.sinks.files import write_files
 from gridloom.sources import palettes
 from gridloom.sources.images import read_batch
+from gridloom.sources.palette_folder import palette_documents
 
 
 def _arguments(argv: list[str]) -> argparse.Namespace:
@@ -44,23 +44,41 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.command == "generate":
             return _generate(spark, args)
         elif args.what == "validate":
-            brand, colors = palettes.load(spark, Path(args.path).read_text(encoding="utf-8"))
+            brand, colors = palettes.loaded(_document(spark, args.path))
             print(f"{brand}: {colors.count()} colors")
         else:
-            known = [(i, (Path(args.folder) / f"{i}.json").read_text(encoding="utf-8")) for i, _ in palettes.CATALOG if (Path(args.folder) / f"{i}.json").exists()]
-            for x in palettes.listing(palettes.parse(spark.createDataFrame(known, "palette_id string, json string"))).orderBy("ord").collect():
-                print(x["line"])
+            return _list(spark, args.folder)
     except (PatternError, OSError) as fault:
         print(f"error: {fault}", file=sys.stderr)
         return 1
     return 0
 
 
+def _document(spark: SparkSession, path: str) -> DataFrame:
+    if not os.path.isfile(path):
+        raise FileNotFoundError(f"no such palette: {path}")
+    return palette_documents(spark, path)
+
+
+def _list(spark: SparkSession, folder: str) -> int:
+    """A line per sound palette of the catalogue; the others are told with their fault."""
+    if not os.path.isdir(folder):
+        raise FileNotFoundError(f"no such folder: {folder}")
+    parsed = palettes.parse(palette_documents(spark, folder))
+    faults = stored(palettes.faults(parsed), "faults")
+    for x in palettes.listing(parsed.join(faults, "palette_id", "left_anti")).orderBy("ord").collect():
+        print(x["line"])
+    failed = faults.orderBy("palette_id").collect()
+    for x in failed:
+        print(f"error: {x['palette_id']}: {x['reason']}", file=sys.stderr)
+    return int(bool(failed))
+
+
 def _generate(spark: SparkSession, args: argparse.Namespace) -> int:
     """Files of every sound image; the others are told with the first of their faults."""
     if not os.path.exists(args.input):
         raise FileNotFoundError(f"no such input: {args.input}")
-    brand, colors = palettes.load(spark, Path(args.palette).read_text(encoding="utf-8"))
+    brand, colors = palettes.loaded(_document(spark, args.palette))
     images, pixels = read_batch(spark, args.input)
     images = stored(images, "images")
     options = GenerateOptions(args.width, args.height, matcher=Matcher(args.matcher), generator=Generator(args.generator), max_colors=args.max_colors, despeckle=args.despeckle)

@@ -32,7 +32,8 @@ class Written(WriterCommitMessage):
     names: list[str]
 
 
-def _opened(path: str) -> tuple[arrow_fs.FileSystem, str]:
+def opened(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    """The file system of a path and the path within it."""
     if "://" in path or path.startswith("file:"):
         return arrow_fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
     return arrow_fs.LocalFileSystem(), os.path.abspath(path)
@@ -43,7 +44,7 @@ class FilePartsWriter(DataSourceWriter):
         self.path, self.staging = path, f"_staging-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[Row]) -> Written:
-        store, base = _opened(self.path)
+        store, base = opened(self.path)
         folder = f"{self.staging}/{uuid.uuid4().hex}"
         out, names, last = None, [], None
         try:
@@ -67,7 +68,7 @@ class FilePartsWriter(DataSourceWriter):
         return Written(folder, names)
 
     def commit(self, messages: list[Written | None]) -> None:
-        store, base = _opened(self.path)
+        store, base = opened(self.path)
         store.create_dir(base, recursive=True)
         made = set()
         for done in messages:
@@ -80,7 +81,7 @@ class FilePartsWriter(DataSourceWriter):
         self._clear(store, base)
 
     def abort(self, messages: list[Written | None]) -> None:
-        self._clear(*_opened(self.path))
+        self._clear(*opened(self.path))
 
     def _clear(self, store: arrow_fs.FileSystem, base: str) -> None:
         at = f"{base}/{self.staging}"

@@ -59,7 +59,12 @@ def faults(parsed: DataFrame) -> DataFrame:
 
 def load(spark: SparkSession, json: str, lenient: bool = False) -> tuple[str, DataFrame]:
     """Brand and colours (idx, code, name, r, g, b) of one document, or the error it deserves."""
-    parsed = parse(spark.createDataFrame([("own", json)], "palette_id string, json string"), lenient)
+    return loaded(spark.createDataFrame([("own", json)], "palette_id string, json string"), lenient)
+
+
+def loaded(document: DataFrame, lenient: bool = False) -> tuple[str, DataFrame]:
+    """Brand and colours (idx, code, name, r, g, b) of the one row of document (palette_id, json), or the error it deserves."""
+    parsed = parse(document, lenient)
     fault = faults(parsed).first()
     if fault:
         raise (PaletteParse if fault["kind"] == "PaletteParse" else InvalidPalette)(fault["reason"])

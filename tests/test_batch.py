@@ -18,6 +18,7 @@ from gridloom.options import GenerateOptions, Generator, Matcher, RenderOptions,
 from gridloom.plans.generate import generate, generate_all, image_faults
 from gridloom.sinks.files import write_files
 from gridloom.sources.images import read_batch, read_images
+from gridloom.sources.palette_folder import palette_documents
 from tests.test_grid import colors, demo, grid, png, shown
 
 IMAGES = "image_id long, width int, height int, bad string"
@@ -268,3 +269,22 @@ def test_generate_of_one_size_still_raises_and_agrees(spark):
     three = colors(spark, [(0, 0, 0), (7, 7, 14), (3, 3, 6)])
     made = generate(demo(spark, 8, 8), 8, 8, three, "x", GenerateOptions(4, 4, matcher=Matcher.RGB, max_colors=2, despeckle=1))
     assert made.cells.count() == 16 and made.faults.count() == 0
+
+
+def test_palettes_of_a_folder(spark, tmp_path, capsys):
+    one = {"code": "A", "name": "n", "rgb": "#000000"}
+    (tmp_path / "yant.json").write_text(json.dumps({"brand": "Yant", "colors": [one, one | {"code": "B"}]}))
+    (tmp_path / "perler.json").write_text("\ufeff" + json.dumps({"brand": "Perler", "colors": [one]}), encoding="utf-8")
+    (tmp_path / "hama.json").write_text(json.dumps({"brand": "Hama", "colors": [{"code": "A", "rgb": "#000000"}]}))
+    (tmp_path / "nabbi.json").write_bytes(b"\xff\xfe\xfa")
+    (tmp_path / "notes.txt").write_text("no palette")
+    assert cli.main(["palette", "list", str(tmp_path)], spark) == 1
+    told = capsys.readouterr()
+    assert told.out.splitlines() == ["perler       Perler        1 colors", "yant         Yant          2 colors"]
+    assert [x.split(":")[1].strip() for x in told.err.splitlines() if x.startswith("error")] == ["hama", "nabbi"]
+    assert cli.main(["palette", "validate", str(tmp_path / "yant.json")], spark) == 0
+    assert cli.main(["palette", "validate", str(tmp_path / "hama.json")], spark) == 1
+    assert cli.main(["palette", "list", str(tmp_path / "none")], spark) == 1
+    (tmp_path / "empty").mkdir()
+    assert cli.main(["palette", "list", str(tmp_path / "empty")], spark) == 0
+    assert palette_documents(spark, str(tmp_path)).rdd.getNumPartitions() == 4
