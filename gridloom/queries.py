@@ -234,6 +234,25 @@ def image_fault_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def identity_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raster of the target's size is copied, whatever the kernel."""
+    rows = _rows(spark, sf_dir)
+    pixels = event_pixels(spark, sf_dir).withColumns({"width": F.lit(WIDTH), "height": F.lit(rows)})
+    return resize_all(pixels, pixels, WIDTH, rows, Resample.GAUSSIAN)
+
+
+def reduce_not_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A limit that the used colours keep leaves all cells."""
+    return reduce_colors(match_rgb_cells(spark, sf_dir), part_palette(spark, sf_dir), 50, Matcher.RGB)
+
+
+def pattern_json_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pattern document from its fragments."""
+    parts = stats.json_parts(match_rgb_cells(spark, sf_dir), part_palette(spark, sf_dir), _sizes(spark, sf_dir), "Parts", 7)
+    ordered = F.sort_array(F.collect_list(F.struct("part", F.col("body").cast("string").alias("body"))))
+    return parts.groupBy("image_id").agg(F.array_join(F.transform(ordered, lambda p: p["body"]), "").alias("pattern"))
+
+
 def component_sizes_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return component_sizes(event_cells(spark, sf_dir))
 
@@ -295,6 +314,26 @@ def palette_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return palettes.faults(palettes.parse(palette_documents(spark, sf_dir)))
 
 
+def broken_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents by turns cut short, without a name, without colours, with short colours, and as they are."""
+    size = F.col("palette_id").cast("int") % 5
+    text = F.col("json")
+    cut = F.expr("substring(json, 1, length(json) - 9)")
+    nameless = F.regexp_replace(text, '"name":"[^"]*",', "")
+    empty = F.regexp_replace(text, '"colors":.*$', '"colors":[]}')
+    short = F.regexp_replace(text, '"#(.).(.).(.)."', '"#$1$2$3"')
+    return palette_documents(spark, sf_dir).select("palette_id", F.when(size == 0, cut).when(size == 1, nameless).when(size == 2, empty).when(size == 3, short).otherwise(text).alias("json"))
+
+
+def palette_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return palettes.faults(palettes.parse(broken_documents(spark, sf_dir)))
+
+
+def palette_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of the documents that parse, three digits standing for six."""
+    return palettes.parse(broken_documents(spark, sf_dir), lenient=True).where("code IS NOT NULL").select("palette_id", "idx", "code", "r", "g", "b")
+
+
 def palette_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return palettes.counts(palette_documents(spark, sf_dir))
 
@@ -555,7 +594,18 @@ def _fault_sql() -> str:
     return f"WITH files AS (SELECT event_id, event_type, user_id % 50 AS fw, event_id % 37 AS fh FROM events) SELECT run, image_id, f[1] AS kind, f[2] AS reason FROM ({runs}) WHERE f IS NOT NULL"
 
 
+_BROKEN = f"""{_PALETTE_ROWS}, kinds AS (SELECT *, CAST(palette_id AS INTEGER) % 5 AS k FROM rows)"""
+ORACLE["pattern_json_joined"] = ORACLE["pattern_json"]
 ORACLE |= {
+    "identity_resize": f"WITH {_PIXELS} SELECT * FROM pixels",
+    "reduce_not_needed": f"WITH {_MATCHED} SELECT * FROM matched",
+    "palette_broken": f"""WITH {_BROKEN}, bad AS (SELECT palette_id, arg_min(code, idx) AS code FROM kinds WHERE k = 3 OR k = 4 AND length(rgb) < 7 GROUP BY 1),
+        twice AS (SELECT palette_id, arg_min(code, f) AS code FROM (SELECT palette_id, code, min(idx) AS f FROM kinds WHERE k IN (3, 4) GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1)
+        SELECT DISTINCT palette_id, 'PaletteParse' AS kind, 'document or field missing' AS reason FROM kinds WHERE k IN (0, 1)
+        UNION ALL SELECT DISTINCT palette_id, 'InvalidPalette', 'palette has no colors' FROM kinds WHERE k = 2
+        UNION ALL SELECT palette_id, 'InvalidPalette', coalesce('bad hex for color ' || bad.code, 'duplicate code ' || twice.code) FROM bad FULL JOIN twice USING (palette_id)""",
+    "palette_lenient": f"""WITH {_BROKEN}, wide AS (SELECT palette_id, idx, code, CASE WHEN k = 3 AND length(rgb) = 7 THEN '#' || rgb[2] || rgb[2] || rgb[4] || rgb[4] || rgb[6] || rgb[6] ELSE rgb END AS rgb FROM kinds WHERE k IN (1, 3, 4))
+        SELECT palette_id, idx, code, """ + ", ".join(f"CASE WHEN length(rgb) = 7 THEN CAST('0x' || substr(rgb, {k}, 2) AS INTEGER) END AS {c}" for c, k in zip("rgb", (2, 4, 6))) + " FROM wide",
     "mixed_triangle": _mixed_triangle_sql(),
     "mixed_nearest": f"WITH {_CHOSEN} SELECT * FROM chosen",
     "mixed_patterns": f"WITH {_CHOSEN}, {_PALETTE}, " + _RGB.replace("FROM pixels", "FROM chosen") + f", matched AS (SELECT image_id, x, y, idx FROM chosen JOIN rgb USING (r, g, b)), {_STATS.format(t='matched')} SELECT * FROM stats",
@@ -566,7 +616,7 @@ ORACLE |= {
 def queries() -> dict[str, Query]:
     own = (
         match_rgb_stats, match_rgb_cells, match_lab_cells, match_oklab_cells, total_and_missing, color_count, legend_top5, highlight_cells, cell_detail, summary_text, pattern_json,
-        center_crop_pixels, nearest_resize, triangle_resize, reduce_rgb, component_sizes_events, despeckle_s1, despeckle_s3, despeckle_s100, despeckle_any, mixed_triangle, mixed_nearest, mixed_patterns, image_fault_rows, preview_pixels, grid_pixels, superpixel_cells,
+        center_crop_pixels, nearest_resize, triangle_resize, reduce_rgb, component_sizes_events, despeckle_s1, despeckle_s3, despeckle_s100, despeckle_any, identity_resize, reduce_not_needed, pattern_json_joined, palette_broken, palette_lenient, mixed_triangle, mixed_nearest, mixed_patterns, image_fault_rows, preview_pixels, grid_pixels, superpixel_cells,
         palette_colors, palette_validate, palette_counts, palette_lookup, crop_rects, locked_pairs, hit_tests, layout_ticks,
         catmull_resize, gaussian_resize, lanczos_resize, turned_pixels, preview_missing, board_sizes, saved_cells, cell_centres, viewport_taps, preset_sizes, frame_ratios, u32_reads, stored_settings,
     )
