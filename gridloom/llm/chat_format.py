@@ -16,7 +16,8 @@ Built-in expressions only. Tokens are estimated: a quarter of the characters, an
 a turn's marks. Null roles and texts count as empty; turns with equal numbers are put in
 order by role and text, all stay (repeated rows too), and null turn numbers come first. Rows
 with a null conv_id are one conversation. A conversation's turns meet in one row, as its
-text and its digest need them in order; the work is linear in them. Other columns are
+text and its digest need them in order; the work grows with their number, and that of
+listing the starts of windows with its square over ``STRETCH``. Other columns are
 ignored, whatever their names; an empty table gives an empty result.
 """
 
@@ -31,6 +32,8 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 BUDGET, HISTORY = 512, 0.25
 #: Characters of a token, for the built-in estimate, and tokens of a turn's marks.
 CHARS, MARKS = 4, 5
+#: Turns whose spans are told apart before their starts join those of the turns before.
+STRETCH = 256
 
 
 def escape(text: Column) -> Column:
@@ -77,8 +80,11 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: float = HISTORY) ->
     held = whole.selectExpr("conv_id", "turns", "size(turns) AS n", "IF(turns[0].system, 1, 0) AS held", "IF(turns[0].system, turns[0].tokens, 0L) AS kept")
     room = held.withColumn("past", F.expr(f"greatest(0L, least({past}L, {budget} - kept - 1))")).withColumn("room", F.expr(f"greatest(1L, {budget} - kept - past)"))
     # a span ends before the turn with which it would pass the room
-    cut = room.withColumn("starts", F.expr("""aggregate(sequence(held, n), named_struct('at', array(held), 'base', kept),
-        (a, i) -> IF(i < n AND turns[i].sum > a.base AND turns[i].sum + turns[i].tokens - a.base > room, named_struct('at', concat(a.at, array(i)), 'base', turns[i].sum), a), a -> a.at)"""))
+    # starts are gathered by stretches of turns: one list that grew with each would be copied as often
+    cut = room.withColumn("starts", F.expr(f"""aggregate(sequence(0, (n - held) div {STRETCH}), named_struct('at', array(held), 'base', kept),
+        (a, c) -> aggregate(sequence(held + CAST(c AS int) * {STRETCH}, least(n, held + CAST(c AS int) * {STRETCH} + {STRETCH - 1})), named_struct('at', CAST(array() AS array<int>), 'base', a.base),
+            (b, i) -> IF(i < n AND turns[i].sum > b.base AND turns[i].sum + turns[i].tokens - b.base > room, named_struct('at', concat(b.at, array(i)), 'base', turns[i].sum), b),
+            b -> named_struct('at', concat(a.at, b.at), 'base', b.base)), a -> a.at)"""))
     spans = cut.withColumn("spans", F.expr("transform(starts, (s, k) -> named_struct('window', k, 'first', s, 'last', coalesce(get(starts, k + 1), n)))"))
     total = "turns[w.last - 1].sum + turns[w.last - 1].tokens"
     # an over-long span leaves the history less; get() and the conditions take care of spans without turns

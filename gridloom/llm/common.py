@@ -60,6 +60,13 @@ def numbered(df: DataFrame, *columns: str | Column) -> DataFrame:
     return rows.select(F.monotonically_increasing_id().alias(ROW), "*")
 
 
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs less the rows whose number, as :func:`numbered` gives it, is in gone (__row); columns may have any name."""
+    own = [(c, f"column_{k}") for k, c in enumerate(docs.columns)]
+    rows = numbered(docs, *(F.col(f"`{c.replace('`', '``')}`").alias(name) for c, name in own))
+    return rows.join(gone, ROW, "left_anti").select(*(F.col(name).alias(c) for c, name in own))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -3,13 +3,16 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from gridloom.llm import lexical_search, queries, token_alignment, toxicity
+from gridloom.llm import chat_format, lexical_search, near_copies, queries, token_alignment, toxicity
+from gridloom.llm.common import without_rows
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -285,3 +288,31 @@ def test_slices_change_no_evidence(monkeypatch):
     whole = model.evidence(texts)
     monkeypatch.setattr(toxicity, "BLOCK", 7)
     assert np.allclose(model.evidence(texts), whole)
+
+
+# -- rows told apart by number; long conversations
+
+
+def test_a_column_named_like_the_row_number(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    docs = frame(spark, [(1, text, 5, "x"), (2, text, 5, "y"), (3, "another text", 7, "z")], "doc_id long, text string, __row long, `a.b` string")
+    kept = near_copies.keep_first(docs)
+    assert kept.columns == docs.columns and sorted(x["doc_id"] for x in kept.collect()) == [1, 3]
+    gone = frame(spark, [], "__row long")
+    assert without_rows(docs, gone).count() == 3
+
+
+@pytest.mark.parametrize("n", [1, 255, 256, 257, 600])
+def test_every_turn_in_a_window_of_its_own(spark, n):
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("said "), F.col("id").cast("string")).alias("text"))
+    made = chat_format.windows(turns, budget=8).select("window", "n_turns", "n_context", "text").orderBy("window").collect()
+    assert [(x["window"], x["n_turns"], x["n_context"]) for x in made] == [(k, 1, 0) for k in range(n)]
+    assert all(f"said {k}<" in x["text"] for k, x in enumerate(made))
+
+
+def test_many_windows_are_made_in_time(spark):
+    n = 30_000
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.lit("said").alias("text"))
+    began = time.time()
+    assert chat_format.digests(chat_format.windows(turns, budget=8)).first()["n_turns"] == n
+    assert time.time() - began < 60
