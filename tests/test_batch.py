@@ -9,13 +9,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom import __main__ as cli
-from gridloom.operators import render, stats
+from gridloom.operators import render, stats, superpixel
 from gridloom.operators.batch import center_crops, crop_boxes, resize_all
 from gridloom.operators.despeckle import component_sizes, despeckle
 from gridloom.operators.resample import center_crop, crop_box, resize
 from gridloom.operators.superpixel import superpixels
 from gridloom.options import GenerateOptions, Generator, Matcher, RenderOptions, Resample
 from gridloom.plans.generate import generate, generate_all, image_faults
+from gridloom.scratch import stored
 from gridloom.sinks.files import write_files
 from gridloom.sources.images import read_batch, read_images
 from gridloom.sources.palette_folder import palette_documents
@@ -288,3 +289,26 @@ def test_palettes_of_a_folder(spark, tmp_path, capsys):
     (tmp_path / "empty").mkdir()
     assert cli.main(["palette", "list", str(tmp_path / "empty")], spark) == 0
     assert palette_documents(spark, str(tmp_path)).rdd.getNumPartitions() == 4
+
+
+def test_superpixels_by_tiles_equal_those_of_shared_centres(spark, monkeypatch):
+    five = colors(spark, [(0, 0, 0), (200, 30, 60), (90, 200, 10), (120, 120, 250), (255, 255, 255)])
+    images, pixels = batch(spark, [(40, 30), (26, 33)])
+    for to in ((9, 7),):
+        want = table(superpixel.superpixels_all(pixels, five, *to).select("image_id", "x", "y", "idx"))
+        monkeypatch.setattr(superpixel, "SHARED", 0)
+        for size in (10, 200):  # parts of cells, tiles of a few cells
+            monkeypatch.setattr(superpixel, "TILE_PIXELS", size)
+            assert table(superpixel.superpixels_all(pixels, five, *to).select("image_id", "x", "y", "idx")) == want
+        monkeypatch.undo()
+
+
+def test_tiles_of_pixels_are_not_shuffled_again(spark):
+    _, pixels = batch(spark, [(40, 30)])
+    points = pixels.selectExpr("image_id", "x", "y", "r / 255D AS v0", "g / 255D AS v1", "b / 255D AS v2", "x div 10 AS hx", "y div 10 AS hy", "10D AS sx", "10D AS sy")
+    centres = stored(spark.createDataFrame([(0, i, j, 10.0 * i + 5, 10.0 * j + 5, 0.1, 0.2, 0.3) for i in range(4) for j in range(3)], "image_id long, i int, j int, cx double, cy double, c0 double, c1 double, c2 double"), "centres")
+    laid, side, parts = superpixel._laid_out(points, "points_of_a_test")
+    plan = superpixel._tiled(laid, centres, side, parts)._jdf.queryExecution().executedPlan().toString()
+    spark.sql("DROP TABLE points_of_a_test")
+    # one exchange brings the centres to the tiles and one adds up the sums; pixels have none
+    assert plan.count("Exchange hashpartitioning") == 2 and "Bucketed: true" in plan
