@@ -355,6 +355,11 @@ def crop_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.crop_rect(_requests(spark, sf_dir)).select("event_id", "x", "y", "w", "h")
 
 
+def cover_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least zoom at which each source covers its frame."""
+    return _requests(spark, sf_dir).select("event_id", layout.cover_scale(F.col("src_w"), F.col("src_h"), F.col("aspect")).alias("scale"))
+
+
 def locked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _requests(spark, sf_dir).select("event_id", (F.col("src_w") * 4).alias("value"), "aspect", (F.col("turns") > 0).alias("by_width"))
     return layout.locked_pair(e).select("event_id", "w", "h")
@@ -597,6 +602,7 @@ def _fault_sql() -> str:
 _BROKEN = f"""{_PALETTE_ROWS}, kinds AS (SELECT *, CAST(palette_id AS INTEGER) % 5 AS k FROM rows)"""
 ORACLE["pattern_json_joined"] = ORACLE["pattern_json"]
 ORACLE |= {
+    "cover_scales": f"WITH {_REQUESTS} SELECT event_id, greatest(a / sw, 1.0::DOUBLE / sh) AS scale FROM q",
     "identity_resize": f"WITH {_PIXELS} SELECT * FROM pixels",
     "reduce_not_needed": f"WITH {_MATCHED} SELECT * FROM matched",
     "palette_broken": f"""WITH {_BROKEN}, bad AS (SELECT palette_id, arg_min(code, idx) AS code FROM kinds WHERE k = 3 OR k = 4 AND length(rgb) < 7 GROUP BY 1),
@@ -616,7 +622,7 @@ ORACLE |= {
 def queries() -> dict[str, Query]:
     own = (
         match_rgb_stats, match_rgb_cells, match_lab_cells, match_oklab_cells, total_and_missing, color_count, legend_top5, highlight_cells, cell_detail, summary_text, pattern_json,
-        center_crop_pixels, nearest_resize, triangle_resize, reduce_rgb, component_sizes_events, despeckle_s1, despeckle_s3, despeckle_s100, despeckle_any, identity_resize, reduce_not_needed, pattern_json_joined, palette_broken, palette_lenient, mixed_triangle, mixed_nearest, mixed_patterns, image_fault_rows, preview_pixels, grid_pixels, superpixel_cells,
+        center_crop_pixels, nearest_resize, triangle_resize, reduce_rgb, component_sizes_events, despeckle_s1, despeckle_s3, despeckle_s100, despeckle_any, identity_resize, reduce_not_needed, pattern_json_joined, palette_broken, palette_lenient, cover_scales, mixed_triangle, mixed_nearest, mixed_patterns, image_fault_rows, preview_pixels, grid_pixels, superpixel_cells,
         palette_colors, palette_validate, palette_counts, palette_lookup, crop_rects, locked_pairs, hit_tests, layout_ticks,
         catmull_resize, gaussian_resize, lanczos_resize, turned_pixels, preview_missing, board_sizes, saved_cells, cell_centres, viewport_taps, preset_sizes, frame_ratios, u32_reads, stored_settings,
     )
