@@ -19,7 +19,8 @@ but not none, is one window. A document word inside any occurrence of a window i
 The test items are taken in blocks of at most ``BLOCK_WORDS`` words, so what is broadcast
 has a fixed bound, whatever the size of the benchmark. Null texts have no words. doc_id
 may be null or repeated: rows are told apart by a number of their own. Equal items all
-count; item_id null is left out of the lists but its windows still hit. Of equally rare
+count, while an id is listed once however many items have it; item_id null is left out of
+the lists but its windows still hit. Of equally rare
 words the first counts. Other columns are ignored, whatever their names; an empty table
 gives an empty result, and without items nothing is hit.
 """

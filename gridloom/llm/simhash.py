@@ -21,7 +21,8 @@
 
 Null or empty texts, and texts without words, have fingerprint zero. doc_id may be
 null or repeated. A null doc_id links like any other but never names a component that
-holds a numbered document. Other columns are ignored, whatever their names. An empty
+holds a numbered document. Long texts are hashed whole, their bits counted in slices; a
+bit that exactly half of the hashes have is 0. Other columns are ignored, whatever their names. An empty
 table gives an empty result.
 """
 
