@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat_format, lexical_search, near_copies, queries, token_alignment, toxicity
+from gridloom.llm import chat_format, language_id, lexical_search, near_copies, queries, token_alignment, toxicity
 from gridloom.llm.common import without_rows
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -316,3 +316,51 @@ def test_many_windows_are_made_in_time(spark):
     began = time.time()
     assert chat_format.digests(chat_format.windows(turns, budget=8)).first()["n_turns"] == n
     assert time.time() - began < 60
+
+
+# -- language identification, character by character
+
+
+def plain_buckets(text):
+    """Buckets of the 1- to 4-grams of a text's letters, by scalar arithmetic."""
+    kept = re.sub(r"[\W\d_]+", " ", text or "").strip()
+    if not any(c.isalpha() for c in kept):
+        return None
+    codes, out = [ord(c) for c in f" {kept.lower()} "], []
+    for start in range(len(codes)):
+        h = 0
+        for n in range(1, 5):
+            if start + n > len(codes):
+                break
+            h = (h ^ codes[start + n - 1]) * 0x9E3779B1 % 2**32
+            h ^= h >> 15
+            out.append((h + n) * 0x85EBCA6B % 2**32 >> 16)
+    return out
+
+
+def test_languages_equal_a_plain_naive_bayes(spark):
+    rng = np.random.default_rng(4)
+    words = {"aa": ["lor", "ipsu", "dól"], "bb": ["wer", "ist", "dór"], "cc": ["que", "lor", "est"]}
+    rows = []
+    for i in range(90):
+        lang = ("aa", "bb", "cc")[i % 3]
+        rows.append((i, " ".join(rng.choice(words[lang], size=rng.integers(1, 6))) + (" 42_!" if i % 5 == 0 else ""), lang if i % 7 else None))
+    rows += [(200, None, "aa"), (201, "12 34", "bb"), (202, "", None), (None, "lor est", "cc"), (203, "lor " * 2000, None)]
+    learned = [(plain_buckets(t), lang) for i, t, lang in rows if i is not None and zlib.crc32(str(i).encode()) % 3 != 1 and lang]
+    names = sorted({lang for b, lang in learned if b})
+    counts, docs = {n: Counter() for n in names}, Counter(lang for b, lang in learned if b)
+    for b, lang in learned:
+        counts[lang].update(b or ())
+    total = {n: sum(counts[n].values()) + 0.5 * 65_536 for n in names}
+    want = {}
+    for i, text, _ in rows:
+        found = plain_buckets(text)
+        if found is None:
+            want[i] = ("und", 0.0)
+            continue
+        logs = [math.log(docs[n] / sum(docs.values())) + sum(math.log((counts[n][b] + 0.5) / total[n]) for b in found) for n in names]
+        top = max(logs)
+        want[i] = (names[logs.index(top)], 1 / sum(math.exp(x - top) for x in logs))
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in language_id.identify(frame(spark, rows, "doc_id long, text string, lang string")).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i][0] == want[i][0] and math.isclose(got[i][1], want[i][1], abs_tol=1e-3) for i in want)
