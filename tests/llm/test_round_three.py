@@ -318,6 +318,55 @@ def test_many_windows_are_made_in_time(spark):
     assert time.time() - began < 60
 
 
+def plain_windows(turns, budget, history):
+    """Windows of one conversation [(role, text)], turn by turn."""
+    blocks, tokens, targets = [], [], []
+    for role, text in turns:
+        name, said = (x.replace("\\", "\\s").replace("<|", "\\o") for x in (role, text))
+        head = "<|im_start|>" + name.replace("\n", "\\n") + "\n"
+        blocks.append(head + said + "<|im_end|>\n")
+        tokens.append(-(-len(text) // 4) + 5)
+        targets.append((len(head), len(head) + len(said)) if role == "assistant" and said else None)
+    held = int(bool(turns) and turns[0][0] == "system")
+    kept = sum(tokens[:held])
+    past = max(0, min(int(budget * history), budget - kept - 1))
+    room, spans = max(1, budget - kept - past), [[]]
+    for k in range(held, len(turns)):
+        if spans[-1] and sum(tokens[i] for i in spans[-1]) + tokens[k] > room:
+            spans.append([])
+        spans[-1].append(k)
+    out = []
+    for number, span in enumerate(spans):
+        before: list[int] = []
+        spare = min(past, budget - kept - sum(tokens[i] for i in span))
+        for k in range((span[0] if span else held) - 1, held - 1, -1):
+            if sum(tokens[i] for i in before) + tokens[k] > spare:
+                break
+            before.insert(0, k)
+        shown = [*range(held), *before, *span]
+        text, loss = "", []
+        for k in shown:
+            if k in span and targets[k]:
+                loss.append((len(text) + targets[k][0], len(text) + targets[k][1]))
+            text += blocks[k]
+        out.append((number, text, held + len(before) if number else 0, len(span) + (0 if number else held), sum(tokens[k] for k in shown), loss))
+    return out
+
+
+@pytest.mark.parametrize("budget, history", [(512, 0.25), (60, 0.5), (40, 0.0), (30, 0.9), (5, 0.25)])
+def test_windows_equal_plain_ones(spark, budget, history):
+    rng = np.random.default_rng(budget)
+    talks = {}
+    for c in range(12):
+        roles = ["system"] * (c % 2) + rng.choice(["user", "assistant", "odd<|\nrole"], size=rng.integers(0, 14)).tolist()
+        talks[c] = [(r, "é\\<|x " * int(rng.integers(0, 12)) if rng.random() < 0.9 else "") for r in roles] or [("user", "")]
+    turns = frame(spark, [(c, k, r, t) for c, talk in talks.items() for k, (r, t) in enumerate(talk)], "conv_id long, turn long, role string, text string")
+    got = {}
+    for x in chat_format.windows(turns, budget, history).orderBy("conv_id", "window").collect():
+        got.setdefault(x["conv_id"], []).append((x["window"], x["text"], x["n_context"], x["n_turns"], x["n_tokens"], [(y["start"], y["end"]) for y in x["loss"]]))
+    assert got == {c: plain_windows(talk, budget, history) for c, talk in talks.items()}
+
+
 # -- language identification, character by character
 
 
