@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import pytest
@@ -290,8 +291,16 @@ def brute_licenses(text):
     if text is None:
         return []
     parts = [re.sub("[^a-z0-9]+", " ", x.lower()).split() for x in re.sub(r"([.!?;:])[ \t]+", r"\1\n", text).split("\n")]
-    units = [(i, n, sum(parts[i : i + n], [])) for i in range(len(parts)) for n in range(1, licenses.RUN + 1) if i + n <= len(parts)]
-    if len(parts) > licenses.RUN:
+    most, n_words = licenses.span(licenses.TEMPLATES, licenses.THRESHOLD), sum(map(len, parts))
+    units = []
+    for i in range(len(parts)):
+        words = []
+        for n, part in enumerate(parts[i:], 1):
+            words = words + part
+            if n > 1 and len(words) > most and words != part and words != parts[i]:
+                break
+            units.append((i, n, words))
+    if n_words > most:
         units.append((-1, len(parts), sum(parts, [])))
     found = []
     for line, n, words in units:
@@ -300,7 +309,8 @@ def brute_licenses(text):
         if best[0] >= licenses.THRESHOLD:
             found.append((line, n, sets[-best[1]][0], best[0]))
     worth = lambda x: (x[3], -x[1], -x[0])
-    return [x for x in found if not any(y[0] >= 0 and (y[3] >= x[3] if x[0] < 0 else y[0] < x[0] + x[1] and x[0] < y[0] + y[1] and worth(y) > worth(x)) for y in found)]
+    outdoes = lambda y, x: worth(y) > worth(x) and (min(x[0], y[0]) < 0 or (y[0] < x[0] + x[1] and x[0] < y[0] + y[1]))
+    return [x for x in found if not any(outdoes(y, x) for y in found)]
 
 
 def test_licenses(spark):
@@ -309,10 +319,15 @@ def test_licenses(spark):
     wrapped = "\n".join(" * " + " ".join(full[12].split()[k : k + 6]) for k in range(0, 40, 6))
     texts = ["x\nLicensed under the Apache License, Version 2.0.\ny", "RELEASED  under the mit license", "licensed under", None, "", "word " * 30_000, "Licensed under CC BY-NC 4.0.\nReleased under the MIT License."]
     texts += [f"Some prose here. {t} And more of it." for t in full] + [prose(r, 30) + "\n" + wrapped + "\n" + prose(r, 300), "Released under the MIT License. " * 5, "\n".join(full[5].split()), "the license of\n" * 40]
+    grant = next(t for _, t in licenses.TEMPLATES if t.startswith("Permission is hereby granted"))
+    narrow = ["\n".join(textwrap.wrap(grant, n, break_long_words=False)) for n in (1, 24, 30)]
+    texts += [prose(r, 120) + "\n" + x + "\n\n" + prose(r, 120) for x in narrow] + ["Some words\nbefore all.\n" + narrow[2] + "\nand a few\nbehind.", narrow[2].replace("\n", "\n\n  \n"), "\n\n"]
     docs = spark.createDataFrame([(k, t, "clash", "clash") for k, t in enumerate(texts)] + [(None, texts[0], "", ""), (0, texts[0], "", "")], "doc_id long, text string, line string, pieces string")
     got = sorted((str(x.doc_id), x.line, x.pieces, x.license, round(x.score, 9)) for x in licenses.scan(docs).collect())
     want = sorted((str(k), line, n, name, round(score, 9)) for k, t in [*enumerate(texts), (None, texts[0]), (0, texts[0])] for line, n, name, score in brute_licenses(t))
     assert got == want and {x[0] for x in got} >= {str(k) for k in range(7, 7 + len(full))}
+    for k in range(len(texts) - 6, len(texts) - 1):  # wrapped at any width, between other texts or not: one row each
+        assert [x[3] for x in got if x[0] == str(k) and x[4] > 0.85] == ["MIT"]
     assert [tuple(x) for x in licenses.per_document(licenses.scan(docs.where("doc_id = 6"))).collect()] == [(6, 2, "CC-BY-NC-4.0")]
     assert licenses.scan(docs.limit(0)).count() == 0
 
