@@ -10,15 +10,20 @@ index over all texts can reach. So candidates come in two ways, and all are chec
    :func:`.simhash.links`.
 3. Prefix groups: in any one order of all shingles, two sets of similarity ``t`` share one
    of the first ``n - ceil(t n) + 1`` shingles of each, so they meet in its group. The order
-   puts shingles that are frequent in a sample last, so hardly any unlike texts meet. Sizes,
-   the places of the shared shingle and SimHashes more than ``FAR`` bits apart (five standard
-   deviations beyond the mean at 0.8) rule out most pairs. Of the others a group gives out
+   puts shingles that are frequent in a sample last, so hardly any unlike texts meet. Sizes
+   and the places of the shared shingle rule out pairs that cannot be that similar, and no
+   others. Of those left a group first gives out
    ``FORESTS`` edge-disjoint spanning forests of least distances and each member's ``HUBS``
    neighbours that lie nearest to all others (copies of one original lie nearer to it than
-   to one another): a few pairs per member, never all pairs.
+   to one another): all pairs of a small group, a few per member of a large one.
    Groups of very frequent shingles are cut into blocks, and each pair of blocks is a group.
-4. Every candidate is checked on its whole sets (32 bits of each shingle). Large-star and small-star rounds on the
-   links give the components.
+4. Every candidate is checked on its whole sets, once the parities of their shingles' last
+   bits leave it possible. Large-star and small-star rounds on the
+   links give components.
+5. Members that a group has held pairs of back meet in it again, now with their components.
+   All their pairs within one component are settled; all others are checked, and what they
+   link joins the components. So every pair of the similarity is linked or lies within one
+   component, whatever its SimHashes; only the order of the work depends on them.
 
 Null texts and texts without words have the empty set and are copies of one another.
 doc_id may be null or repeated: rows are told apart by a number of the scan. Other columns
@@ -41,10 +46,10 @@ from gridloom.llm.simhash import components, links, majority
 
 #: Texts in the sample that frequent shingles are taken from, and most of these.
 SAMPLE, FREQUENT = 5_000, 50_000
-#: Bits by which SimHashes of near copies may differ at most.
+#: Bits from which on a neighbour does not count as near when central members are chosen.
 FAR = 24
-#: Spanning forests of a prefix group, and its most central members that each member is paired with.
-FORESTS, HUBS = 4, 4
+#: Spanning forests of a prefix group, and its most central members that each member is paired with at first.
+FORESTS, HUBS = 2, 2
 #: Members of a block of a group that is expected to be larger.
 BLOCK = 5_000
 #: Pairs that a task looks at together.
@@ -123,8 +128,47 @@ class _Forests:
         return ones, others
 
 
+def _met(t: np.ndarray, side: np.ndarray, size: np.ndarray, place: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i < j) of all members, sorted by token and size, that meet in a group and may have the similarity."""
+    i, d = np.arange(len(t)), 0
+    while len(i):
+        d += 1
+        i = i[i + d < len(t)]
+        j = i + d
+        # sizes rise within a token, so what is too large now stays so
+        ok = (t[i] == t[j]) & (size[i] >= similarity * size[j] - 1e-9)
+        i, j = i[ok], j[ok]
+        need = np.ceil(similarity / (1 + similarity) * (size[i] + size[j]) - 1e-6)
+        ok = (np.minimum(size[i] - place[i], size[j] - place[j]) >= need) & ((side[i] != side[j]) | (side[i] == 2))
+        if ok.any():
+            yield i[ok], j[ok]
+
+
+def _by_group(work):
+    """work on batches sorted by token, as frames of whole groups."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = batch["token"].iloc[-1]
+            if held and last == held[0]["token"].iloc[-1]:
+                held.append(batch)
+                continue
+            cut = int(batch["token"].searchsorted(last))
+            done = pd.concat([*held, batch.iloc[:cut]])
+            if len(done):
+                yield from work(done)
+            held = [batch.iloc[cut:]]
+        if held:
+            yield from work(pd.concat(held))
+
+    return run
+
+
 def _pairs(similarity: float):
-    """Batches of (token, side, size, place, key, fp), sorted by token, size and key, to candidates (a, b)."""
+    """Batches of (token, side, size, place, key, fp), sorted by token, size and key, to candidates (a, b) of side -1, and to the members (token, side, size, place, a) that a pair was held back of."""
 
     def pairs(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
         t, side, size, place, key = (part[c].to_numpy() for c in ("token", "side", "size", "place", "key"))
@@ -133,72 +177,101 @@ def _pairs(similarity: float):
         new = np.concatenate([[True], (t[1:] != t[:-1]) | (size[1:] != size[:-1]) | (key[1:] != key[:-1])])
         t, side, size, place, key, fp = t[new], side[new], size[new], place[new], key[new], fp[new]
         forests, closeness = _Forests(len(t), FORESTS), np.zeros(len(t))
-        i, d, held = np.arange(len(t)), 0, []
+        back = np.zeros(len(t), dtype=bool)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def given() -> pd.DataFrame:
             x, y, far = (np.concatenate(c) for c in zip(*held))
             ones, others = forests.add(x, y, far)
             v, u, far = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([far, far])
-            closeness[:] += np.bincount(v, weights=FAR + 1.0 - far, minlength=len(t))
+            closeness[:] += np.bincount(v, weights=np.maximum(FAR + 1.0 - far, 0), minlength=len(t))
             order = np.lexsort((far, -closeness[u], v))
             v, u = v[order], u[order]
             first = np.searchsorted(v, v)
             hubs = np.arange(len(v)) - first < HUBS
-            a, b = key[np.concatenate([v[hubs], np.array(ones, dtype=np.int64)])], key[np.concatenate([u[hubs], np.array(others, dtype=np.int64)])]
-            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-        while len(i):
-            d += 1
-            i = i[i + d < len(t)]
-            j = i + d
-            # sizes rise within a token, so what is too large now stays so
-            ok = (t[i] == t[j]) & (size[i] >= similarity * size[j] - 1e-9)
-            i, j = i[ok], j[ok]
-            need = np.ceil(similarity / (1 + similarity) * (size[i] + size[j]) - 1e-6)
-            far = np.bitwise_count(fp[i] ^ fp[j])
-            ok = (np.minimum(size[i] - place[i], size[j] - place[j]) >= need) & (far <= FAR) & ((side[i] != side[j]) | (side[i] == 2))
-            if ok.any():
-                held.append((i[ok], j[ok], far[ok]))
+            v, u = np.concatenate([v[hubs], np.array(ones, dtype=np.int64)]), np.concatenate([u[hubs], np.array(others, dtype=np.int64)])
+            kept = np.isin(x * len(t) + y, np.minimum(v, u) * len(t) + np.maximum(v, u))
+            back[x[~kept]] = back[y[~kept]] = True
+            a, b = np.minimum(key[v], key[u]), np.maximum(key[v], key[u])
+            return pd.DataFrame({"token": 0, "side": -1, "size": 0, "place": 0, "a": a, "b": b}).drop_duplicates()
+
+        for i, j in _met(t, side, size, place, similarity):
+            held.append((i, j, np.bitwise_count(fp[i] ^ fp[j])))
             if sum(len(x[0]) for x in held[-1000:]) > CHUNK or len(held) > 1000:
                 yield given()
-                held = []
+                held.clear()
         if held:
             yield given()
+        if back.any():
+            yield pd.DataFrame({"token": t[back], "side": side[back], "size": size[back], "place": place[back], "a": key[back], "b": key[back]})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return _by_group(pairs)
+
+
+def _rest(similarity: float):
+    """Batches of (token, side, size, place, key, root), sorted by token, size and key, to all candidates (a, b) of unlike roots."""
+
+    def pairs(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        start = np.flatnonzero(np.concatenate([[True], np.diff(part["token"].to_numpy()) != 0]))
+        root = part["root"].to_numpy()
+        open_ = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
+        part = part[np.repeat(open_, np.diff(np.append(start, len(part))))]
+        t, side, size, place, key, root = (part[c].to_numpy() for c in ("token", "side", "size", "place", "key", "root"))
         held: list[pd.DataFrame] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            last = batch["token"].iloc[-1]
-            if held and last == held[0]["token"].iloc[-1]:
-                held.append(batch)
-                continue
-            cut = int(batch["token"].searchsorted(last))
-            done = pd.concat([*held, batch.iloc[:cut]])
-            if len(done):
-                yield from pairs(done)
-            held = [batch.iloc[cut:]]
+        for i, j in _met(t, side, size, place, similarity):
+            ok = root[i] != root[j]
+            a, b = key[i[ok]], key[j[ok]]
+            held.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}))
+            if sum(map(len, held[-1000:])) > CHUNK or len(held) > 1000:
+                yield pd.concat(held).drop_duplicates()
+                held = []
         if held:
-            yield from pairs(pd.concat(held))
+            yield pd.concat(held).drop_duplicates()
 
-    return run
+    return _by_group(pairs)
+
+
+def _parities(own: np.ndarray) -> bytes:
+    """Bit k: whether an odd number of shingles ends on k. Two to four times as many bits as shingles, a power of two."""
+    bits = max(64, 1 << (2 * len(own) - 1).bit_length()) if len(own) else 64
+    return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 == 1).tobytes()
+
+
+def _apart(one: bytes, two: bytes) -> int:
+    """Shingles that at least are in one set only, by the parities of both."""
+    x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have the similarity."""
+    """The pairs (a, b) whose sets have the similarity. Parities rule out most others, and no more, before whole sets are moved."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            total = (batch["size_a"] + batch["size_b"]).to_numpy()
+            most = total - 2 * np.ceil(similarity / (1 + similarity) * total - 1e-6)
+            apart = np.array([_apart(one, two) for one, two in zip(batch["bits_a"], batch["bits_b"])])
+            yield batch.loc[apart <= most, ["a", "b"]]
+
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ok = []
-            for one, two in zip(batch["one"], batch["two"]):
-                x, y = np.frombuffer(one, np.uint32), np.frombuffer(two, np.uint32)
+            for one, two in zip(batch["own_a"], batch["own_b"]):
+                x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield batch.loc[np.array(ok, dtype=bool), ["a", "b"]]
 
-    one, two = (sets.select(F.col("key").alias(c), F.col("own").alias(name)) for c, name in (("a", "one"), ("b", "two")))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInPandas(run, "a long, b long")
+    found = pairs.select("a", "b")
+    for columns, run in ((("size", "bits"), likely), (("own",), alike)):
+        for side in ("a", "b"):
+            found = found.join(sets.select(F.col("key").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
+        found = found.mapInPandas(run, "a long, b long")
+    return found
 
 
 def _frequent(rows: DataFrame, classes: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -287,17 +360,26 @@ def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance
                     yield pd.DataFrame({"token": token.view(np.int64), "side": side, "size": spread(3, np.int64), "place": place, "key": spread(4, np.int64), "fp": spread(5, np.uint64).view(np.int64)})
 
     tokens = rows.select("text").mapInPandas(prefixes, "token long, side int, size int, place int, key long, fp long")
-    met = tokens.repartition("token").sortWithinPartitions("token", "size", "key").mapInPandas(_pairs(similarity), "a long, b long")
-    pairs = pinned(met.unionByName(close).distinct(), "candidates", release=True)
+    dealt = tokens.repartition("token").sortWithinPartitions("token", "size", "key").mapInPandas(_pairs(similarity), "token long, side int, size int, place int, a long, b long")
+    met = pinned(dealt, "met", release=True)
+    pairs = pinned(met.where("side = -1").select("a", "b").unionByName(close).distinct(), "candidates")
 
     def stored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             own = [shingles(t, shingle) for t in batch["text"]]
-            yield pd.DataFrame({"key": np.array([_key(x) for x in own], dtype=np.int64), "own": [np.unique(x.astype(np.uint32)).tobytes() for x in own]})
+            yield pd.DataFrame({"key": np.array([_key(x) for x in own], dtype=np.int64), "size": [len(x) for x in own], "bits": [_parities(x) for x in own], "own": [x.tobytes() for x in own]})
 
     used = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes, "key").select(F.col("own").alias(ROW))
-    sets = pinned(rows.select(ROW, "text").join(used, ROW, "left_semi").select("text").mapInPandas(stored, "key long, own binary"), "sets", release=True)
+    sets = pinned(rows.select(ROW, "text").join(used, ROW, "left_semi").select("text").mapInPandas(stored, "key long, size int, bits binary, own binary"), "sets", release=True)
     parts = components(_checked(pairs, sets, similarity), "root")
+
+    back = met.where("side > -1").select("token", "side", "size", "place", F.col("a").alias("key"))
+    tied = back.join(parts.withColumnRenamed("a", "key"), "key", "left").select(*back.columns, F.coalesce("root", "key").alias("root"))
+    again = tied.repartition("token").sortWithinPartitions("token", "size", "key").mapInPandas(_rest(similarity), "a long, b long").distinct()
+    rest = pinned(again.join(pairs, ["a", "b"], "left_anti"), "rest", release=True)
+    found = pinned(_checked(rest, sets, similarity), "found")
+    if not found.isEmpty():
+        parts = components(parts.withColumnRenamed("root", "b").unionByName(found), "root")
     rooted = classes.join(parts.withColumnRenamed("a", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least")[ROW].alias("first"))
     return keyed.select(ROW, "key").join(rooted.join(named, "root").select("key", "first"), "key").select(ROW, "first")

@@ -75,3 +75,53 @@ def test_stage_on_the_given_documents(spark):
     got = {x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
     assert got == {table[k][0] for k in brute_first(table)}
     assert not got & {255, 770, 875, 944}  # near copies of Jaccard 0.81 to 0.84
+
+
+def family(r, size):
+    """Texts that no two of link, but for every fourth one and a partner of Jaccard 266 / 326; all share the most of their shingles."""
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(300)]
+    texts = []
+    for k in range(size):
+        places = r.sample(range(10, 290, 10), 7)
+        own = list(base)
+        for p in places[:4]:
+            own[p] = word()
+        texts.append(" ".join(own))
+        if k % 4 == 0:
+            other = list(base)
+            other[places[0]] = own[places[0]]
+            for p in places[4:]:
+                other[p] = word()
+            texts.append(" ".join(other))
+    return texts
+
+
+def test_no_link_of_a_large_group_is_lost(spark):
+    """Links that lie no nearer by SimHash than the hundreds of unlinked members of their groups."""
+    table = list(enumerate(family(random.Random(3), 240)))
+    docs = spark.createDataFrame(table, "doc_id long, text string").coalesce(1)
+    got = {x.doc_id for x in near_copies.keep_first(docs).collect()}
+    assert len(table) - len(got) >= 60 and got == brute_first(table)
+
+
+@pytest.mark.parametrize("block", [5_000, 50])
+def test_links_beyond_few_central_members(spark, monkeypatch, block):
+    monkeypatch.setattr(near_copies, "FORESTS", 1)
+    monkeypatch.setattr(near_copies, "HUBS", 1)
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    monkeypatch.setattr(near_copies, "CHUNK", 500)
+    table = [(k, t) for k, (_, t) in enumerate(near_table())]
+    table += [(len(table) + k, t) for k, t in enumerate(family(random.Random(4), 80))]
+    docs = spark.createDataFrame(table, "doc_id long, text string").coalesce(2)
+    assert {x.doc_id for x in near_copies.keep_first(docs).collect()} == brute_first(table)
+
+
+def test_links_of_far_simhashes(spark):
+    """Four of five shingles are common, and more than 24 bits of the SimHashes differ."""
+    words = lambda k: [f"{c}{k}" for c in "abcdefghi"]
+    table = [(2 * n + e, " ".join(words(k)[: 8 + e])) for n, k in enumerate((1707, 2094, 3676, 18114)) for e in (0, 1)]
+    fps = [near_copies.majority(near_copies.shingles(t, 5).astype(">u8").tobytes()) for _, t in table]
+    assert all((a ^ b).bit_count() > 24 for a, b in zip(fps[::2], fps[1::2]))
+    docs = spark.createDataFrame(table, "doc_id long, text string").coalesce(1)
+    assert {x.doc_id for x in near_copies.keep_first(docs).collect()} == {0, 2, 4, 6}
