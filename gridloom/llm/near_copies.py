@@ -20,10 +20,15 @@ index over all texts can reach. So candidates come in two ways, and all are chec
 4. Every candidate is checked on its whole sets, once the parities of their shingles' last
    bits leave it possible. Large-star and small-star rounds on the
    links give components.
-5. Members that a group has held pairs of back meet in it again, now with their components.
-   All their pairs within one component are settled; all others are checked, and what they
-   link joins the components. So every pair of the similarity is linked or lies within one
-   component, whatever its SimHashes; only the order of the work depends on them.
+5. Members that a group has held pairs of back meet in it again, now with their components
+   and parities. Pairs within one component are settled. Of the others a group tells only
+   which members have a pair that parities leave possible, each with one name for all that
+   such pairs connect: a row a member at most, however many pairs there are. Joined over all
+   groups, these names are *clusters*. The sets of a cluster's members meet once, all their
+   pairs of unlike components are compared, and a spanning forest of the links joins the
+   components. So every pair of the similarity is linked or lies within one component,
+   whatever its SimHashes; only the order of the work depends on them. Large clusters are cut
+   into blocks, and each pair of blocks is compared.
 
 Null texts and texts without words have the empty set and are copies of one another.
 doc_id may be null or repeated: rows are told apart by a number of the scan. Other columns
@@ -54,6 +59,8 @@ FORESTS, HUBS = 2, 2
 BLOCK = 5_000
 #: Pairs that a task looks at together.
 CHUNK = 400_000
+#: Members of a block of a cluster, and their shingles in all.
+CLUSTER, CLUSTER_SHINGLES = 2_000, 2_000_000
 
 
 def shingles(text: str, size: int) -> np.ndarray:
@@ -208,29 +215,6 @@ def _pairs(similarity: float):
     return _by_group(pairs)
 
 
-def _rest(similarity: float):
-    """Batches of (token, side, size, place, key, root), sorted by token, size and key, to all candidates (a, b) of unlike roots."""
-
-    def pairs(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        start = np.flatnonzero(np.concatenate([[True], np.diff(part["token"].to_numpy()) != 0]))
-        root = part["root"].to_numpy()
-        open_ = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
-        part = part[np.repeat(open_, np.diff(np.append(start, len(part))))]
-        t, side, size, place, key, root = (part[c].to_numpy() for c in ("token", "side", "size", "place", "key", "root"))
-        held: list[pd.DataFrame] = []
-        for i, j in _met(t, side, size, place, similarity):
-            ok = root[i] != root[j]
-            a, b = key[i[ok]], key[j[ok]]
-            held.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}))
-            if sum(map(len, held[-1000:])) > CHUNK or len(held) > 1000:
-                yield pd.concat(held).drop_duplicates()
-                held = []
-        if held:
-            yield pd.concat(held).drop_duplicates()
-
-    return _by_group(pairs)
-
-
 def _parities(own: np.ndarray) -> bytes:
     """Bit k: whether an odd number of shingles ends on k. Two to four times as many bits as shingles, a power of two."""
     bits = max(64, 1 << (2 * len(own) - 1).bit_length()) if len(own) else 64
@@ -247,23 +231,135 @@ def _apart(one: bytes, two: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def _most_apart(total: np.ndarray, similarity: float) -> np.ndarray:
+    """Shingles that at most are in one set only, of two sets of the similarity with so many in all."""
+    return total - 2 * np.ceil(similarity / (1 + similarity) * total - 1e-6)
+
+
+class _Sketches:
+    """Parities of many sets, compared for many pairs at once."""
+
+    def __init__(self, bits: list[bytes]):
+        self.words = np.array([len(x) // 8 for x in bits])
+        self.row = np.zeros(len(bits), dtype=np.int64)
+        self.tables: dict[tuple[int, int], np.ndarray] = {}
+        for n in np.unique(self.words).tolist():
+            at = np.flatnonzero(self.words == n)
+            self.row[at] = np.arange(len(at))
+            self.tables[n, n] = np.frombuffer(b"".join([bits[k] for k in at.tolist()]), np.uint64).reshape(-1, n)
+
+    def _folded(self, n: int, to: int) -> np.ndarray:
+        if (n, to) not in self.tables:
+            x = self._folded(n, 2 * to)
+            self.tables[n, to] = x[:, :to] ^ x[:, to:]
+        return self.tables[n, to]
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """As _apart, of the sets i[k] and j[k]."""
+        out = np.zeros(len(i), dtype=np.int64)
+        one, two = self.words[i], self.words[j]
+        for n in np.unique(one).tolist():
+            for m in np.unique(two[one == n]).tolist():
+                to = min(n, m)
+                x, y = self._folded(n, to), self._folded(m, to)
+                at, step = np.flatnonzero((one == n) & (two == m)), max(1, 4 * CHUNK // to)
+                for k in (at[lo : lo + step] for lo in range(0, len(at), step)):
+                    out[k] = np.bitwise_count(x[self.row[i[k]]] ^ y[self.row[j[k]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _chunks(met: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs, about CHUNK at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    count = 0
+    for i, j in met:
+        held.append((i, j))
+        count += len(i)
+        if count > CHUNK or len(held) > 1000:
+            yield np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+            held, count = [], 0
+    if held:
+        yield np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+
+
+def _united(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """label, the least node that is known of each one's tree, once x and y are joined pair by pair."""
+    while len(x):
+        one, two = label[x], label[y]
+        ok = one != two
+        x, y, one, two = x[ok], y[ok], one[ok], two[ok]
+        np.minimum.at(label, np.maximum(one, two), np.minimum(one, two))
+        while not np.array_equal(up := label[label], label):
+            label = up
+    return label
+
+
+def _likely(similarity: float):
+    """Batches of (token, side, size, place, key, root, bits), sorted by token, size and key, to members (key, size, root, head) of a pair of unlike roots that parities leave possible. Such pairs connect members of one head, which is a root."""
+
+    def members(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        t, side, size, place, key, root = (part[c].to_numpy() for c in ("token", "side", "size", "place", "key", "root"))
+        sketches = _Sketches(part["bits"].tolist())
+        roots, node = np.unique(root, return_inverse=True)
+        label, open_ = np.arange(len(roots)), np.zeros(len(t), dtype=bool)
+        for i, j in _chunks(_met(t, side, size, place, similarity)):
+            # what would tell nothing new is not compared
+            ok = (root[i] != root[j]) & ~(open_[i] & open_[j] & (label[node[i]] == label[node[j]]))
+            i, j = i[ok], j[ok]
+            ok = sketches.apart(i, j) <= _most_apart(size[i] + size[j], similarity)
+            i, j = i[ok], j[ok]
+            open_[i] = open_[j] = True
+            label = _united(label, node[i], node[j])
+        if open_.any():
+            yield pd.DataFrame({"key": key[open_], "size": size[open_], "root": root[open_], "head": roots[label[node[open_]]]}).drop_duplicates()
+
+    return _by_group(members)
+
+
+def _joined(similarity: float):
+    """Batches of (token, side, size, key, root, bits, own), sorted by token, size and key, to links (a, b), a spanning forest of all those between unlike roots of a token."""
+
+    def forest(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        t, side, size, key, root = (part[c].to_numpy() for c in ("token", "side", "size", "key", "root"))
+        sketches, own = _Sketches(part["bits"].tolist()), [np.frombuffer(x, np.uint64) for x in part["own"]]
+        roots, node = np.unique(root, return_inverse=True)
+        label = np.arange(len(roots))
+        ones: list[int] = []
+        others: list[int] = []
+        for i, j in _chunks(_met(t, side, size, np.zeros_like(size), similarity)):
+            ok = label[node[i]] != label[node[j]]
+            i, j = i[ok], j[ok]
+            apart = sketches.apart(i, j)
+            at = np.flatnonzero(apart <= _most_apart(size[i] + size[j], similarity))
+            at = at[np.argsort(apart[at], kind="stable")]
+            for x, y in zip(i[at].tolist(), j[at].tolist()):
+                if label[node[x]] != label[node[y]] and _similar(own[x], own[y], similarity):
+                    label = _united(label, node[[x]], node[[y]])
+                    ones.append(x)
+                    others.append(y)
+        a, b = key[ones], key[others]
+        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return _by_group(forest)
+
+
+def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
 def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity. Parities rule out most others, and no more, before whole sets are moved."""
 
     def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            total = (batch["size_a"] + batch["size_b"]).to_numpy()
-            most = total - 2 * np.ceil(similarity / (1 + similarity) * total - 1e-6)
+            most = _most_apart((batch["size_a"] + batch["size_b"]).to_numpy(), similarity)
             apart = np.array([_apart(one, two) for one, two in zip(batch["bits_a"], batch["bits_b"])])
             yield batch.loc[apart <= most, ["a", "b"]]
 
     def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ok = []
-            for one, two in zip(batch["own_a"], batch["own_b"]):
-                x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            ok = [_similar(np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64), similarity) for one, two in zip(batch["own_a"], batch["own_b"])]
             yield batch.loc[np.array(ok, dtype=bool), ["a", "b"]]
 
     found = pairs.select("a", "b")
@@ -274,6 +370,19 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return found
 
 
+def _found(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join the roots of members (key, size, root, head): all pairs of a cluster, which is what heads connect, are compared."""
+    heads = components(members.select(F.col("root").alias("a"), F.col("head").alias("b")), "cluster").withColumnRenamed("a", "root")
+    named = members.select("key", "size", "root").distinct().join(heads, "root", "left").select("key", "size", "root", F.coalesce("cluster", "root").alias("cluster"))
+    cut = F.greatest(F.ceil(F.count("*") / CLUSTER), F.ceil(F.sum("size") / CLUSTER_SHINGLES)).alias("cut")
+    own = named.join(named.groupBy("cluster").agg(cut), "cluster").withColumn("block", F.pmod("key", "cut"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side")
+    dealt = dealt.select(F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")).alias("token"), side, "size", "key", "root")
+    met = dealt.join(sets.select("key", "bits", "own"), "key").select("token", "side", "size", "key", "root", "bits", "own")
+    return met.repartition("token").sortWithinPartitions("token", "size", "key").mapInPandas(_joined(similarity), "a long, b long")
+
+
 def _frequent(rows: DataFrame, classes: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shingles that are frequent in a sample, sorted; their ranks, frequent ones high; and the blocks that their groups are cut into."""
     n = classes.count()
@@ -375,10 +484,13 @@ def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance
 
     back = met.where("side > -1").select("token", "side", "size", "place", F.col("a").alias("key"))
     tied = back.join(parts.withColumnRenamed("a", "key"), "key", "left").select(*back.columns, F.coalesce("root", "key").alias("root"))
-    again = tied.repartition("token").sortWithinPartitions("token", "size", "key").mapInPandas(_rest(similarity), "a long, b long").distinct()
-    rest = pinned(again.join(pairs, ["a", "b"], "left_anti"), "rest", release=True)
-    found = pinned(_checked(rest, sets, similarity), "found")
-    if not found.isEmpty():
+    tied = pinned(tied, "tied")
+    split = tied.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    again = tied.join(split, "token", "left_semi").join(sets.select("key", "bits"), "key").repartition("token").sortWithinPartitions("token", "size", "key")
+    again = again.select("token", "side", "size", "place", "key", "root", "bits").mapInPandas(_likely(similarity), "key long, size int, root long, head long")
+    again = pinned(again.distinct(), "again", release=True)
+    if not again.isEmpty():
+        found = pinned(_found(again, sets, similarity), "found", release=True)
         parts = components(parts.withColumnRenamed("root", "b").unionByName(found), "root")
     rooted = classes.join(parts.withColumnRenamed("a", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least")[ROW].alias("first"))

@@ -125,3 +125,46 @@ def test_links_of_far_simhashes(spark):
     assert all((a ^ b).bit_count() > 24 for a, b in zip(fps[::2], fps[1::2]))
     docs = spark.createDataFrame(table, "doc_id long, text string").coalesce(1)
     assert {x.doc_id for x in near_copies.keep_first(docs).collect()} == {0, 2, 4, 6}
+
+
+def brink(r, size):
+    """Texts of Jaccard 296 / 376, hardly less than linked; every tenth has a partner that it links with."""
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(300)]
+    texts = []
+    for k in range(size):
+        own = base + [word() for _ in range(40)]
+        texts.append(" ".join(own))
+        if k % 10 == 0:
+            texts.append(" ".join([*own[:-1], word()]))
+    return texts
+
+
+@pytest.mark.parametrize("cluster", [2_000, 30])
+def test_rows_grow_with_members_not_with_pairs(spark, monkeypatch, cluster):
+    monkeypatch.setattr(near_copies, "CLUSTER", cluster, raising=False)
+    monkeypatch.setattr(near_copies, "SAMPLE", 1)
+    kept, rows = near_copies.pinned, {}
+
+    def counted(df, name, *args, **kwargs):
+        out = kept(df, name, *args, **kwargs)
+        rows.setdefault(size, {})[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_copies, "pinned", counted)
+    for size in (60, 240):
+        table = list(enumerate(brink(random.Random(5), size)))
+        docs = spark.createDataFrame(table, "doc_id long, text string").coalesce(1)
+        assert {x.doc_id for x in near_copies.keep_first(docs).collect()} == brute_first(table)
+    after = {k: n for k, n in rows[240].items() if k not in ("met", "candidates")}  # these hold all pairs of small groups
+    assert all(n <= 6 * rows[60][k] + 264 for k, n in after.items()), rows
+    assert after["again"] >= 240  # parities leave nearly all members a pair
+
+
+def test_sketches_as_parities(spark):
+    r = random.Random(6)
+    sets = [near_copies.shingles(" ".join(r.choice("abcdef") for _ in range(n)), 3) for n in (0, 1, 3, 40, 90, 300, 900, 2000)]
+    sets += [x[: len(x) * 9 // 10] for x in sets]
+    bits = [near_copies._parities(x) for x in sets]
+    i, j = (x.ravel() for x in near_copies.np.meshgrid(range(len(sets)), range(len(sets))))
+    assert near_copies._Sketches(bits).apart(i, j).tolist() == [near_copies._apart(bits[a], bits[b]) for a, b in zip(i, j)]
